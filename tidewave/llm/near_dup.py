@@ -23,8 +23,10 @@ from tidewave.llm.words import hashed, mix, randoms
 
 #: Minwise values of a set. The first ones are the roots of the trees; nodes below choose among all.
 COORDINATES = 64
-#: A node of so many members is compared exhaustively.
+#: A node is compared exhaustively if its members have no more than so many pairs, each, that are not joined yet.
 SMALL = 32
+#: All nodes are, once they have no more than so many such pairs for each document of the table.
+FEW = 8
 #: Nodes that are large after so many choices are compared exhaustively too, whatever their size: nothing is skipped.
 DEPTH = 8
 BRANCHES = 2
@@ -88,18 +90,19 @@ def sets(docs: DataFrame, words: int) -> DataFrame:
     return docs.select("id", "text").mapInArrow(run, "id long, found binary")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, sigs: DataFrame, words: int, threshold: float) -> DataFrame:
-    """Those of pairs (a, b) whose full sets reach the threshold: 100 * intersection >= 100 * threshold * union.
-
-    Pairs whose minwise values agree far less than the threshold (six standard deviations) are left out first.
-    """
+def likely(pairs: DataFrame, sigs: DataFrame, threshold: float) -> DataFrame:
+    """Those of pairs (a, b) whose sizes allow the threshold and whose minwise values do not agree far less (six standard deviations) than it says."""
     floor = COORDINATES * threshold - 6 * math.sqrt(COORDINATES * threshold * (1 - threshold))
     of = lambda end: sigs.select(F.col("doc_id").alias(end), F.col("sig").alias(f"{end}_sig"), F.col("n").alias(f"{end}_n"))
     agree = F.aggregate(F.zip_with("a_sig", "b_sig", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
     close = F.greatest("a_n", "b_n") * threshold <= F.least("a_n", "b_n") * (1 + 1e-9)
-    pairs = written(pairs.distinct().join(of("a"), "a").join(of("b"), "b").filter(close & (agree >= floor)).select("a", "b"))
+    return written(pairs.join(of("a"), "a").join(of("b"), "b").filter(close & (agree >= floor)).select("a", "b"))
+
+
+def confirmed(pairs: DataFrame, docs: DataFrame, words: int, threshold: float) -> DataFrame:
+    """Those of the written pairs (a, b) whose full sets reach the threshold: 100 * intersection >= 100 * threshold * union."""
     ids = written(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
-    full = sets(keyed_join(docs.select(F.col("doc_id").cast("long").alias("id"), "text"), ids, ["id"], "left_semi").dropDuplicates(["id"]), words)
+    full = sets(keyed_join(docs.select(F.col("doc_id").cast("long").alias("id"), "text"), ids, ["id"], "left_semi"), words)
     percent = round(100 * threshold)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,28 +134,44 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, rec
     sigs = classes.select("doc_id", "n", "sig")
     roots = F.posexplode(F.slice("sig", 1, trees(threshold, recall)))
     active = shared(classes.select("doc_id", roots.alias("tree", "value")).select(F.xxhash64("tree", "value").alias("node"), "doc_id"))
-    links, label = None, None
+    links, label, checked = None, None, None
 
     def more(pairs: DataFrame) -> None:
-        nonlocal links, label
-        found = confirmed(pairs, docs, sigs, words, threshold)
+        nonlocal links, label, checked
+        pairs = pairs.distinct()
+        pairs = likely(pairs if checked is None else pairs.join(checked, ["a", "b"], "left_anti"), sigs, threshold)
+        if pairs.isEmpty():
+            return
+        checked = pairs if checked is None else checked.union(pairs)
+        found = confirmed(pairs, docs, words, threshold)
         if not found.isEmpty():
             links = found if links is None else links.union(found)
             label = components(links)
 
+    def exhaustive(rest: DataFrame) -> None:
+        member = rest.select("node", F.col("doc_id").alias("b"), F.col("component").alias("b_component"))
+        minor = rest.filter(F.col("component") != F.col("largest")).select(F.col("node").alias("minor_node"), F.col("doc_id").alias("a"), F.col("component").alias("a_component"))
+        across = minor.join(member, (F.col("minor_node") == F.col("node")) & (F.col("a_component") != F.col("b_component")))
+        more(across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+
+    def left(members: DataFrame) -> tuple[DataFrame, bool]:
+        """The nodes that still hold apart what might be alike, and whether all their pairs are but a few for each document."""
+        rest = written(mixed(members, label))
+        return rest, (rest.select("node", "across").distinct().agg(F.sum("across")).first()[0] or 0) <= FEW * many
+
+    many = classes.count()
     for depth in range(1, DEPTH + 1):
-        if active.isEmpty():
+        rest, few = left(active)
+        if not few and depth < DEPTH:
+            more(rest.filter("doc_id <> pivot and component <> pivot_component").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")))
+            rest, few = left(rest.select("node", "doc_id"))
+        if few or depth == DEPTH:
+            exhaustive(rest)
             break
-        more(mixed(active, label).filter("doc_id <> pivot and component <> pivot_component").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")))
-        rest = written(mixed(active, label))
-        small = rest if depth == DEPTH else rest.filter(F.col("m") <= SMALL)
-        one, other = (small.filter("doc_id <> pivot").select("node", F.col("doc_id").alias(x), F.col("component").alias(f"{x}_component")) for x in "ab")
-        pairs = written(one.join(other, "node").filter("a < b and a_component <> b_component").select("a", "b").distinct())
-        if not pairs.isEmpty():
-            more(pairs)
-        large = rest.filter(F.col("m") > SMALL) if depth < DEPTH else rest.limit(0)
+        small = F.col("across") <= SMALL * F.col("m")
+        exhaustive(rest.filter(small))
+        below = rest.filter(~small).select("node", "doc_id").join(sigs, "doc_id").select("node", "sig", "doc_id", F.explode(F.array(*map(F.lit, range(BRANCHES)))).alias("branch"))
         chosen = F.element_at("sig", (F.pmod(F.xxhash64("node", "branch"), F.lit(COORDINATES)) + 1).cast("int"))
-        below = large.select("node", "doc_id").join(sigs, "doc_id").select("node", "doc_id", "sig", F.explode(F.array(*map(F.lit, range(BRANCHES)))).alias("branch"))
         active = shared(below.select(F.xxhash64("node", "branch", chosen).alias("node"), "doc_id"))
 
     full = base.select("doc_id", "n", "k1", "k2").join(classes.select("n", "k1", "k2", F.col("doc_id").alias("id")), ["n", "k1", "k2"], "left")
@@ -170,9 +189,13 @@ def shared(nodes: DataFrame) -> DataFrame:
 
 
 def mixed(members: DataFrame, label: DataFrame | None) -> DataFrame:
-    """(node, doc_id, component, m, pivot, pivot_component) of nodes whose members are not all joined yet."""
+    """(node, doc_id, component, m, across, largest, pivot, pivot_component) of nodes whose members are not all joined yet: m members, `across`
+    pairs of them are not joined, largest is the component of most."""
     known = members.withColumn("component", F.col("doc_id")) if label is None else members.join(label.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    first = F.min(F.struct("doc_id", "component"))
-    nodes = known.groupBy("node").agg(F.count(F.lit(1)).alias("m"), first.alias("first"), F.min("component").alias("low"), F.max("component").alias("high"))
-    nodes = nodes.filter("low <> high").select("node", "m", F.col("first.doc_id").alias("pivot"), F.col("first.component").alias("pivot_component"))
+    joined = known.groupBy("node", "component").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first"))
+    nodes = joined.groupBy("node").agg(
+        F.sum("n").alias("m"), F.count(F.lit(1)).alias("apart"), F.sum(F.col("n") * F.col("n")).alias("squares"), F.max_by("component", F.struct("n", "component")).alias("largest"), F.min(F.struct("first", "component")).alias("least")
+    )
+    across = (F.col("m") * F.col("m") - F.col("squares")) / 2
+    nodes = nodes.filter("apart > 1").select("node", "m", across.alias("across"), "largest", F.col("least.first").alias("pivot"), F.col("least.component").alias("pivot_component"))
     return known.join(nodes, "node")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidewave.llm import line_dedup, mixing, near_dup, packing, toxicity
+from tidewave.llm import embed_dup, language, line_dedup, mixing, near_dup, packing, quality, quotes, topk, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +15,14 @@ def op1_line_dedup(spark, sf_dir):
     return line_dedup.dedup_pages(_table(spark, sf_dir, "pages"))
 
 
+def op2_quality(spark, sf_dir):
+    return quality.quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op3_quotes(spark, sf_dir):
+    return quotes.link_quotes(_table(spark, sf_dir, "conversations"))
+
+
 def op4_packing(spark, sf_dir):
     return packing.pack(_table(spark, sf_dir, "documents"), keep_ids=False)
 
@@ -23,13 +31,27 @@ def op5_minhash(spark, sf_dir):
     return near_dup.near_duplicates(_table(spark, sf_dir, "documents"), words=4)
 
 
+def op6_embedding(spark, sf_dir):
+    return embed_dup.embedding_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op7_mixing(spark, sf_dir):
     return mixing.mix_sources(_table(spark, sf_dir, "documents"))
 
 
+def op8_language(spark, sf_dir):
+    return language.identify(_table(spark, sf_dir, "documents"))
+
+
 def op9_toxicity(spark, sf_dir):
     return toxicity.toxic(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op4_packing, op5_minhash, op7_mixing, op9_toxicity)}
+def op10_topk(spark, sf_dir):
+    rows = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), topk.sign_codes(F.col("embedding")).alias("code"))
+    found = topk.top_k(rows, rows.filter("id % 20 = 0"), 10)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "distance")
+
+
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_quality, op3_quotes, op4_packing, op5_minhash, op6_embedding, op7_mixing, op8_language, op9_toxicity, op10_topk)}
 SQL: dict[str, str] = {}
