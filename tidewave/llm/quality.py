@@ -2,7 +2,8 @@
 
 Each word has a fixed sparse random index vector; its context vector is the sum of the index vectors of its neighbours over the whole
 corpus. Words share BUCKETS rows by hash, so the vectors are of fixed size however large the corpus. A document is the mean
-of its words' vectors, rare words counting more. The network is fitted by Adam on a bounded sample of labels, and its
+of its words' vectors, rare words counting more, how much words one and two places apart are alike, and the logarithm of
+their number. The network is fitted by Adam on a bounded sample of labels, and its
 temperature on a part of that sample that it has not seen.
 """
 
@@ -22,6 +23,7 @@ BUCKETS, DIM, NONZERO, REACH = 1 << 13, 32, 4, 2
 ROWS, TASKS = 256, 4096
 #: Labelled rows to learn from at most, in expectation.
 SAMPLE, HIDDEN, EPOCHS = 16_000, 32, 60
+INPUTS = DIM + REACH + 1
 _SLICE = 1 << 20
 
 
@@ -74,24 +76,34 @@ def word_sums(docs: DataFrame) -> np.ndarray:
 
 
 def word_vectors(sums: np.ndarray) -> np.ndarray:
-    """(BUCKETS, DIM + 1) float32: unit vectors times the weight of the word, and that weight."""
+    """(BUCKETS, DIM + 1) float32: unit vectors, and the weight of the word."""
     count = sums[:, DIM]
     vectors = sums[:, :DIM] / np.maximum(count, 1)[:, None]
     vectors = vectors - (vectors * count[:, None]).sum(axis=0) / max(count.sum(), 1)  # what all words have in common tells nothing
     vectors /= np.maximum(np.linalg.norm(vectors, axis=1), 1e-9)[:, None]
-    weight = 1e-3 / (1e-3 + count / max(count.sum(), 1))
-    return np.column_stack([vectors * weight[:, None], weight]).astype(np.float32)
+    return np.column_stack([vectors, 1e-3 / (1e-3 + count / max(count.sum(), 1))]).astype(np.float32)
 
 
 def pooled(texts: pa.Array, vectors: np.ndarray) -> np.ndarray:
-    """(texts, DIM): means of the words' vectors; zero without words."""
-    out = [np.zeros((0, DIM))]
+    """(texts, INPUTS) from the words' vectors; zeros without words."""
+    out = [np.zeros((0, INPUTS))]
     for _, words, ends in hashed(texts):
-        sums = np.zeros((len(ends) - 1, DIM + 1))
-        full = np.flatnonzero(np.diff(ends))
+        n = np.diff(ends)
+        x = np.zeros((len(n), INPUTS))
+        full = np.flatnonzero(n)
         if len(full):
-            sums[full] = np.add.reduceat(vectors[_buckets(words)], ends[:-1][full], axis=0)
-        out.append(sums[:, :DIM] / np.maximum(sums[:, DIM:], 1e-9))
+            first = ends[:-1][full]
+            rows = vectors[_buckets(words)]
+            unit, weight = rows[:, :DIM], rows[:, DIM]
+            x[full, :DIM] = np.add.reduceat(unit * weight[:, None], first, axis=0) / np.maximum(np.add.reduceat(weight, first), 1e-9)[:, None]
+            text = np.repeat(np.arange(len(n)), n)
+            for gap in range(1, REACH + 1):
+                alike = np.zeros(len(words))
+                if len(words) > gap:
+                    alike[gap:] = np.einsum("ij,ij->i", unit[gap:], unit[:-gap]) * (text[gap:] == text[:-gap])
+                x[full, DIM + gap - 1] = np.add.reduceat(alike, first) / np.maximum(n[full] - gap, 1)
+            x[full, -1] = np.log1p(n[full])
+        out.append(x)
     return np.concatenate(out)
 
 
@@ -100,9 +112,9 @@ class Network:
 
     def __init__(self, x: np.ndarray, y: np.ndarray):
         random = np.random.default_rng(5)
-        self.mean, self.scale = (x.mean(axis=0), x.std(axis=0) + 1e-9) if len(x) else (np.zeros(DIM), np.ones(DIM))
+        self.mean, self.scale = (x.mean(axis=0), x.std(axis=0) + 1e-9) if len(x) else (np.zeros(INPUTS), np.ones(INPUTS))
         self.temperature = 1.0
-        w = [random.normal(size=(DIM, HIDDEN)) / np.sqrt(DIM), np.zeros(HIDDEN), random.normal(size=HIDDEN) / np.sqrt(HIDDEN), np.zeros(1)]
+        w = [random.normal(size=(INPUTS, HIDDEN)) / np.sqrt(INPUTS), np.zeros(HIDDEN), random.normal(size=HIDDEN) / np.sqrt(HIDDEN), np.zeros(1)]
         self.w = w
         if not len(x):
             return
@@ -118,7 +130,7 @@ class Network:
                 back = d[:, None] * w[2] * (1 - h * h)
                 step += 1
                 for k, g in enumerate((x[at].T @ back, back.sum(axis=0), h.T @ d, np.array([d.sum()]))):
-                    g = g + 1e-4 * w[k] * (k in (0, 2))
+                    g = g + 3e-4 * w[k] * (k in (0, 2))
                     m[k] = 0.9 * m[k] + 0.1 * g
                     v[k] = 0.999 * v[k] + 0.001 * g * g
                     w[k] -= 5e-3 * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
@@ -154,7 +166,7 @@ def quality(docs: DataFrame, labels: DataFrame, label: str = "quality", threshol
 
     rows = keyed_join(docs.filter(F.col("text").isNotNull()).select("doc_id", "text"), chosen, ["doc_id"], "inner").select("doc_id", "label", "text")
     rows = rows.mapInArrow(pool, "doc_id long, label int, x binary").toPandas().sort_values("doc_id")
-    x = np.array([np.frombuffer(b) for b in rows["x"]]).reshape(-1, DIM)
+    x = np.array([np.frombuffer(b) for b in rows["x"]]).reshape(-1, INPUTS)
     network = Network(x, rows["label"].to_numpy(float))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
