@@ -1,4 +1,547 @@
-"""Registered queries and their SQL."""
+"""Registered queries over the driver's tables, each with its SQL where SQL can express it.
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+events, by user, stand for recordings; embeddings for windows of two channels of 32 samples; lineitem, by supplier, for long recordings.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+
+from tidewave.config import KnownStart
+from tidewave.functions.columns import by_order, difference, gradient
+from tidewave.operators import augment, drift, features, filters, folds, known_start, metrics, models, montage, normalise, ordered, statistics, windows
+from tidewave.sources.recordings import event_samples, line_samples
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE: dict[str, str] = {}
+WIN, STRIDE, FS, BY = 8, 4, 256.0, ["subject"]
+
+SAMPLES = """samples AS (SELECT user_id AS subject, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS idx, value AS h,
+  CAST(regexp_extract(props, '-?[0-9]+') AS DOUBLE) AS v, CASE event_type WHEN 'view' THEN 1 WHEN 'purchase' THEN 2 WHEN 'signup' THEN 3 ELSE 0 END AS control, event_id,
+  CAST(regexp_extract(props, '-?[0-9]+') AS DOUBLE) - 50 AS target_h, CAST(regexp_extract(props, '-?[0-9]+') AS DOUBLE) % 20 - 10 AS target_v FROM events)"""
+WINDOWS = f"""lengths AS (SELECT subject, max(idx) + 1 AS n FROM samples GROUP BY subject),
+  starts AS (SELECT subject, unnest(range(0, n - {WIN} + 1, {STRIDE})) AS window_start FROM lengths WHERE n >= {WIN}),
+  win AS (SELECT t.subject, t.window_start, s.* EXCLUDE (subject) FROM starts t JOIN samples s ON s.subject = t.subject AND s.idx >= t.window_start AND s.idx < t.window_start + {WIN})"""
+#: Predictions with an error that is a fixed function of the row.
+PREDICTIONS = f"""{SAMPLES}, {WINDOWS}, means AS (SELECT subject, window_start, avg(target_h) AS y_h, avg(target_v) AS y_v, min(control) IN (1, 2) AND min(control) = max(control) AS is_fixation FROM win GROUP BY ALL),
+  preds AS (SELECT *, y_h * 0.9 + (window_start % 7) AS yhat_h, y_v * 0.8 - (window_start % 5) AS yhat_v, subject % 5 AS fold FROM means)"""
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def samples(spark: SparkSession, d: str) -> DataFrame:
+    return event_samples(table(spark, d, "events"), FS)
+
+
+def predictions(spark: SparkSession, d: str) -> DataFrame:
+    s = samples(spark, d)
+    y = windows.regression_windows(s, BY, "idx", {"y_h": "target_h", "y_v": "target_v"}, WIN, STRIDE)
+    w = by_order(BY, "idx").rowsBetween(-(WIN - 1), 0)
+    low, high = F.min("control").over(w), F.max("control").over(w)
+    fixed = s.select("subject", (F.col("idx") - (WIN - 1)).alias("window_start"), (low.isin(1, 2) & (low == high)).alias("is_fixation"))
+    x = y.join(fixed, ["subject", "window_start"])
+    return x.withColumns({"yhat_h": F.col("y_h") * 0.9 + F.col("window_start") % 7, "yhat_v": F.col("y_v") * 0.8 - F.col("window_start") % 5, "fold": F.col("subject") % 5})
+
+
+def rounded(df: DataFrame, n: int = 5) -> DataFrame:
+    """Doubles to n places, by way of an offset that keeps exact halves from rounding either way."""
+    return df.select(*((F.round(F.col(c) + 1.3 * 10.0 ** -(n + 1), n) + 0.0).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
+
+
+def r(expression: str, name: str, n: int = 5) -> str:
+    return f"round(({expression}) + CAST(1.3e-{n + 1} AS DOUBLE), {n}) + 0.0 AS {name}"
+
+
+# windows, labels, targets
+
+
+@query(f"""WITH {SAMPLES}, {WINDOWS} SELECT subject, window_start, {r('avg(h)', 'h_mean')}, {r('stddev_pop(h)', 'h_std')}, {r('max(h) - min(h)', 'h_peak_to_peak')}, {r('regr_slope(h, idx - window_start)', 'h_slope')},
+  {r('sqrt(avg(h * h))', 'h_rms')}, {r('coalesce(corr(h, v), 0)', 'HV_correlation')}, {r('sqrt((avg(h * h) + avg(v * v)) / 2)', 'combined_rms')} FROM win GROUP BY ALL""")
+def window_features(spark, d):
+    w = windows.window_arrays(samples(spark, d), BY, "idx", ["h", "v"], WIN, STRIDE)
+    x = features.window_features(w, ["h", "v"], FS, spectral=False)
+    return rounded(x.select("subject", "window_start", "h_mean", "h_std", "h_peak_to_peak", "h_slope", "h_rms", "HV_correlation", "combined_rms"))
+
+
+@query(f"""WITH {SAMPLES}, {WINDOWS}, d AS (SELECT *, lag(h) OVER w AS p, avg(h) OVER (PARTITION BY subject, window_start) AS m, max(abs(h)) OVER (PARTITION BY subject, window_start) AS peak FROM win WINDOW w AS (PARTITION BY subject, window_start ORDER BY idx)),
+  e AS (SELECT *, sign(h - m) AS sg, lag(sign(h - m)) OVER (PARTITION BY subject, window_start ORDER BY idx) AS ps FROM d)
+  SELECT subject, window_start, {r('max(abs(h))', 'h_peak_abs')}, {r('max(abs(h - p)) * 256', 'h_max_velocity')}, {r('avg(abs(h - p)) * 256', 'h_mean_velocity')}, {r('count(*) FILTER (abs(h) > peak / 2) / 256.0', 'h_duration_above_half_peak')},
+  CAST(count(*) FILTER (sg <> ps) AS DOUBLE) AS h_zero_crossings FROM e GROUP BY ALL""")
+def window_velocities(spark, d):
+    w = windows.window_arrays(samples(spark, d), BY, "idx", ["h", "v"], WIN, STRIDE)
+    x = features.window_features(w, ["h", "v"], FS, spectral=False)
+    return rounded(x.select("subject", "window_start", "h_peak_abs", "h_max_velocity", "h_mean_velocity", "h_duration_above_half_peak", "h_zero_crossings"))
+
+
+_BINS = range(17)
+_DFT = ", ".join(f"(pow(list_sum(list_transform(range(32), lambda i: z[i+1] * cos(2 * pi() * {k} * i / 32))), 2) + pow(list_sum(list_transform(range(32), lambda i: z[i+1] * sin(2 * pi() * {k} * i / 32))), 2)) * {1 if k in (0, 16) else 2} / (32 * 12.0)" for k in _BINS)
+
+
+@query(f"""WITH x AS (SELECT vec_id, list_transform(embedding[1:32], lambda q: CAST(q AS DOUBLE)) AS e FROM embeddings), c AS (SELECT vec_id, list_transform(range(32), lambda i: (e[i+1] - list_avg(e)) * (0.5 - 0.5 * cos(2 * pi() * i / 32))) AS z FROM x),
+  p AS (SELECT vec_id, [{_DFT}] AS p FROM c) SELECT vec_id, round((p[1] + p[2]) / 2 + (p[2] + p[3]) / 2 + (p[3] + p[4]) / 2 + (p[4] + p[5]) / 2, 6) + 0.0 AS "a_band_0_5Hz", CAST(list_position(p, list_max(p)) - 1 AS DOUBLE) AS a_dominant_freq,
+  round(-list_sum(list_transform(p, lambda q: q / (list_sum(p) + 1e-12) * log2(q / (list_sum(p) + 1e-12) + 1e-12))), 5) + 0.0 AS a_spectral_entropy FROM p""")
+def window_spectra(spark, d):
+    e = table(spark, d, "embeddings").select("vec_id", F.slice("embedding", 1, 32).cast("array<double>").alias("a"))
+    x = features.spectral_features(e, ["a"], 32.0)
+    return x.select("vec_id", (F.round("a_band_0_5Hz", 6) + 0.0).alias("a_band_0_5Hz"), "a_dominant_freq", (F.round("a_spectral_entropy", 5) + 0.0).alias("a_spectral_entropy"))
+
+
+@query(f"""WITH {SAMPLES}, {WINDOWS}, c AS (SELECT subject, window_start, CASE WHEN control IN (1, 2, 3) THEN control ELSE 0 END AS k, count(*) AS n FROM win GROUP BY ALL)
+  SELECT subject, window_start, CASE WHEN max(n) >= 0.5 * {WIN} THEN CAST(arg_max(k, n * 10 - k) AS INTEGER) ELSE 0 END AS y_class FROM c GROUP BY ALL""")
+def classification_windows(spark, d):
+    return windows.classification_windows(samples(spark, d), BY, "idx", windows.event_class(F.col("control")), WIN, STRIDE)
+
+
+@query(f"WITH {SAMPLES}, {WINDOWS} SELECT subject, window_start, {r('avg(target_h)', 'y_h')}, {r('avg(target_v)', 'y_v')} FROM win GROUP BY ALL")
+def regression_windows(spark, d):
+    return rounded(windows.regression_windows(samples(spark, d), BY, "idx", {"y_h": "target_h", "y_v": "target_v"}, WIN, STRIDE))
+
+
+@query(f"""WITH {SAMPLES}, m AS (SELECT *, CASE WHEN control = lag(control) OVER w THEN 0 ELSE 1 END AS new FROM samples WINDOW w AS (PARTITION BY subject ORDER BY idx)),
+  g AS (SELECT *, sum(new) OVER (PARTITION BY subject ORDER BY idx) AS run FROM m), a AS (SELECT *, min(idx) OVER (PARTITION BY subject, run) AS began FROM g)
+  SELECT s.subject, s.idx AS window_start, s.control IN (1, 2) AND s.run = e.run AND s.idx - s.began >= 1 AS is_fixation FROM a s JOIN a e ON e.subject = s.subject AND e.idx = s.idx + 1 WHERE s.idx % {STRIDE} = 0""")
+def fixation_flags(spark, d):
+    return windows.fixation_flags(samples(spark, d), BY, "idx", "control", 2, STRIDE, 1)
+
+
+@query(f"""WITH {SAMPLES}, {WINDOWS}, c AS (SELECT subject, window_start, max(control) AS k FROM win GROUP BY ALL) SELECT k, count(*) AS n, {r('count(*) * 100.0 / sum(count(*)) OVER ()', 'percent')} FROM c GROUP BY k""")
+def class_balance(spark, d):
+    x = windows.window_rows(samples(spark, d), BY, "idx", WIN, STRIDE).groupBy("subject", "window_start").agg(F.max("control").alias("k"))
+    return rounded(windows.class_balance(x, "k"))
+
+
+@query(f"""WITH {SAMPLES}, t AS (SELECT *, sum(CASE WHEN control = 1 AND p IS DISTINCT FROM 1 THEN 1 ELSE 0 END) OVER (PARTITION BY subject ORDER BY idx) AS trial FROM (SELECT *, lag(control) OVER (PARTITION BY subject ORDER BY idx) AS p FROM samples)),
+  k AS (SELECT * FROM t WHERE trial = 0 OR trial % 2 = 0) SELECT subject, row_number() OVER (PARTITION BY subject ORDER BY idx) - 1 AS idx, CAST(trial AS BIGINT) AS trial, h FROM k""")
+def splice_trials(spark, d):
+    x = windows.trial_parts(samples(spark, d), BY, "idx", "control")
+    kept = x.filter("trial % 2 = 0").select("subject", "trial")
+    return windows.splice(x, kept, BY, "idx").select("subject", F.col("idx").cast("long").alias("idx"), F.col("trial").cast("long").alias("trial"), "h")
+
+
+@query(f"""WITH {SAMPLES}, o AS (SELECT *, CASE WHEN control IN (1, 2) AND control IS DISTINCT FROM lag(control) OVER (PARTITION BY subject ORDER BY idx) THEN 1 ELSE 0 END AS onset FROM samples),
+  c AS (SELECT *, greatest(sum(onset) OVER (PARTITION BY subject ORDER BY idx) - 1, 0) AS cue FROM o) SELECT subject, idx, CAST(cue * 3 + subject % 4 AS DOUBLE) AS cue_h FROM c WHERE subject IN (SELECT subject FROM o WHERE onset = 1)""")
+def cue_targets(spark, d):
+    s = samples(spark, d)
+    w = by_order(BY, "idx")
+    onsets = s.withColumn("on", F.col("control").isin(1, 2) & ~F.coalesce(F.col("control") == F.lag("control").over(w), F.lit(False))).filter("on")
+    cues = onsets.select("subject", (F.row_number().over(w) - 1).alias("cue")).withColumn("cue_h", (F.col("cue") * 3 + F.col("subject") % 4).cast("double"))
+    return windows.expand_cues(s.join(cues.select("subject").distinct(), "subject", "left_semi"), cues, BY, "idx", "control", ["cue_h"]).select("subject", "idx", "cue_h")
+
+
+# ordered relational operators
+
+_RUNS = """m AS (SELECT subject, idx, control, CASE WHEN control = lag(control) OVER (PARTITION BY subject ORDER BY idx) THEN 0 ELSE 1 END AS new FROM samples), g AS (SELECT *, sum(new) OVER (PARTITION BY subject ORDER BY idx) - 1 AS run FROM m)"""
+
+
+@query(f"""WITH {SAMPLES}, {_RUNS} SELECT subject, CAST(run AS BIGINT) AS run, any_value(control) AS value, min(idx) AS start, max(idx) + 1 AS "end", count(*) AS n FROM g GROUP BY subject, run""")
+def control_runs(spark, d):
+    return ordered.runs(samples(spark, d), BY, "idx", F.col("control"))
+
+
+_HIGH = """m AS (SELECT subject, idx, h, h > 20 AS high FROM samples), g AS (SELECT *, idx - row_number() OVER (PARTITION BY subject, high ORDER BY idx) AS run FROM m), runs AS (SELECT subject, min(idx) AS start, max(idx) + 1 AS "end", max(h) AS peak, count(*) AS n FROM g WHERE high GROUP BY subject, run)"""
+
+
+@query(f"""WITH {SAMPLES}, {_HIGH} SELECT subject, start, "end" FROM runs WHERE n >= 3""")
+def threshold_runs(spark, d):
+    return ordered.mask_runs(samples(spark, d), BY, "idx", F.col("h") > 20, 3)
+
+
+@query(f"""WITH {SAMPLES}, {_HIGH} SELECT subject, start, "end", peak FROM runs WHERE peak > 100""")
+def hysteresis_runs(spark, d):
+    return ordered.hysteresis(samples(spark, d), BY, "idx", F.col("h"), 100.0, 20.0)
+
+
+@query(f"""WITH {SAMPLES}, {_HIGH}, s AS (SELECT *, CASE WHEN start - lag("end") OVER (PARTITION BY subject ORDER BY start) < 3 THEN 0 ELSE 1 END AS new FROM runs), k AS (SELECT *, sum(new) OVER (PARTITION BY subject ORDER BY start) AS part FROM s)
+  SELECT subject, min(start) AS start, max("end") AS "end", count(*) AS n FROM k GROUP BY subject, part""")
+def merged_runs(spark, d):
+    return ordered.merge_gaps(ordered.mask_runs(samples(spark, d), BY, "idx", F.col("h") > 20), BY, 3)
+
+
+@query("""WITH e AS (SELECT user_id, event_id, epoch(ts) AS t FROM events), n AS (SELECT *, CASE WHEN t - lag(t) OVER w > 43200 THEN 1 ELSE 0 END AS new FROM e WINDOW w AS (PARTITION BY user_id ORDER BY t, event_id)),
+  s AS (SELECT user_id, sum(new) OVER (PARTITION BY user_id ORDER BY t, event_id) AS session FROM n) SELECT user_id, CAST(session AS BIGINT) AS session, count(*) AS n FROM s GROUP BY ALL""")
+def user_sessions(spark, d):
+    e = table(spark, d, "events").select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"))
+    return ordered.sessions(e, ["user_id"], "t", 43_200e6).groupBy("user_id", F.col("session").cast("long").alias("session")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""WITH {SAMPLES}, l AS (SELECT * FROM samples WHERE control = 1), q AS (SELECT subject, idx, h AS last_h FROM samples WHERE control = 3) SELECT l.subject, l.idx, q.last_h FROM l ASOF LEFT JOIN q ON l.subject = q.subject AND l.idx >= q.idx""")
+def asof_backward(spark, d):
+    s = samples(spark, d)
+    return ordered.asof(s.filter("control = 1").select("subject", "idx"), s.filter("control = 3").select("subject", "idx", F.col("h").alias("last_h")), BY, "idx", ["last_h"])
+
+
+@query(f"""WITH {SAMPLES}, l AS (SELECT * FROM samples WHERE control = 1), q AS (SELECT subject, idx, h AS next_h FROM samples WHERE control = 3), f AS (SELECT l.subject, l.idx, q.next_h FROM l ASOF LEFT JOIN q ON l.subject = q.subject AND l.idx <= q.idx)
+  SELECT f.subject, f.idx, coalesce(f.next_h, (SELECT arg_max(next_h, q.idx) FROM q WHERE q.subject = f.subject)) AS next_h FROM f""")
+def asof_forward(spark, d):
+    s = samples(spark, d)
+    return ordered.asof(s.filter("control = 1").select("subject", "idx"), s.filter("control = 3").select("subject", "idx", F.col("h").alias("next_h")), BY, "idx", ["next_h"], forward=True, clamp=True)
+
+
+@query(f"""WITH {SAMPLES}, a AS (SELECT subject, idx AS start, idx + 3 AS "end" FROM samples WHERE control = 1), b AS (SELECT subject, idx AS r_start, idx + 2 AS r_end FROM samples WHERE control = 2)
+  SELECT a.subject, start, "end", r_start, r_end FROM a JOIN b ON a.subject = b.subject AND start < r_end AND "end" > r_start""")
+def interval_overlaps(spark, d):
+    s = samples(spark, d)
+    a = s.filter("control = 1").select("subject", F.col("idx").alias("start"), (F.col("idx") + 3).alias("end"))
+    b = s.filter("control = 2").select("subject", F.col("idx").alias("r_start"), (F.col("idx") + 2).alias("r_end"))
+    return ordered.interval_join(a, b, BY, 16).select("subject", "start", "end", "r_start", "r_end")
+
+
+@query(f"""WITH {SAMPLES}, a AS (SELECT subject, idx AS start, idx + 3 AS "end" FROM samples WHERE control = 1), b AS (SELECT subject, idx AS r_start, idx + 2 AS r_end FROM samples WHERE control = 2)
+  SELECT a.subject, start, "end" FROM a WHERE NOT EXISTS (SELECT 1 FROM b WHERE a.subject = b.subject AND start < r_end AND "end" > r_start)""")
+def interval_anti(spark, d):
+    s = samples(spark, d)
+    a = s.filter("control = 1").select("subject", F.col("idx").alias("start"), (F.col("idx") + 3).alias("end"))
+    b = s.filter("control = 2").select("subject", F.col("idx").alias("r_start"), (F.col("idx") + 2).alias("r_end"))
+    return ordered.interval_join(a, b, BY, 16, "left_anti").select("subject", "start", "end")
+
+
+@query(f"""WITH {SAMPLES}, {_HIGH} SELECT s.subject, s.idx, EXISTS (SELECT 1 FROM runs q WHERE q.subject = s.subject AND q.n >= 2 AND s.idx >= q.start AND s.idx < q."end") AS inside FROM samples s""")
+def blink_mask(spark, d):
+    s = samples(spark, d)
+    return ordered.points_in(s.select("subject", "idx"), ordered.mask_runs(s, BY, "idx", F.col("h") > 20, 2), BY, "idx", 16).select("subject", "idx", "inside")
+
+
+@query(f"""WITH {SAMPLES} SELECT a.subject, a.idx, (SELECT count(*) FROM samples b WHERE b.subject = a.subject AND b.control = 3 AND b.idx > a.idx AND b.idx <= a.idx + 10) AS n FROM samples a WHERE a.control = 1""")
+def count_following(spark, d):
+    s = samples(spark, d)
+    return ordered.count_between(s.filter("control = 1").select("subject", "idx"), s.filter("control = 3").select("subject", "idx"), BY, "idx", 10)
+
+
+@query(f"""WITH {SAMPLES}, q AS (SELECT subject, idx, count(h) OVER w AS n, quantile_cont(h, 0.1) OVER w AS low, quantile_cont(h, 0.9) OVER w AS high FROM samples WINDOW w AS (PARTITION BY subject ORDER BY idx ROWS BETWEEN 29 PRECEDING AND CURRENT ROW))
+  SELECT subject, idx, {r('CASE WHEN n >= 10 THEN low END', 'low')}, {r('CASE WHEN n >= 10 THEN high END', 'high')} FROM q""")
+def rolling_quantiles(spark, d):
+    return rounded(ordered.rolling_quantiles(samples(spark, d).select("subject", "idx", "h"), BY, "idx", "h", 30, {"low": 0.1, "high": 0.9}, 10).drop("h"))
+
+
+@query(f"WITH {SAMPLES} SELECT subject, idx, {r('avg(h) OVER (PARTITION BY subject ORDER BY idx ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING)', 'mean')} FROM samples")
+def rolling_means(spark, d):
+    return rounded(ordered.rolling_mean(samples(spark, d).select("subject", "idx", "h"), BY, "idx", "h", 11, "mean", True).drop("h"))
+
+
+@query(f"WITH {SAMPLES} SELECT subject, idx // 8 AS block, {r('avg(h)', 'h')} FROM samples GROUP BY ALL HAVING count(*) = 8")
+def block_means(spark, d):
+    return rounded(ordered.block_average(samples(spark, d), BY, "idx", ["h"], 8))
+
+
+@query(f"""WITH {SAMPLES}, b AS (SELECT subject, idx // 8 AS block, avg(h) AS m FROM samples GROUP BY ALL HAVING count(*) = 8), l AS (SELECT subject, max(block) AS last FROM b GROUP BY subject),
+  p AS (SELECT s.subject, s.idx, least(greatest((s.idx - 3.5) / 8, 0), last) AS p, last FROM samples s JOIN l ON l.subject = s.subject), q AS (SELECT *, least(floor(p), last) AS lo, least(floor(p) + 1, last) AS hi FROM p)
+  SELECT q.subject, q.idx, {r('x.m + (y.m - x.m) * (p - lo)', 'line')} FROM q JOIN b x ON x.subject = q.subject AND x.block = lo JOIN b y ON y.subject = q.subject AND y.block = hi""")
+def interpolated_blocks(spark, d):
+    s = samples(spark, d).select("subject", "idx", "h")
+    return rounded(ordered.interpolate(s.drop("h"), ordered.block_average(s, BY, "idx", ["h"], 8), BY, "idx", "h", 8, "line"))
+
+
+@query(f"""WITH {SAMPLES}, m AS (SELECT subject, idx, CASE WHEN control = 0 THEN NULL ELSE h END AS x FROM samples),
+  f AS (SELECT *, last_value(CASE WHEN x IS NOT NULL THEN idx END IGNORE NULLS) OVER a AS ia, last_value(x IGNORE NULLS) OVER a AS xa, first_value(CASE WHEN x IS NOT NULL THEN idx END IGNORE NULLS) OVER b AS ib, first_value(x IGNORE NULLS) OVER b AS xb FROM m
+    WINDOW a AS (PARTITION BY subject ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), b AS (PARTITION BY subject ORDER BY idx ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
+  SELECT subject, idx, {r('CASE WHEN x IS NOT NULL THEN x WHEN ia IS NULL THEN xb WHEN ib IS NULL THEN xa ELSE xa + (xb - xa) * (idx - ia) / (ib - ia) END', 'filled')} FROM f""")
+def filled_gaps(spark, d):
+    s = samples(spark, d).select("subject", "idx", F.when(F.col("control") != 0, F.col("h")).alias("x"))
+    return rounded(ordered.fill_gaps(s, BY, "idx", "x", "filled").drop("x"))
+
+
+@query(f"""WITH {SAMPLES}, n AS (SELECT *, lag(h) OVER w AS p, lead(h) OVER w AS q FROM samples WINDOW w AS (PARTITION BY subject ORDER BY idx)) SELECT subject, idx, {r('coalesce(h - p, 0)', 'step')}, {r('coalesce((q - p) / 2, q - h, h - p, 0)', 'slope')} FROM n""")
+def gradients(spark, d):
+    w = by_order(BY, "idx")
+    return rounded(samples(spark, d).select("subject", "idx", difference(F.col("h"), w).alias("step"), gradient(F.col("h"), w).alias("slope")))
+
+
+@query(f"""WITH RECURSIVE {SAMPLES}, f AS (SELECT subject, idx, 0.25 * h AS y FROM samples WHERE idx = 0 UNION ALL SELECT s.subject, s.idx, f.y + 0.25 * (s.h - f.y) FROM f JOIN samples s ON s.subject = f.subject AND s.idx = f.idx + 1)
+  SELECT subject, idx, {r('y', 'h', 4)} FROM f""")
+def causal_low_pass(spark, d):
+    return rounded(filters.causal_low_pass(samples(spark, d), BY, "idx", ["h"], 0.25), 4)
+
+
+@query(f"WITH {SAMPLES} SELECT subject, idx, ntile(3) OVER (PARTITION BY subject ORDER BY idx) - 1 AS part FROM samples")
+def time_parts(spark, d):
+    return ordered.parts(samples(spark, d).select("subject", "idx"), BY, ["idx"]).withColumn("part", F.col("part").cast("long"))
+
+
+@query(f"WITH {SAMPLES} SELECT subject, control, idx FROM samples QUALIFY row_number() OVER (PARTITION BY subject, control ORDER BY idx) <= 4")
+def first_per_group(spark, d):
+    return ordered.first_k(samples(spark, d).select("subject", "control", "idx"), ["subject", "control"], ["idx"], 4)
+
+
+# baselines and normalisation
+
+
+@query(f"""WITH {SAMPLES}, c AS (SELECT subject, avg(idx) AS m, greatest(max(idx), 1) AS sc FROM samples GROUP BY subject), t AS (SELECT s.subject, s.idx, s.h, (s.idx - m) / sc AS t FROM samples s JOIN c ON c.subject = s.subject),
+  q AS (SELECT subject, avg(t) AS t1, avg(t*t) AS t2, avg(t*t*t) AS t3, avg(t*t*t*t) AS t4, avg(h) AS x0, avg(t*h) AS x1, avg(t*t*h) AS x2 FROM t GROUP BY subject),
+  a AS (SELECT subject, t1, t2, t3, t4, x0, x1, x2, (t2*t4 - t3*t3) - t1*(t1*t4 - t3*t2) + t2*(t1*t3 - t2*t2) AS det FROM q)
+  SELECT t.subject, t.idx, {r('h - ((x0*(t2*t4 - t3*t3) - t1*(x1*t4 - t3*x2) + t2*(x1*t3 - t2*x2)) + ((x1*t4 - t3*x2) - x0*(t1*t4 - t3*t2) + t2*(t1*x2 - x1*t2)) * t + ((t2*x2 - x1*t3) - t1*(t1*x2 - x1*t2) + x0*(t1*t3 - t2*t2)) * t * t) / det', 'flat', 4)}
+  FROM t JOIN a ON a.subject = t.subject""")
+def polynomial_detrend(spark, d):
+    return rounded(drift.polynomial(samples(spark, d).select("subject", "idx", "h"), BY, "idx", "h", "flat").drop("h"), 4)
+
+
+@query(f"""WITH {SAMPLES}, k AS (SELECT subject, idx // 4 AS block, quantile_cont(h, 0.5) OVER (PARTITION BY subject ORDER BY idx ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS base FROM samples WHERE idx % 4 = 0)
+  SELECT s.subject, s.idx, {r('s.h - k.base', 'flat')} FROM samples s JOIN k ON k.subject = s.subject AND k.block = s.idx // 4""")
+def median_detrend(spark, d):
+    return rounded(drift.moving_median(samples(spark, d).select("subject", "idx", "h"), BY, "idx", "h", "flat", 4, 5).drop("h"))
+
+
+@query(f"""WITH {SAMPLES}, b AS (SELECT subject, idx // 4 AS block, avg(h) AS m FROM samples GROUP BY ALL HAVING count(*) = 4), f AS (SELECT *, first_value(m) OVER (PARTITION BY subject ORDER BY block) AS m0 FROM b),
+  w AS (SELECT subject, block, list(m) OVER (PARTITION BY subject ORDER BY block ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) AS v, m0 FROM f),
+  v AS (SELECT subject, block, list_concat(v, list_transform(range(6 - len(v)), lambda i: m0)) AS v FROM w), c AS (SELECT *, list_median(v) AS med FROM v), e AS (SELECT *, list_median(list_transform(v, lambda q: abs(q - med))) * 1.4826 AS sd FROM c)
+  SELECT subject, block, {r('list_avg(list_filter(v, lambda q: abs(q - med) <= 1.0 * sd))', 'base')} FROM e""")
+def robust_baseline(spark, d):
+    return rounded(drift.robust_baseline(samples(spark, d).select("subject", "idx", "h"), BY, "idx", "h", 4, 6, 1.0))
+
+
+@query()
+def robust_detrend(spark, d):
+    s = samples(spark, d).select("subject", "idx", "h")
+    past = drift.robust_mean(s, BY, "idx", "h", "past", 4, 6).drop("h")
+    return rounded(past.join(drift.robust_mean(s, BY, "idx", "h", "centred", 4, 6, centre=True).drop("h"), ["subject", "idx"]))
+
+
+@query(f"""WITH {SAMPLES}, n AS (SELECT subject, max(idx) + 1 AS n FROM samples GROUP BY subject), q AS (SELECT s.subject, avg(h) AS m, stddev_pop(h) AS sd FROM samples s JOIN n ON n.subject = s.subject
+  WHERE CASE WHEN s.subject % 2 = 0 THEN idx >= 2 AND idx < 7 ELSE idx < greatest(1, n // 10) END GROUP BY s.subject) SELECT s.subject, s.idx, {r('CASE WHEN sd = 0 THEN 0 ELSE (h - m) / sd END', 'h')} FROM samples s JOIN q ON q.subject = s.subject""")
+def zscore_rest(spark, d):
+    s = samples(spark, d)
+    events = s.select("subject").distinct().withColumn("s1_on", F.when(F.col("subject") % 2 == 0, 7))
+    stats = normalise.rest_stats(s, events, BY, BY, "idx", ["h"], 5)
+    return rounded(normalise.zscore(s.select("subject", "idx", "h"), stats, BY, ["h"]))
+
+
+@query(f"""WITH {PREDICTIONS}, t AS (SELECT avg(y_h) AS m, stddev_pop(y_h) AS sd FROM preds WHERE fold <> 0) SELECT subject, window_start, {r('least(greatest((y_h - m) / sd, -1.5), 1.5)', 'y_h')} FROM preds, t WHERE fold = 0""")
+def standardised(spark, d):
+    p = predictions(spark, d).select("subject", "window_start", "y_h", "fold")
+    return rounded(normalise.standardise(p.filter("fold <> 0"), p.filter("fold = 0"), ["y_h"], 1.5).drop("fold"))
+
+
+@query(f"""WITH x AS (SELECT vec_id // 50 AS rec, label, unnest(generate_series(1, 4)) AS ch, embedding FROM embeddings), l AS (SELECT rec, label AS y, ch, embedding[ch] AS v, vec_id FROM (SELECT x.*, e.vec_id FROM x JOIN embeddings e ON e.embedding = x.embedding)),
+  p AS (SELECT a.rec, a.ch AS a, b.ch AS b, corr(CAST(a.v AS DOUBLE) - CAST(b.v AS DOUBLE), a.y) AS c FROM l a JOIN l b ON a.vec_id = b.vec_id AND a.ch < b.ch GROUP BY ALL), z AS (SELECT 'y' AS axis, a, b, avg(atanh(greatest(least(c, 0.999), -0.999))) AS z FROM p GROUP BY ALL)
+  SELECT axis, CAST(a AS VARCHAR) AS a, CAST(b AS VARCHAR) AS b, {r('z', 'z')}, row_number() OVER (ORDER BY abs(z) DESC, a, b) AS rank FROM z QUALIFY rank <= 3""")
+def channel_pairs(spark, d):
+    e = table(spark, d, "embeddings").select(F.floor(F.col("vec_id") / 50).alias("rec"), "vec_id", *(F.col("embedding")[k].cast("double").alias(str(k + 1)) for k in range(4)), F.col("label").cast("double").alias("y"))
+    long = e.unpivot(["rec", "vec_id"], ["1", "2", "3", "4"], "channel", "value")
+    target = e.select("rec", "vec_id", F.lit("y").alias("axis"), F.col("y").alias("value"))
+    return rounded(montage.pair_correlations(long, target, ["rec"], "vec_id")).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query("""SELECT vec_id, round(CAST(embedding[1] AS DOUBLE) - CAST(embedding[2] AS DOUBLE), 6) + 0.0 AS "H", round(CAST(embedding[4] AS DOUBLE) - CAST(embedding[3] AS DOUBLE), 6) + 0.0 AS "V" FROM embeddings""")
+def bipolar_montage(spark, d):
+    e = table(spark, d, "embeddings").select("vec_id", *(F.col("embedding")[k].cast("double").alias(c) for k, c in enumerate(("REOG", "LEOG", "UEOG", "DEOG"))))
+    return rounded(montage.bipolar(e, flip_v=True).select("vec_id", "H", "V"), 6)
+
+
+# context features
+
+
+@query(f"""WITH {SAMPLES}, {WINDOWS}, b AS (SELECT subject, idx // 4 AS block, avg(h) AS m FROM samples GROUP BY ALL HAVING count(*) = 4), q AS (SELECT subject, block, CASE WHEN count(*) OVER w >= 3 THEN quantile_cont(m, 0.05) OVER w END AS lo, CASE WHEN count(*) OVER w >= 3 THEN quantile_cont(m, 0.95) OVER w END AS hi FROM b
+    WINDOW w AS (PARTITION BY subject ORDER BY block ROWS BETWEEN 7 PRECEDING AND CURRENT ROW)), l AS (SELECT subject, window_start, avg(h) AS level FROM win GROUP BY ALL)
+  SELECT l.subject, window_start, {r('coalesce(level - (lo + hi) / 2, 0)', 'h_level')}, {r('coalesce(hi - lo, 0)', 'h_range')}, {r('coalesce((level - (lo + hi) / 2) / (hi - lo + 1e-6), 0)', 'h_ratio')}
+  FROM l LEFT JOIN q ON q.subject = l.subject AND q.block = (window_start + {WIN}) // 4 - 1""")
+def range_features(spark, d):
+    s = samples(spark, d)
+    return rounded(features.range_features(s, windows.window_starts(s, BY, "idx", WIN, STRIDE), BY, "idx", "h", WIN, 4, 8, 3))
+
+
+@query(f"""WITH {SAMPLES}, {WINDOWS}, l AS (SELECT subject, window_start, avg(h) AS m FROM win GROUP BY ALL), g AS (SELECT DISTINCT t.subject, greatest(t.window_start - 6, 0) AS then_start FROM starts t),
+  p AS (SELECT g.subject, g.then_start, avg(s.h) AS m FROM g JOIN samples s ON s.subject = g.subject AND s.idx >= then_start AND s.idx < then_start + {WIN} GROUP BY ALL)
+  SELECT l.subject, l.window_start, {r('l.m - p.m', 'h_lag_6')} FROM l JOIN p ON p.subject = l.subject AND p.then_start = greatest(l.window_start - 6, 0)""")
+def lag_features(spark, d):
+    s = samples(spark, d)
+    return rounded(features.lag_features(s, windows.window_starts(s, BY, "idx", WIN, STRIDE), BY, "idx", "h", WIN, [6]))
+
+
+@query(f"""WITH {SAMPLES}, {WINDOWS}, l AS (SELECT subject, window_start, avg(h) AS m FROM win GROUP BY ALL), b AS (SELECT subject, idx, avg(h) OVER (PARTITION BY subject ORDER BY idx ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS base FROM samples)
+  SELECT l.subject, l.window_start, {r('l.m', 'h_mean')}, {r('l.m - base', 'h_relative')} FROM l JOIN b ON b.subject = l.subject AND b.idx = l.window_start + {WIN - 1}""")
+def head_features(spark, d):
+    s = samples(spark, d)
+    return rounded(features.head_features(s, windows.window_starts(s, BY, "idx", WIN, STRIDE), BY, "idx", ["h"], WIN, 20))
+
+
+@query(f"""WITH {SAMPLES}, n AS (SELECT *, lag(h) OVER w AS hp, lead(h) OVER w AS hn, lag(v) OVER w AS vp, lead(v) OVER w AS vn FROM samples WINDOW w AS (PARTITION BY subject ORDER BY idx)),
+  g AS (SELECT subject, idx, coalesce((hn - hp) / 2, hn - h, h - hp, 0) AS gh, coalesce((vn - vp) / 2, vn - v, v - vp, 0) AS gv FROM n), m AS (SELECT subject, median(gh) AS mh, median(gv) AS mv FROM g GROUP BY subject),
+  s AS (SELECT g.subject, 1.4826 * median(abs(gh - mh)) + 1e-12 AS sh, 1.4826 * median(abs(gv - mv)) + 1e-12 AS sv FROM g JOIN m ON m.subject = g.subject GROUP BY g.subject)
+  SELECT g.subject, g.idx, {r('sqrt(pow(gh / sh, 2) + pow(gv / sv, 2))', 'speed')} FROM g JOIN s ON s.subject = g.subject""")
+def eye_speed(spark, d):
+    return rounded(features.velocity(samples(spark, d).select("subject", "idx", "h", "v"), BY, "idx", ["h", "v"], 1.0).drop("h", "v"))
+
+
+# metrics
+
+_ERR = ", ".join(f"sqrt(avg(pow(yhat_{a} - y_{a}, 2))) AS rmse_{a}, avg(abs(yhat_{a} - y_{a})) AS mae_{a}, 1 - sum(pow(yhat_{a} - y_{a}, 2)) / (var_pop(y_{a}) * count(*)) AS r2_{a}" for a in "hv")
+_ROUND = ", ".join(r(c, c, 4) for c in ("rmse_h", "mae_h", "r2_h", "rmse_v", "mae_v", "r2_v", "rmse"))
+
+
+@query(f"""WITH {PREDICTIONS}, e AS (SELECT fold, {_ERR}, sqrt(avg(pow(yhat_h - y_h, 2) + pow(yhat_v - y_v, 2)) / 2) AS rmse, count(*) AS n FROM preds GROUP BY GROUPING SETS ((fold), ())) SELECT fold, {_ROUND}, n FROM e""")
+def regression_metrics(spark, d):
+    return rounded(metrics.regression(predictions(spark, d), ["fold"], pooled=True), 4)
+
+
+@query(f"""WITH {PREDICTIONS}, e AS (SELECT subject, avg(abs(yhat_h - y_h)) AS h, avg(abs(yhat_v - y_v)) AS v FROM preds WHERE is_fixation GROUP BY subject) SELECT {r('avg(h)', 'mae_h')}, {r('avg(v)', 'mae_v')}, {r('stddev_pop(h)', 'sd_h')}, {r('stddev_pop(v)', 'sd_v')}, count(*) AS subjects FROM e""")
+def fixation_metrics(spark, d):
+    p = predictions(spark, d)
+    return rounded(metrics.fixation(p, BY))
+
+
+@query(f"""WITH {PREDICTIONS}, b AS (SELECT *, CASE WHEN sqrt(y_h * y_h + y_v * y_v) < 3 THEN -1 ELSE CAST(floor((((degrees(atan2(y_v, y_h)) % 360) + 360) % 360) / 45) AS INTEGER) % 8 END AS bin FROM preds),
+  e AS (SELECT bin, count(*) AS n, sqrt(avg(pow(yhat_h - y_h, 2))) AS eh, sqrt(avg(pow(yhat_v - y_v, 2))) AS ev, sqrt(avg(pow(yhat_h - y_h, 2) + pow(yhat_v - y_v, 2))) AS e2 FROM b GROUP BY bin)
+  SELECT CAST(g.bin AS INTEGER) AS bin, coalesce(n, 0) AS n, {r('eh', 'rmse_h')}, {r('ev', 'rmse_v')}, {r('e2', 'rmse_2d')} FROM range(-1, 8) g(bin) LEFT JOIN e ON e.bin = g.bin""")
+def direction_metrics(spark, d):
+    return rounded(metrics.directions(predictions(spark, d)))
+
+
+@query("""WITH c AS (SELECT quality AS y, CASE WHEN doc_id % 7 < 5 THEN 1 ELSE 0 END AS p FROM labels), t AS (SELECT k AS y, count(*) FILTER (y = k AND p = k) AS hit, count(*) FILTER (p = k) AS guessed, count(*) FILTER (y = k) AS support FROM c, (VALUES (0), (1)) v(k) GROUP BY k)
+  SELECT y, round(CASE WHEN guessed > 0 THEN hit / guessed ELSE 0 END, 6) + 0.0 AS precision, round(CASE WHEN support > 0 THEN hit / support ELSE 0 END, 6) + 0.0 AS recall, round(2 * hit / (guessed + support), 6) + 0.0 AS f1, support FROM t""")
+def f1_scores(spark, d):
+    x = table(spark, d, "labels").select(F.col("quality").alias("y"), F.when(F.col("doc_id") % 7 < 5, 1).otherwise(0).alias("p"))
+    return rounded(metrics.f1_scores(x, "y", "p"), 6)
+
+
+@query("""WITH c AS (SELECT quality AS y, CASE WHEN doc_id % 7 < 5 THEN 1 ELSE 0 END AS p FROM labels) SELECT y, p AS yhat, count(*) AS n FROM c GROUP BY ALL""")
+def confusion_matrix(spark, d):
+    x = table(spark, d, "labels").select(F.col("quality").alias("y"), F.when(F.col("doc_id") % 7 < 5, 1).otherwise(0).alias("p"))
+    return metrics.confusion(x, "y", "p")
+
+
+@query("""WITH c AS (SELECT label, count(*) AS n FROM embeddings WHERE label < 6 GROUP BY label) SELECT CAST(k AS INTEGER) AS label, round(coalesce((SELECT sum(n) FROM c) / ((SELECT count(*) FROM c) * n), 0), 6) + 0.0 AS weight FROM range(8) g(k) LEFT JOIN c ON c.label = k""")
+def class_weights(spark, d):
+    return rounded(metrics.class_weights(table(spark, d, "embeddings").filter("label < 6"), "label", 8), 6)
+
+
+_CAL = ", ".join(f"CASE WHEN var_pop(y_{a}) < 5 OR var_pop(yhat_{a}) < 1e-4 THEN 1.0 ELSE greatest(least(covar_pop(yhat_{a}, y_{a}) / (var_pop(yhat_{a}) + 1e-4), 5), 0.2) END AS g_{a}, avg(y_{a}) AS my_{a}, avg(yhat_{a}) AS mp_{a}" for a in "hv")
+
+
+@query(f"""WITH {PREDICTIONS}, g AS (SELECT subject, {_CAL} FROM preds GROUP BY subject) SELECT subject, {r('g_h', 'gain_h')}, {r('my_h - g_h * mp_h', 'offset_h')}, {r('g_v', 'gain_v')}, {r('my_v - g_v * mp_v', 'offset_v')} FROM g""")
+def affine_calibration(spark, d):
+    return rounded(metrics.calibration(predictions(spark, d), BY))
+
+
+@query(f"""WITH {PREDICTIONS}, k AS (SELECT *, row_number() OVER w AS k, count(*) OVER (PARTITION BY subject) AS n FROM preds WINDOW w AS (PARTITION BY subject ORDER BY window_start)), c AS (SELECT *, k <= least(greatest(5, ceil(0.2 / 0.05)), n // 4) AS cal FROM k WHERE n >= 20),
+  g AS (SELECT subject, {_CAL} FROM c WHERE cal GROUP BY subject) SELECT c.subject, window_start, {r('yhat_h * g_h + my_h - g_h * mp_h', 'cal_h', 4)} FROM c JOIN g ON g.subject = c.subject WHERE NOT cal""")
+def few_shot_calibration(spark, d):
+    return rounded(metrics.calibrated(predictions(spark, d), BY, FS, prompt=0.2, least=5).select("subject", "window_start", "cal_h"), 4)
+
+
+@query(f"""WITH {PREDICTIONS}, f AS (SELECT subject, window_start AS pos FROM preds WHERE is_fixation), g AS (SELECT subject, unnest(range(min(window_start), max(window_start) + 1, 16)) AS t FROM preds GROUP BY subject),
+  c AS (SELECT DISTINCT g.subject, coalesce((SELECT min(pos) FROM f WHERE f.subject = g.subject AND pos >= t), (SELECT max(pos) FROM f WHERE f.subject = g.subject)) AS pos FROM g), m AS (SELECT p.subject, p.window_start AS pos, y_h, yhat_h FROM c JOIN preds p ON p.subject = c.subject AND p.window_start = c.pos)
+  SELECT p.subject, p.window_start, {r('CASE WHEN m.pos < p.window_start THEN m.y_h + p.yhat_h - m.yhat_h END', 'anchored_h')} FROM preds p ASOF LEFT JOIN m ON m.subject = p.subject AND p.window_start >= m.pos""")
+def anchored_predictions(spark, d):
+    return rounded(metrics.anchored(predictions(spark, d), BY, 16).select("subject", "window_start", "anchored_h"))
+
+
+@query(f"""WITH {PREDICTIONS}, e AS (SELECT subject, round(avg(abs(yhat_h - y_h)) + 1.3e-5, 4) AS a, round(avg(abs(yhat_v - y_v)) + 1.3e-5, 4) AS b FROM preds GROUP BY subject), dif AS (SELECT subject, a AS model, b AS reference, round(b - a, 4) AS improvement FROM e),
+  k AS (SELECT subject, (rank() OVER (ORDER BY abs(improvement)) + (count(*) OVER (PARTITION BY abs(improvement)) - 1) / 2.0) * sign(improvement) AS signed_rank FROM dif WHERE improvement <> 0)
+  SELECT dif.subject, {r('model', 'model')}, {r('reference', 'reference')}, {r('improvement', 'improvement')}, signed_rank + 0.0 AS signed_rank FROM dif LEFT JOIN k ON k.subject = dif.subject""")
+def paired_ranks(spark, d):
+    e = predictions(spark, d).groupBy("subject").agg(F.avg(F.abs(F.col("yhat_h") - F.col("y_h"))).alias("a"), F.avg(F.abs(F.col("yhat_v") - F.col("y_v"))).alias("b"))
+    whole = lambda c: e.select("subject", F.round((F.col(c) + 1.3e-5) * 10_000).alias("x"))  # noqa: E731  whole numbers, so that ties are ties
+    x = metrics.paired(whole("a"), whole("b"), BY, "x")
+    return rounded(x.select("subject", *((F.col(c) / 10_000).alias(c) for c in ("model", "reference", "improvement")), "signed_rank"))
+
+
+@query()
+def paired_comparison(spark, d):
+    e = predictions(spark, d).groupBy("subject").agg(F.avg(F.abs(F.col("yhat_h") - F.col("y_h"))).alias("a"), F.avg(F.abs(F.col("yhat_v") - F.col("y_v"))).alias("b"))
+    return rounded(statistics.compare(e.select("subject", F.col("a").alias("x")), e.select("subject", F.col("b").alias("x")), BY, "x"))
+
+
+# folds
+
+
+@query("""WITH RECURSIVE c AS (SELECT user_id, count(*) AS n FROM events GROUP BY user_id), o AS (SELECT *, row_number() OVER (ORDER BY n DESC, user_id) AS k FROM c),
+  g AS (SELECT 0::BIGINT AS k, [0, 0, 0, 0, 0]::BIGINT[] AS load, -1::BIGINT AS user_id, -1 AS fold UNION ALL
+    SELECT o.k, list_transform(range(5), lambda i: load[i+1] + CASE WHEN i + 1 = list_position(load, list_min(load)) THEN o.n ELSE 0 END), o.user_id, CAST(list_position(load, list_min(load)) - 1 AS INTEGER) FROM g JOIN o ON o.k = g.k + 1)
+  SELECT user_id, fold FROM g WHERE k > 0""")
+def group_folds(spark, d):
+    return folds.group_folds(table(spark, d, "events"), ["user_id"], 5)
+
+
+@query(f"""WITH {PREDICTIONS}, s AS (SELECT fold AS "outer", window_start % 3 AS "inner", k AS ordinal, avg(abs(yhat_h - y_h) * (1 + (k * 7 + fold) % 5 / 10.0)) AS score FROM preds, range(4) t(k) GROUP BY ALL), m AS (SELECT "outer", ordinal, avg(score) AS score FROM s GROUP BY ALL)
+  SELECT "outer", 'c' || arg_min(ordinal, [score, ordinal]) AS candidate, {r('min(score)', 'score')} FROM m GROUP BY "outer" """)
+def nested_selection(spark, d):
+    k = spark.range(4).select(F.col("id").alias("ordinal"))
+    p = predictions(spark, d).crossJoin(F.broadcast(k))  # four candidates
+    s = p.groupBy(F.col("fold").alias("outer"), (F.col("window_start") % 3).alias("inner"), "ordinal").agg(F.avg(F.abs(F.col("yhat_h") - F.col("y_h")) * (1 + (F.col("ordinal") * 7 + F.col("fold")) % 5 / 10.0)).alias("score"))
+    return rounded(folds.select_nested(s.withColumn("candidate", F.concat(F.lit("c"), F.col("ordinal")))))
+
+
+# known start
+
+_PAIRS = "p AS (SELECT subject % 3 AS part, h - 20 AS x, v - 50 AS y, target_h AS a, target_v AS b FROM samples), s AS (SELECT part, sum(x*x) AS pp, sum(x*y) AS pq, sum(y*y) AS qq, sum(x*a) AS ph, sum(y*a) AS qh, sum(x*b) AS pv, sum(y*b) AS qv FROM p GROUP BY part)"
+
+
+@query(f"""WITH {SAMPLES}, {_PAIRS} SELECT part, {r('(qq*ph - pq*qh) / (pp*qq - pq*pq)', 'a_hh')}, {r('(pp*qh - pq*ph) / (pp*qq - pq*pq)', 'a_hv')}, {r('(qq*pv - pq*qv) / (pp*qq - pq*pq)', 'a_vh')}, {r('(pp*qv - pq*pv) / (pp*qq - pq*pq)', 'a_vv')} FROM s""")
+def plane_fit(spark, d):
+    s = samples(spark, d).select((F.col("subject") % 3).alias("part"), (F.col("h") - 20).alias("x"), (F.col("v") - 50).alias("y"), F.col("target_h").alias("a"), F.col("target_v").alias("b"))
+    return rounded(known_start.fit_plane(s, ["part"], ("x", "y"), ("a", "b")))
+
+
+@query(f"""WITH {PREDICTIONS}, e AS (SELECT subject, window_start, CASE WHEN window_start % 8 = 0 THEN 'blink' ELSE 'saccade' END AS kind, pow(yhat_h - y_h, 2) AS err_h, abs(yhat_v - y_v) AS err_v FROM preds),
+  f AS (SELECT subject, kind, quantile_cont(err_h, 0.25) AS h1, quantile_cont(err_h, 0.75) AS h3, quantile_cont(err_v, 0.25) AS v1, quantile_cont(err_v, 0.75) AS v3 FROM e GROUP BY ALL),
+  o AS (SELECT e.*, err_h > h3 + 0.5 * (h3 - h1) OR err_v > v3 + 0.5 * (v3 - v1) AS outlier FROM e JOIN f ON f.subject = e.subject AND f.kind = e.kind),
+  s AS (SELECT subject, avg(err_h) AS ah, avg(err_v) AS av, coalesce(avg(err_h) FILTER (NOT outlier), avg(err_h)) AS kh, coalesce(avg(err_v) FILTER (NOT outlier), avg(err_v)) AS kv, count(*) FILTER (outlier) AS out, count(*) AS n FROM o GROUP BY subject)
+  SELECT {r('avg(ah)', 'mae_h_deg')}, {r('stddev_pop(ah)', 'mae_h_sd_deg')}, {r('avg(av)', 'mae_v_deg')}, {r('stddev_pop(av)', 'mae_v_sd_deg')}, {r('avg(kh)', 'excluded_mae_h_deg')}, {r('stddev_pop(kh)', 'excluded_mae_h_sd_deg')},
+  {r('avg(kv)', 'excluded_mae_v_deg')}, {r('stddev_pop(kv)', 'excluded_mae_v_sd_deg')}, {r('sum(out) / sum(n)', 'excluded_fraction')}, CAST(sum(n) AS BIGINT) AS n_segments FROM s""")
+def error_summary(spark, d):
+    p = predictions(spark, d)
+    e = p.select("subject", F.when(F.col("window_start") % 8 == 0, "blink").otherwise("saccade").alias("kind"), F.pow(F.col("yhat_h") - F.col("y_h"), 2).alias("err_h"), F.abs(F.col("yhat_v") - F.col("y_v")).alias("err_v"))
+    return rounded(known_start.summary(e, BY, 0.5))
+
+
+@query(f"WITH {SAMPLES}, p AS (SELECT DISTINCT subject, ntile(3) OVER (PARTITION BY subject ORDER BY idx) - 1 AS part FROM samples) SELECT a.subject, a.part AS fit, b.part AS test FROM p a JOIN p b ON a.subject = b.subject AND a.part <> b.part")
+def part_orders(spark, d):
+    x = ordered.parts(samples(spark, d).select("subject", "idx"), BY, ["idx"])
+    return known_start.part_orders(x, BY, "part").select("subject", F.col("fit").cast("long").alias("fit"), F.col("test").cast("long").alias("test"))
+
+
+@query()
+def eye_movements(spark, d):
+    low = KnownStart(speed_onset_sd=2.0, speed_offset_sd=1.0, merge_ms=8.0)  # the tables hold noise, which has no movements of eyes
+    return rounded(known_start.movements(line_samples(table(spark, d, "lineitem"), FS), BY, "idx", FS, low))
+
+
+@query()
+def protocol_windows(spark, d):
+    s = samples(spark, d)
+    labels = known_start.ground_truth(s, BY, "idx", FS)
+    return known_start.protocol(s.join(labels, ["subject", "idx"]), BY, "idx", FS)
+
+
+# filters over long recordings, augmentation, models
+
+
+@query()
+def zero_phase_low_pass(spark, d):
+    return rounded(filters.low_pass(line_samples(table(spark, d, "lineitem"), FS), BY, "idx", ["h", "v"], FS))
+
+
+@query()
+def mains_spikes(spark, d):
+    return rounded(filters.mains_spike(line_samples(table(spark, d, "lineitem"), FS), BY, "idx", ["h", "v"], FS))
+
+
+@query()
+def augmented_windows(spark, d):
+    e = table(spark, d, "embeddings").select("vec_id", F.slice("embedding", 1, 32).cast("array<double>").alias("a"), F.slice("embedding", 33, 32).cast("array<double>").alias("b"))
+    x = augment.augmented(e, ["vec_id"], ["a", "b"], seed=1)
+    return rounded(x.select("vec_id", F.array_max("a").alias("a_max"), F.array_min("b").alias("b_min")))
+
+
+@query()
+def boosted_regression(spark, d):
+    w = windows.window_arrays(samples(spark, d), BY, "idx", ["h", "v"], WIN, STRIDE)
+    columns = ["v_mean", "v_std", "v_slope"]
+    x = features.window_features(w, ["h", "v"], FS, spectral=False).select("subject", "window_start", *columns)
+    y = windows.regression_windows(samples(spark, d), BY, "idx", {"y": "target_h"}, WIN, STRIDE)
+    data = x.join(y, ["subject", "window_start"]).withColumn("fold", F.col("subject") % 2)
+    model = models.boosted_regressor(columns, "y", rounds=5).fit(data.filter("fold = 0"))
+    return rounded(model.transform(data.filter("fold = 1")).select("subject", "window_start", "y", F.col("prediction").alias("yhat")), 3)
