@@ -27,6 +27,13 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, rows: int = 1_000) -> None:
+    """Texts are long: no more than so many rows go to Python at once, in this session."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= rows:
+        spark.conf.set(key, rows)
+
+
 def keyed_join(df: DataFrame, ids: DataFrame, on: list[str], how: str) -> DataFrame:
     """df joined with a written table of ids, which is broadcast only if counted to be small."""
     return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, on, how)

@@ -14,7 +14,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tidewave.llm.store import held_out, keyed_join, written
+from tidewave.llm.store import held_out, keyed_join, small_batches, written
 from tidewave.llm.words import hashed, mix
 
 BITS = 22
@@ -53,7 +53,7 @@ def _weights(z: np.ndarray, n: np.ndarray, l1: float) -> np.ndarray:
 
 
 def _shard(rows: pd.DataFrame, only: np.ndarray | None, l1: float) -> pd.DataFrame:
-    """FTRL's state (z, n) after PASSES over a shard, where it isn't zero. The last coordinate is the bias."""
+    """FTRL's state (z, n) after PASSES over a shard, where its weight isn't zero. The last coordinate is the bias."""
     rows = rows.sort_values("doc_id")
     docs = [np.frombuffer(x, np.int32) for x in rows["codes"]]
     if only is None:
@@ -75,37 +75,40 @@ def _shard(rows: pd.DataFrame, only: np.ndarray | None, l1: float) -> pd.DataFra
             g = p - labels[d]
             z[at] += g - (np.sqrt(n[at] + g * g) - np.sqrt(n[at])) / ALPHA * w
             n[at] += g * g
-    at = np.flatnonzero(n)
+    at = np.flatnonzero(np.abs(z) > l1)
     return pd.DataFrame({"at": at, "z": z[at], "n": n[at]})
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray]:
     """(coordinates, weights) that aren't zero, learned from labelled rows (doc_id, label) that aren't held out. The coordinate 1 << BITS is the bias.
 
-    A first run with L1 chooses the coordinates; a second one, without it, weighs those alone, so that what L1 takes from each
+    A first run with L1 chooses the coordinates, those of a nonzero weight in any shard; a second one, without it, weighs those alone, so that what L1 takes from each
     weight does not hide a document with one toxic word. Rows whose text, label or id is null are not learned from;
     without any labels, all weights are zero.
     """
+    small_batches(docs.sparkSession)
     known = written(labels.filter(~held_out(5, 0) & F.col(label).isin(0, 1)).select("doc_id", F.col(label).cast("int").alias("label")).dropDuplicates(["doc_id"]))
     total = known.count()
     part = min(1.0, sample / max(total, 1))
     chosen = written(known.filter(F.pmod(F.xxhash64("doc_id", F.lit(label)), F.lit(1 << 30)) < int(part * (1 << 30))))
     shards = max(1, -(-min(total, sample) // SHARD))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            codes = pa.array([x.astype(np.int32).tobytes() for x in by_text(batch.column("text"))], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), codes], ["doc_id", "label", "codes"])
-
     rows = keyed_join(docs.filter(F.col("text").isNotNull()).select("doc_id", "text"), chosen, ["doc_id"], "inner").select("doc_id", "label", "text")
-    rows = written(rows.mapInArrow(run, "doc_id long, label int, codes binary")).withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)))
 
-    def trained(only: np.ndarray | None, l1: float) -> tuple[np.ndarray, np.ndarray]:
-        states = rows.groupBy("shard").applyInPandas(lambda x: _shard(x, only, l1), "at long, z double, n double")
-        merged = states.groupBy("at").agg((F.sum("z") / shards).alias("z"), (F.sum("n") / shards).alias("n")).filter(F.abs("z") > l1).toPandas().sort_values("at")
-        return merged["at"].to_numpy(np.int64), _weights(merged["z"].to_numpy(), merged["n"].to_numpy(), l1)
+    def trained(only: np.ndarray | None, l1: float) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                codes = by_text(batch.column("text"))
+                codes = codes if only is None else (x[np.isin(x, only)] for x in codes)
+                codes = pa.array([x.astype(np.int32).tobytes() for x in codes], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), codes], ["doc_id", "label", "codes"])
+
+        sharded = rows.mapInArrow(run, "doc_id long, label int, codes binary").withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)))
+        return sharded.groupBy("shard").applyInPandas(lambda x: _shard(x, only, l1), "at long, z double, n double")
 
-    return trained(trained(None, L1)[0], 0.0)
+    selected = trained(None, L1).select("at").distinct().toPandas()["at"].to_numpy(np.int64)
+    merged = trained(selected, 0.0).groupBy("at").agg((F.sum("z") / shards).alias("z"), (F.sum("n") / shards).alias("n")).toPandas().sort_values("at")
+    return merged["at"].to_numpy(np.int64), _weights(merged["z"].to_numpy(), merged["n"].to_numpy(), 0.0)
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], threshold: float = 0.5) -> DataFrame:
