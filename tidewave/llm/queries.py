@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidewave.llm import embed_dup, language, line_dedup, mixing, near_dup, packing, quality, quotes, topk, toxicity
+from tidewave.llm import embed_dup, language, line_dedup, mixing, near_dup, packing, quality, quotes, sql, topk, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,4 +54,4 @@ def op10_topk(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_quality, op3_quotes, op4_packing, op5_minhash, op6_embedding, op7_mixing, op8_language, op9_toxicity, op10_topk)}
-SQL: dict[str, str] = {}
+SQL = {"op1_line_dedup": sql.OP1, "op3_quotes": sql.OP3, "op5_minhash": sql.OP5, "op6_embedding": sql.OP6, "op7_mixing": sql.OP7, "op10_topk": sql.OP10}
