@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from tidewave.llm.store import small_batches
 from tidewave.llm.tokens import encoder
 
 #: Groups that sequence numbers are dealt in; each numbers its own rows, so no task sees all rows.
@@ -44,6 +45,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, longest: int = 2048, end
     if longest & (longest - 1):
         raise ValueError("longest must be a power of two")
     path = tokenizer or default_tokenizer()
+    small_batches(docs.sparkSession)
     kind = pa.struct([("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())] + [("ids", pa.list_(pa.int32()))] * keep_ids)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

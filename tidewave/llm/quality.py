@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tidewave.llm.store import held_out, keyed_join, written
+from tidewave.llm.store import held_out, keyed_join, small_batches, written
 from tidewave.llm.words import hashed, mix, randoms
 
 BUCKETS, DIM, NONZERO, REACH = 1 << 13, 32, 4, 2
@@ -154,6 +154,7 @@ def quality(docs: DataFrame, labels: DataFrame, label: str = "quality", threshol
     repeated labels of an id count once. Other columns are ignored; no documents give no rows.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     vectors = word_vectors(word_sums(docs))
     sent = spark.sparkContext.broadcast(vectors)
     known = written(labels.filter(~held_out(4, 2) & F.col(label).isin(0, 1)).select("doc_id", F.col(label).cast("int").alias("label")).dropDuplicates(["doc_id"]))
