@@ -18,15 +18,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tidewave.llm.graph import components
-from tidewave.llm.store import keyed_join, written
+from tidewave.llm.store import keyed_join, small_batches, written
 from tidewave.llm.words import hashed, mix, randoms
 
 #: Minwise values of a set. The first ones are the roots of the trees; nodes below choose among all.
 COORDINATES = 64
 #: A node is compared exhaustively if its members have no more than so many pairs, each, that are not joined yet.
-SMALL = 32
+SMALL = 8
 #: All nodes are, once they have no more than so many such pairs for each document of the table.
-FEW = 8
+FEW = 4
 #: Nodes that are large after so many choices are compared exhaustively too, whatever their size: nothing is skipped.
 DEPTH = 8
 BRANCHES = 2
@@ -129,6 +129,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, rec
     the row's equals; for links, one of a doc_id's texts stands for it. A null doc_id gets its class's component, and is not kept. Other
     columns are ignored; no documents give no rows.
     """
+    small_batches(docs.sparkSession)
     base = written(signatures(docs, words))
     classes = written(base.filter("n > 0 and doc_id is not null").groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig")))
     sigs = classes.select("doc_id", "n", "sig")
@@ -154,17 +155,17 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, rec
         across = minor.join(member, (F.col("minor_node") == F.col("node")) & (F.col("a_component") != F.col("b_component")))
         more(across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
 
-    def left(members: DataFrame) -> tuple[DataFrame, bool]:
+    def left(members: DataFrame, depth: int) -> tuple[DataFrame, bool]:
         """The nodes that still hold apart what might be alike, and whether all their pairs are but a few for each document."""
-        rest = written(mixed(members, label))
+        rest = written(mixed(members, label, depth))
         return rest, (rest.select("node", "across").distinct().agg(F.sum("across")).first()[0] or 0) <= FEW * many
 
     many = classes.count()
     for depth in range(1, DEPTH + 1):
-        rest, few = left(active)
+        rest, few = left(active, depth)
         if not few and depth < DEPTH:
             more(rest.filter("doc_id <> pivot and component <> pivot_component").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")))
-            rest, few = left(rest.select("node", "doc_id"))
+            rest, few = left(rest.select("node", "doc_id"), depth)
         if few or depth == DEPTH:
             exhaustive(rest)
             break
@@ -188,14 +189,15 @@ def shared(nodes: DataFrame) -> DataFrame:
     return written(nodes.join(nodes.groupBy("node").count().filter("count > 1").select("node"), "node").distinct())
 
 
-def mixed(members: DataFrame, label: DataFrame | None) -> DataFrame:
+def mixed(members: DataFrame, label: DataFrame | None, depth: int) -> DataFrame:
     """(node, doc_id, component, m, across, largest, pivot, pivot_component) of nodes whose members are not all joined yet: m members, `across`
-    pairs of them are not joined, largest is the component of most."""
+    pairs of them are not joined, largest is the component of most. The pivot is the least member at the root, else any, by hash."""
     known = members.withColumn("component", F.col("doc_id")) if label is None else members.join(label.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    joined = known.groupBy("node", "component").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first"))
+    first = F.struct((F.xxhash64("doc_id", "node") if depth > 1 else F.col("doc_id")).alias("order"), "doc_id", "component")
+    joined = known.groupBy("node", "component").agg(F.count(F.lit(1)).alias("n"), F.min(first).alias("first"))
     nodes = joined.groupBy("node").agg(
-        F.sum("n").alias("m"), F.count(F.lit(1)).alias("apart"), F.sum(F.col("n") * F.col("n")).alias("squares"), F.max_by("component", F.struct("n", "component")).alias("largest"), F.min(F.struct("first", "component")).alias("least")
+        F.sum("n").alias("m"), F.count(F.lit(1)).alias("apart"), F.sum(F.col("n") * F.col("n")).alias("squares"), F.max_by("component", F.struct("n", "component")).alias("largest"), F.min("first").alias("least")
     )
     across = (F.col("m") * F.col("m") - F.col("squares")) / 2
-    nodes = nodes.filter("apart > 1").select("node", "m", across.alias("across"), "largest", F.col("least.first").alias("pivot"), F.col("least.component").alias("pivot_component"))
+    nodes = nodes.filter("apart > 1").select("node", "m", across.alias("across"), "largest", F.col("least.doc_id").alias("pivot"), F.col("least.component").alias("pivot_component"))
     return known.join(nodes, "node")
