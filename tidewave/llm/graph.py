@@ -4,7 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tidewave.llm.store import written
+from tidewave.llm.store import counted, written
+
+
+def _followed(hook: DataFrame) -> DataFrame:
+    """(id, root): where the hooks of hook (id, root) end. Each round follows four of them at once."""
+    while True:
+        x = hook.withColumn("last", F.col("root"))
+        for _ in range(3):
+            x = x.select("id", F.col("root").alias("last"), F.col("root").alias("at")).join(hook.select(F.col("id").alias("at"), "root"), "at").select("id", "last", "root")
+        x, moved = counted(x.select("id", "root", (F.col("root") != F.col("last")).alias("moved")), F.col("moved"))
+        hook = x.select("id", "root")
+        if not moved:
+            return hook
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -16,20 +28,14 @@ def components(links: DataFrame) -> DataFrame:
     """
     links = written(links.select("a", "b").filter("a <> b").distinct())
     label = None
-    while not label or not links.isEmpty():
+    while True:
         both = links.union(links.select("b", "a"))
-        hook = written(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("root")).select("id", F.least("id", "root").alias("root")))
-        while True:
-            jumped = hook.join(hook.select(F.col("id").alias("root"), F.col("root").alias("next")), "root").select("id", F.col("next").alias("root"), (F.col("next") != F.col("root")).alias("moved"))
-            jumped = written(jumped)
-            hook = jumped.select("id", "root")
-            if jumped.filter("moved").isEmpty():
-                break
+        hook = _followed(written(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("root")).select("id", F.least("id", "root").alias("root"))))
         if label is None:
             label = hook
         else:
-            label = label.join(hook.select(F.col("id").alias("root"), F.col("root").alias("next")), "root", "left").select("id", F.coalesce("next", "root").alias("root"))
-        label = written(label)
+            label = written(label.join(hook.select(F.col("id").alias("root"), F.col("root").alias("next")), "root", "left").select("id", F.coalesce("next", "root").alias("root")))
         of = lambda end: hook.select(F.col("id").alias(end), F.col("root").alias(f"{end}_root"))
-        links = written(links.join(of("a"), "a").join(of("b"), "b").select(F.col("a_root").alias("a"), F.col("b_root").alias("b")).filter("a <> b").distinct())
-    return label.select("id", F.col("root").alias("component"))
+        links, apart = counted(links.join(of("a"), "a").join(of("b"), "b").select(F.col("a_root").alias("a"), F.col("b_root").alias("b")).filter("a <> b").distinct())
+        if not apart:
+            return label.select("id", F.col("root").alias("component"))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tidewave.llm.graph import components
-from tidewave.llm.store import keyed_join, small_batches, written
+from tidewave.llm.store import counted, keyed_join, small_batches, written
 from tidewave.llm.words import hashed, mix, randoms
 
 #: Minwise values of a set. The first ones are the roots of the trees; nodes below choose among all.
@@ -90,19 +90,19 @@ def sets(docs: DataFrame, words: int) -> DataFrame:
     return docs.select("id", "text").mapInArrow(run, "id long, found binary")
 
 
-def likely(pairs: DataFrame, sigs: DataFrame, threshold: float) -> DataFrame:
-    """Those of pairs (a, b) whose sizes allow the threshold and whose minwise values do not agree far less (six standard deviations) than it says."""
+def likely(pairs: DataFrame, sigs: DataFrame, threshold: float) -> tuple[DataFrame, int]:
+    """Those of pairs (a, b) whose sizes allow the threshold and whose minwise values do not agree far less (six standard deviations) than it says, and their number."""
     floor = COORDINATES * threshold - 6 * math.sqrt(COORDINATES * threshold * (1 - threshold))
     of = lambda end: sigs.select(F.col("doc_id").alias(end), F.col("sig").alias(f"{end}_sig"), F.col("n").alias(f"{end}_n"))
     agree = F.aggregate(F.zip_with("a_sig", "b_sig", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
     close = F.greatest("a_n", "b_n") * threshold <= F.least("a_n", "b_n") * (1 + 1e-9)
-    return written(pairs.join(of("a"), "a").join(of("b"), "b").filter(close & (agree >= floor)).select("a", "b"))
+    return counted(pairs.join(of("a"), "a").join(of("b"), "b").filter(close & (agree >= floor)).select("a", "b"))
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, words: int, threshold: float) -> DataFrame:
-    """Those of the written pairs (a, b) whose full sets reach the threshold: 100 * intersection >= 100 * threshold * union."""
-    ids = written(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
-    full = sets(keyed_join(docs.select(F.col("doc_id").cast("long").alias("id"), "text"), ids, ["id"], "left_semi"), words)
+def compared(pairs: DataFrame, docs: DataFrame, words: int, threshold: float) -> tuple[DataFrame, int]:
+    """The written pairs (a, b) and whether their full sets reach the threshold (linked): 100 * intersection >= 100 * threshold * union; and how many do."""
+    ids, rows = counted(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
+    full = sets(keyed_join(docs.select(F.col("doc_id").cast("long").alias("id"), "text"), ids, ["id"], "left_semi", rows), words)
     percent = round(100 * threshold)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,10 +114,10 @@ def confirmed(pairs: DataFrame, docs: DataFrame, words: int, threshold: float) -
                 at[at == len(x)] = 0
                 both = int((x[at] == y).sum())
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(keep, pa.bool_())], ["a", "b", "linked"])
 
     side = lambda end: full.select(F.col("id").alias(end), F.col("found").alias(f"{end}_found"))
-    return written(pairs.join(side("b"), "b").join(side("a"), "a").mapInArrow(compare, "a long, b long"))
+    return counted(pairs.join(side("b"), "b").join(side("a"), "a").mapInArrow(compare, "a long, b long, linked boolean"), F.col("linked"))
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, recall: float = 0.999999) -> DataFrame:
@@ -135,42 +135,47 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, rec
     sigs = classes.select("doc_id", "n", "sig")
     roots = F.posexplode(F.slice("sig", 1, trees(threshold, recall)))
     active = shared(classes.select("doc_id", roots.alias("tree", "value")).select(F.xxhash64("tree", "value").alias("node"), "doc_id"))
-    links, label, checked = None, None, None
+    label, checked = None, None
 
     def more(pairs: DataFrame) -> None:
-        nonlocal links, label, checked
+        """Compare pairs that have not been compared, and join what they link."""
+        nonlocal label, checked
         pairs = pairs.distinct()
-        pairs = likely(pairs if checked is None else pairs.join(checked, ["a", "b"], "left_anti"), sigs, threshold)
-        if pairs.isEmpty():
-            return
-        checked = pairs if checked is None else checked.union(pairs)
-        found = confirmed(pairs, docs, words, threshold)
-        if not found.isEmpty():
-            links = found if links is None else links.union(found)
-            label = components(links)
-
-    def exhaustive(rest: DataFrame) -> None:
+        pairs, some = likely(pairs if checked is None else pairs.join(checked, ["a", "b"], "left_anti"), sigs, threshold)
+        if some:
+            new, found = compared(pairs, docs, words, threshold)
+            checked = new if checked is None else checked.union(new)
+            if found:
+                label = components(checked.filter("linked"))
+
+    def exhaustive(rest: DataFrame) -> DataFrame:
+        """All pairs of a node that are not joined; of each, one is outside the node's largest component."""
         member = rest.select("node", F.col("doc_id").alias("b"), F.col("component").alias("b_component"))
         minor = rest.filter(F.col("component") != F.col("largest")).select(F.col("node").alias("minor_node"), F.col("doc_id").alias("a"), F.col("component").alias("a_component"))
         across = minor.join(member, (F.col("minor_node") == F.col("node")) & (F.col("a_component") != F.col("b_component")))
-        more(across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+        return across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
     def left(members: DataFrame, depth: int) -> tuple[DataFrame, bool]:
         """The nodes that still hold apart what might be alike, and whether all their pairs are but a few for each document."""
         rest = written(mixed(members, label, depth))
         return rest, (rest.select("node", "across").distinct().agg(F.sum("across")).first()[0] or 0) <= FEW * many
 
-    many = classes.count()
+    many, small = classes.count(), F.col("across") <= SMALL * F.col("m")
+    later = None  # pairs of nodes that a pivot left small: compared with those of the next choice
     for depth in range(1, DEPTH + 1):
         rest, few = left(active, depth)
+        pairs = exhaustive(rest if few or depth == DEPTH else rest.filter(small))
         if not few and depth < DEPTH:
-            more(rest.filter("doc_id <> pivot and component <> pivot_component").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")))
-            rest, few = left(rest.select("node", "doc_id"), depth)
+            pivots = rest.filter(~small & (F.col("component") != F.col("pivot_component")))
+            pairs = pairs.union(pivots.select(F.least("pivot", "doc_id").alias("a"), F.greatest("pivot", "doc_id").alias("b")))
+        more(pairs if later is None else pairs.union(later))
         if few or depth == DEPTH:
-            exhaustive(rest)
             break
-        small = F.col("across") <= SMALL * F.col("m")
-        exhaustive(rest.filter(small))
+        rest, few = left(rest.filter(~small).select("node", "doc_id"), depth)
+        if few:
+            more(exhaustive(rest))
+            break
+        later = exhaustive(rest.filter(small))
         below = rest.filter(~small).select("node", "doc_id").join(sigs, "doc_id").select("node", "sig", "doc_id", F.explode(F.array(*map(F.lit, range(BRANCHES)))).alias("branch"))
         chosen = F.element_at("sig", (F.pmod(F.xxhash64("node", "branch"), F.lit(COORDINATES)) + 1).cast("int"))
         active = shared(below.select(F.xxhash64("node", "branch", chosen).alias("node"), "doc_id"))

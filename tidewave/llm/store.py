@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 #: Rows of a table of ids that may be broadcast; beyond it, the join shuffles.
 BROADCAST_ROWS = 200_000
@@ -27,6 +27,15 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def counted(df: DataFrame, where: Column | None = None) -> tuple[DataFrame, int]:
+    """df written, and the number of its rows (where a condition holds), counted while they are written."""
+    seen = Observation()
+    rows = F.count(F.lit(1)) if where is None else F.count_if(where)
+    table = written(df.observe(seen, rows.alias("n")))
+    found = seen.get.get("n")
+    return table, (table if where is None else table.filter(where)).count() if found is None else found
+
+
 def small_batches(spark: SparkSession, rows: int = 1_000) -> None:
     """Texts are long: no more than so many rows go to Python at once, in this session."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -34,9 +43,9 @@ def small_batches(spark: SparkSession, rows: int = 1_000) -> None:
         spark.conf.set(key, rows)
 
 
-def keyed_join(df: DataFrame, ids: DataFrame, on: list[str], how: str) -> DataFrame:
-    """df joined with a written table of ids, which is broadcast only if counted to be small."""
-    return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, on, how)
+def keyed_join(df: DataFrame, ids: DataFrame, on: list[str], how: str, rows: int | None = None) -> DataFrame:
+    """df joined with a written table of ids (of so many rows, where they are known), which is broadcast only if counted to be small."""
+    return df.join(F.broadcast(ids) if (ids.count() if rows is None else rows) <= BROADCAST_ROWS else ids, on, how)
 
 
 def held_out(modulus: int, remainder: int, doc_id: str = "doc_id"):
