@@ -94,6 +94,17 @@ def test_pages(spark):
     assert out[12].host is None and "Home" in out[12].text and out[13].text is None
 
 
+def test_boilerplate_of_small_hosts_goes(spark):
+    """Hosts of 5, 20 and 50 pages: a line on more than a tenth of them, and on three at least, goes; one on fewer stays."""
+    page = lambda n, k: "".join(f"<p>{x}</p>" for x in ["menu"] * (k < max(3, n // 8)) + ["twice"] * (k < 2) + ["tenth"] * (k < n // 10) + [f"own {n} {k}"])
+    rows = [(100 * n + k, f"http://h{n}.org/{k}", page(n, k)) for n in (5, 20, 50) for k in range(n)]
+    out = line_dedup.dedup_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    for r in out:
+        n, k = divmod(r.page_id, 100)
+        assert r.n_dropped == (k < max(3, n // 8)) and r.text.split() == ["twice"] * (k < 2) + ["tenth"] * (k < n // 10) + ["own", str(n), str(k)]
+    assert sum(r.n_dropped for r in out) == 3 + 3 + 6
+
+
 # near duplicates
 
 

@@ -11,6 +11,8 @@ from tidewave.llm.store import written
 
 #: Hashes of boilerplate lines that may be broadcast; beyond it, the join shuffles.
 BROADCAST_LINES = 200_000
+#: Pages of a site that a line stands on at least, by default: the ratio decides, and neither one page nor a page and its copy make boilerplate.
+LEAST = 3
 #: Fixed patterns of HTML: what is not text, elements that end a line, other tags, and characters written by name.
 HIDDEN = r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->|<!doctype[^>]*>"
 BLOCKS = r"(?i)</?(?:html|head|title|body|header|footer|nav|main|article|section|aside|div|p|br|hr|h[1-6]|ul|ol|li|dl|dt|dd|table|tr|td|th|pre|blockquote|form)\b[^>]*>"
@@ -41,7 +43,7 @@ def _hash(line: Column) -> Column:
     return F.xxhash64(_trimmed(line))
 
 
-def drop_boilerplate(pages: DataFrame, site: str, text: str = "text", ratio: float = 0.1, least: int = 10) -> DataFrame:
+def drop_boilerplate(pages: DataFrame, site: str, text: str = "text", ratio: float = 0.1, least: int = LEAST) -> DataFrame:
     """pages with its text rewritten, and n_lines and n_dropped added (of lines that aren't blank).
 
     A line (without white space at its ends) is dropped where at least `least` of the site's pages have it and they are more than ratio of
@@ -63,7 +65,7 @@ def drop_boilerplate(pages: DataFrame, site: str, text: str = "text", ratio: flo
     return x.withColumns({"n_lines": n, "n_dropped": n - left}).withColumn(text, F.col("_new")).drop("_site", "_drop", "_new")
 
 
-def dedup_pages(pages: DataFrame, ratio: float = 0.1, least: int = 10) -> DataFrame:
+def dedup_pages(pages: DataFrame, ratio: float = 0.1, least: int = LEAST) -> DataFrame:
     """(page_id, host, n_lines, n_dropped, text) of raw pages (page_id, url, html): their text without their host's boilerplate lines."""
     read = written(pages.select("page_id", host(F.col("url")).alias("host"), page_text(F.col("html")).alias("text")))
     return drop_boilerplate(read, "host", "text", ratio, least).select("page_id", "host", "n_lines", "n_dropped", "text")

@@ -12,6 +12,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_line_dedup(spark, sf_dir):
+    return line_dedup.dedup_pages(_table(spark, sf_dir, "pages"), least=10)  # as its SQL says; on hosts below 100 pages this is more than the ratio
+
+
+def op1_line_dedup_small_hosts(spark, sf_dir):
+    """op1_line_dedup with the operator's own floor: the ratio decides on small hosts too."""
     return line_dedup.dedup_pages(_table(spark, sf_dir, "pages"))
 
 
@@ -53,5 +58,5 @@ def op10_topk(spark, sf_dir):
     return found.select("query_id", "rank", F.col("id").alias("vec_id"), "distance")
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_quality, op3_quotes, op4_packing, op5_minhash, op6_embedding, op7_mixing, op8_language, op9_toxicity, op10_topk)}
-SQL = {"op1_line_dedup": sql.OP1, "op3_quotes": sql.OP3, "op5_minhash": sql.OP5, "op6_embedding": sql.OP6, "op7_mixing": sql.OP7, "op10_topk": sql.OP10}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op1_line_dedup_small_hosts, op2_quality, op3_quotes, op4_packing, op5_minhash, op6_embedding, op7_mixing, op8_language, op9_toxicity, op10_topk)}
+SQL = {"op1_line_dedup": sql.OP1, "op1_line_dedup_small_hosts": sql.OP1_SMALL_HOSTS, "op3_quotes": sql.OP3, "op5_minhash": sql.OP5, "op6_embedding": sql.OP6, "op7_mixing": sql.OP7, "op10_topk": sql.OP10}
