@@ -8,6 +8,9 @@ from tidewave.llm import line_dedup, mixing, near_dup, packing, toxicity
 from tidewave.llm.store import keyed_join, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: A source holds many sites, so one site's boilerplate is a small share of it: what over one in a hundred of a source's different texts share, and
+#: three at least (the operator's floor), is not written by their authors.
+SHARE = 0.01
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -17,8 +20,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that over 8 % of their source's documents have. Those without any line left keep an empty text."""
-    kept = line_dedup.drop_boilerplate(docs, "source", "text", ratio=0.08, least=10)
+    """Documents without the lines that over SHARE of their source's different texts have. Copies count once, since a later stage keeps one of
+    them whole. Documents without any line left keep an empty text."""
+    kept = line_dedup.drop_boilerplate(docs, "source", "text", ratio=SHARE, distinct=True)
     return kept.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 

@@ -29,3 +29,19 @@ def test_toxic_documents_go_and_clean_ones_stay(spark):
     d = tempfile.mkdtemp()
     spark.createDataFrame([(k, 1, int(k >= 200)) for k in range(260)], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
     assert sorted(r.doc_id for r in corpus_pipeline.drop_toxic(spark, docs, d).collect()) == list(range(200))
+
+
+def test_passages_shared_by_few_of_a_source_go(spark):
+    """Passages on 1.2 to 5 % of a source with half of all rows, and of small ones; copies of a document are not boilerplate."""
+    rows, passage = [], lambda source, share: " ".join(f"{source}{share}w{j}" for j in range(60))
+    for source, n in (("hot", 1000), ("small", 250), ("tiny", 60)):
+        for k in range(n):
+            shared = [passage(source, share) for share in (12, 20, 50) if k < max(3, n * share // 1000 + 1)]
+            rows.append((len(rows), "\n".join([f"own {source} {k}", *shared, passage(source, "pair")] if k < 2 else [f"own {source} {k}", *shared]), "en", source, 0))
+    rows += [(len(rows) + k, "copied first line\ncopied second line", "en", "small", 0) for k in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    out = {r.doc_id: r for r in corpus_pipeline.drop_lines(spark, docs, DATA).collect()}
+    assert len(out) == len(rows)
+    for doc_id, text, _, source, _ in rows:
+        own = [x for x in text.split("\n") if x.startswith(("own", "copied")) or x == passage(source, "pair")]
+        assert out[doc_id].text == "\n".join(own) and out[doc_id].n_chars == len(out[doc_id].text)

@@ -43,18 +43,22 @@ def _hash(line: Column) -> Column:
     return F.xxhash64(_trimmed(line))
 
 
-def drop_boilerplate(pages: DataFrame, site: str, text: str = "text", ratio: float = 0.1, least: int = LEAST) -> DataFrame:
+def drop_boilerplate(pages: DataFrame, site: str, text: str = "text", ratio: float = 0.1, least: int = LEAST, distinct: bool = False) -> DataFrame:
     """pages with its text rewritten, and n_lines and n_dropped added (of lines that aren't blank).
 
     A line (without white space at its ends) is dropped where at least `least` of the site's pages have it and they are more than ratio of
     the site's pages. Repeats within a page count once; blank lines are never counted, dropped or moved. A null site's
     pages are left alone; a null text stays null, with no lines. Lines are told apart by 64-bit hashes. Columns named
-    n_lines, n_dropped are replaced. No pages give no rows.
+    n_lines, n_dropped are replaced. No pages give no rows. If distinct, pages of a site with the same text count as one page, in both
+    numbers: copies of a page make no line of it boilerplate.
     """
     lines = F.split(F.col(text), "\n", -1)
-    seen = pages.select(F.col(site).alias("_site"), F.explode(F.array_distinct(F.transform(F.filter(lines, lambda x: _trimmed(x) != ""), _hash))).alias("line"))
+    each = pages.select(F.col(site).alias("_site"), F.xxhash64(text).alias("_page"), F.array_distinct(F.transform(F.filter(lines, lambda x: _trimmed(x) != ""), _hash)).alias("_lines"))
+    if distinct:
+        each = written(each.filter(F.col("_site").isNotNull()).dropDuplicates(["_site", "_page"]))
+    seen = each.select("_site", F.explode("_lines").alias("line"))
     common = seen.groupBy("_site", "line").count().filter((F.col("count") >= least) & F.col("_site").isNotNull())
-    totals = pages.groupBy(F.col(site).alias("_site")).agg(F.count(F.lit(1)).alias("total"))
+    totals = each.groupBy("_site").agg(F.count(F.lit(1)).alias("total"))
     found = written(common.join(totals, "_site").filter(F.col("count") > F.col("total") * ratio).groupBy("_site").agg(F.collect_set("line").alias("_drop")))
     size = found.agg(F.coalesce(F.sum(F.size("_drop")), F.lit(0))).first()[0]
     x = pages.join(F.broadcast(found) if size <= BROADCAST_LINES else found, pages[site].eqNullSafe(found["_site"]) if size <= BROADCAST_LINES else pages[site] == found["_site"], "left")
