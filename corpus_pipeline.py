@@ -27,15 +27,23 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group of near duplicates: five words, Jaccard similarity of 0.8 or more."""
-    gone = written(near_dup.near_duplicates(docs, words=5, threshold=0.8).filter("not kept and doc_id is not null").select("doc_id"))
-    return keyed_join(docs, gone, ["doc_id"], "left_anti").select(*docs.columns)
+    """One document of each group of near duplicates: five words, Jaccard similarity of 0.8 or more. It is the one of the smallest id; a null id comes
+    last, and of rows that repeat an id, the smallest hash of all columns comes first. Documents without words all stay.
+
+    Rows are told apart by a number of their own, so ids may be null or repeat.
+    """
+    rows = written(docs.withColumn("_row", F.monotonically_increasing_id()))  # written, so that the numbers stay
+    groups = written(near_dup.near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text"), words=5, threshold=0.8).select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_group")))
+    first = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64(*docs.columns), "_row").alias("_first")
+    kept = groups.join(rows.select("_row", first), "_row").groupBy("_group").agg(F.min("_first").alias("_first")).select("_first._row")
+    gone = written(groups.join(kept, "_row", "left_anti").select("_row"))
+    return keyed_join(rows, gone, ["_row"], "left_anti").select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix of sources takes it; a document taken twice is two rows."""
-    taken = mixing.mix_sources(docs).filter("copies > 0 and doc_id is not null").select("doc_id", "copies").dropDuplicates(["doc_id"])
-    return docs.join(taken, "doc_id").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select(*docs.columns)
+    """Each document as often as the mix of sources takes it; a document taken twice is two rows. Each row has its own copies, whatever its id."""
+    taken = mixing.mix_sources(docs.withColumn("_doc", F.struct(*docs.columns)), carry="_doc").filter("copies > 0")
+    return taken.select("_doc", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("_doc.*")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -45,3 +45,38 @@ def test_passages_shared_by_few_of_a_source_go(spark):
     for doc_id, text, _, source, _ in rows:
         own = [x for x in text.split("\n") if x.startswith(("own", "copied")) or x == passage(source, "pair")]
         assert out[doc_id].text == "\n".join(own) and out[doc_id].n_chars == len(out[doc_id].text)
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def words(name, n=30):
+    return " ".join(f"{name}{j}" for j in range(n))
+
+
+def test_near_duplicates_of_rows_with_null_and_repeated_ids(spark):
+    near = words("a", 39)
+    texts = [(1, words("a", 40)), (2, near), (2, words("own")), (3, words("twice")), (3, words("twice")), (None, words("a", 40)), (None, words("null")), (None, words("null")), (4, words("null")), (None, words("alone")), (5, ""), (5, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in texts], SCHEMA)
+    out = sorted(((r.doc_id, r.text) for r in corpus_pipeline.drop_near_duplicates(spark, docs, DATA).collect()), key=repr)
+    assert out == sorted([(1, words("a", 40)), (2, words("own")), (3, words("twice")), (4, words("null")), (None, words("alone")), (5, ""), (5, "")], key=repr)
+
+
+def test_mix_of_rows_with_null_and_repeated_ids(spark):
+    """Rows of an id that is null, or repeats with equal or other texts, come out as often as the mix takes each of them."""
+    from tidewave.llm import mixing
+
+    ids = [None] * 40 + [7] * 40 + [8] * 20 + list(range(100, 160))
+    texts = [words(f"t{k}x", 5 + k % 4) if i != 8 else "same text of all" for k, i in enumerate(ids)]
+    docs = spark.createDataFrame([(i, t, "en", f"s{k % 4}", len(t)) for k, (i, t) in enumerate(zip(ids, texts))], SCHEMA)
+    out = [tuple(r) for r in corpus_pipeline.mix(spark, docs, DATA).collect()]
+    asked = mixing.mix_sources(docs).collect()
+    count = lambda rows: sorted((str(i), s, n) for i, s, n in rows)
+    assert count((r.doc_id, r.source, r.size) for r in asked for _ in range(r.copies)) == count((i, s, len(t.split())) for i, t, _, s, _ in out)
+    assert sum(x[0] is None for x in out) > 0 and {x[1] for x in out} <= set(texts) and max(out.count(x) for x in out if x[0] != 8) <= 2
+    assert sorted(out, key=repr) == sorted((tuple(r) for r in corpus_pipeline.mix(spark, docs.repartition(7), DATA).collect()), key=repr)
+
+
+def test_lines_keep_rows_of_any_id(spark):
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in ((None, "a b"), (None, "a b"), (1, "c d"), (1, "e f"), (1, "e f"))], SCHEMA)
+    assert sorted(corpus_pipeline.drop_lines(spark, docs, DATA).collect(), key=repr) == sorted(docs.collect(), key=repr)

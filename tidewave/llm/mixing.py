@@ -34,16 +34,18 @@ def targets(sizes: DataFrame, weights: tuple[int, ...], share: float, most: floa
     return x.select("source", "source_size", F.when(F.col("level").isNull() | F.col("first_level").isNull(), F.col("source_size") * F.lit(float(most))).otherwise(F.col("first_level") * F.col("weight")).alias("target"))
 
 
-def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 7) -> DataFrame:
+def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 7, carry: str | None = None) -> DataFrame:
     """One row per document: doc_id, source, size (words; null text: 0), source_size, target, copies, taken (copies * size).
 
     Every document gets the whole number of copies below or above target / source_size, at most ceil(most). The same rows give
     the same copies in every run: equal (doc_id, size) within a source are interchangeable, null doc_id come first. A null
     source is a source of its own. Sources without words are never taken. Other columns are ignored; no documents give no rows.
+    The column carry, if given, comes along with its row's copies, and its hash tells apart rows of equal (doc_id, size).
     """
     size = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.regexp_count("text", F.lit(WORD))).cast("long")
     code = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
-    sized = docs.select("doc_id", "source", size.alias("size")).withColumn("code", code).withColumn("digits", F.length(F.bin("size"))).withColumn("head", F.substring("code", 1, PREFIX))
+    extra = [carry] if carry else []
+    sized = docs.select("doc_id", "source", size.alias("size"), *extra).withColumn("code", code).withColumn("digits", F.length(F.bin("size"))).withColumn("head", F.substring("code", 1, PREFIX))
     sized = sized.withColumn("null_source", F.col("source").isNull()).withColumn("key", F.coalesce("source", F.lit("")))
     run = ["null_source", "key", "digits", "head"]
     runs = sized.groupBy(*run).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("words"))
@@ -52,10 +54,10 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: fl
     sizes = runs.groupBy("null_source", "key").agg(F.sum("words").alias("source_size")).select(F.when(~F.col("null_source"), F.col("key")).alias("source"), "source_size")
     aims = targets(sizes, weights, share, most).select(F.col("source").isNull().alias("null_source"), F.coalesce("source", F.lit("")).alias("key"), "source_size", "target")
     starts = before.join(aims, ["null_source", "key"])
-    ranked = sized.withColumn("rank", F.row_number().over(Window.partitionBy(*run).orderBy("code", F.col("doc_id").asc_nulls_first(), "size")))
+    ranked = sized.withColumn("rank", F.row_number().over(Window.partitionBy(*run).orderBy("code", F.col("doc_id").asc_nulls_first(), "size", *map(F.xxhash64, extra))))
     x = ranked.join(starts, run)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     at = F.col("before") + F.col("rank")
     u = _offset(F.concat(F.lit(f"{seed}:"), F.col("null_source").cast("string"), F.lit(":"), F.col("key")))
     copies = F.least(F.floor(at * rate + u) - F.floor((at - 1) * rate + u), F.lit(int(-(-most // 1)))).cast("long")
-    return x.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return x.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), *extra)
