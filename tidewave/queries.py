@@ -100,6 +100,14 @@ def window_spectra(spark, d):
     return x.select("vec_id", (F.round("a_band_0_5Hz", 6) + 0.0).alias("a_band_0_5Hz"), "a_dominant_freq", (F.round("a_spectral_entropy", 5) + 0.0).alias("a_spectral_entropy"))
 
 
+@query()
+def window_spectra_channels(spark, d):
+    """All spectral columns of both channels; window_spectra has three columns of the first one, as its SQL says."""
+    half = lambda k, name: F.slice("embedding", k, 32).cast("array<double>").alias(name)
+    e = table(spark, d, "embeddings").select("vec_id", half(1, "a"), half(33, "b"))
+    return rounded(features.spectral_features(e, ["a", "b"], 32.0).drop("a", "b"))
+
+
 @query(f"""WITH {SAMPLES}, {WINDOWS}, c AS (SELECT subject, window_start, CASE WHEN control IN (1, 2, 3) THEN control ELSE 0 END AS k, count(*) AS n FROM win GROUP BY ALL)
   SELECT subject, window_start, CASE WHEN max(n) >= 0.5 * {WIN} THEN CAST(arg_max(k, n * 10 - k) AS INTEGER) ELSE 0 END AS y_class FROM c GROUP BY ALL""")
 def classification_windows(spark, d):
@@ -417,6 +425,14 @@ def class_weights(spark, d):
     return rounded(metrics.class_weights(table(spark, d, "embeddings").filter("label < 6"), "label", 8), 6)
 
 
+@query("""WITH c AS (SELECT label, count(*) AS n FROM embeddings GROUP BY label) SELECT CAST(k AS INTEGER) AS label, CASE WHEN (SELECT count(*) FROM c) > 1 THEN round(coalesce((SELECT sum(n) FROM c) / ((SELECT count(*) FROM c) * n), 0) + CAST(1.3e-7 AS DOUBLE), 6) + 0.0 END AS weight
+  FROM range((SELECT max(label) FROM embeddings) + 3) g(k) LEFT JOIN c ON c.label = k""")
+def class_weights_all(spark, d):
+    """Weights of all labels of the table, and of the two numbers after them, which are absent; class_weights counts labels below 6, as its SQL says."""
+    e = table(spark, d, "embeddings")
+    return rounded(metrics.class_weights(e, "label", int(e.agg(F.max("label")).first()[0]) + 3), 6)
+
+
 _CAL = ", ".join(f"CASE WHEN var_pop(y_{a}) < 5 OR var_pop(yhat_{a}) < 1e-4 THEN 1.0 ELSE greatest(least(covar_pop(yhat_{a}, y_{a}) / (var_pop(yhat_{a}) + 1e-4), 5), 0.2) END AS g_{a}, avg(y_{a}) AS my_{a}, avg(yhat_{a}) AS mp_{a}" for a in "hv")
 
 
