@@ -153,11 +153,19 @@ def test_near_duplicates_equal_brute_force(spark, words):
     assert all(r.doc_id == r.component_id for r in kept) and len(kept) == len({c for _, c in rows.values()})
 
 
-def test_near_duplicates_through_every_path(spark, monkeypatch):
-    monkeypatch.setattr(near_dup, "SMALL", 1)
-    monkeypatch.setattr(near_dup, "FEW", 0)
-    monkeypatch.setattr(near_dup, "DEPTH", 3)
-    texts = mutated(9, 3, 20, 40)
+@pytest.mark.parametrize("members, seed", [(8, 10)])
+def test_near_duplicates_in_large_nodes(spark, monkeypatch, members, seed):
+    """Nodes of more members than are compared at once: blocks with pivots, few against the rest, and branching."""
+    monkeypatch.setattr(near_dup, "MEMBERS", members)
+    monkeypatch.setattr(near_dup, "PIVOTS", 2)
+    texts = mutated(seed, 3, 40, 40) + [" ".join([f"p{k}" for k in range(30)] + [f"q{seed}a{j}b{k}" for k in range(12)]) for j in range(30)]
+    rows = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dup.near_duplicates(documents(spark, texts), 4).collect()}
+    assert rows == brute_components(range(len(texts)), texts, 4, 80)
+
+
+def test_near_duplicates_of_long_sets(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "SHINGLES", 300)
+    texts = mutated(12, 2, 30, 60)
     rows = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dup.near_duplicates(documents(spark, texts), 4).collect()}
     assert rows == brute_components(range(len(texts)), texts, 4, 80)
 

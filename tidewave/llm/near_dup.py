@@ -1,43 +1,43 @@
 """Near-duplicate documents by a chosen-path set similarity join over word shingles.
 
-Each document's set of shingles is summed up by minwise values. In each of several independent trees a document chooses
-its path by selected minwise tokens: the value of one coordinate at the root, and of two coordinates below each node
-that is still large. Small nodes are compared exhaustively, large ones only with one member (the pivot) before they
-branch. Since the answer is a partition, documents already joined are not compared again, so a node whose members are all
-joined is finished; thousands of copies cost one comparison each. Every link is confirmed on the full sets. See
-"Scalable and Robust Set Similarity Join" (Christiani, Pagh and Sivertsen, 2018).
+Each document's set of shingles is summed up by minwise tokens. In each of several independent trees a document chooses its path by the
+tokens of coordinates selected for that tree; documents with the same path share a node. Nodes with few members are compared
+exhaustively. Large nodes are first compared in blocks that share some pivots, which joins what is much alike; then a node in which
+all but a few are joined compares those few with all, and any other branches by further tokens. A pair is looked at in the first small
+node that it shares. Every link is confirmed on the full sets. Since the answer is a partition, members that are
+joined already are not compared. See "Scalable and Robust Set Similarity Join" (Christiani, Pagh and Sivertsen, 2018).
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from tidewave.llm.blocks import whole_groups
 from tidewave.llm.graph import components
 from tidewave.llm.store import counted, keyed_join, small_batches, written
 from tidewave.llm.words import hashed, mix, randoms
 
-#: Minwise values of a set. The first ones are the roots of the trees; nodes below choose among all.
-COORDINATES = 64
-#: A node is compared exhaustively if its members have no more than so many pairs, each, that are not joined yet.
-SMALL = 8
-#: All nodes are, once they have no more than so many such pairs for each document of the table.
-FEW = 4
-#: Nodes that are large after so many choices are compared exhaustively too, whatever their size: nothing is skipped.
-DEPTH = 8
-BRANCHES = 2
+#: Minwise tokens of a set. Each tree chooses its paths by LEVELS of its own; nodes below choose among all.
+COORDINATES, LEVELS = 128, 2
+#: A node is small, and compared exhaustively, with so many members at most, whose sets have so many shingles (or are few).
+MEMBERS, SHINGLES, FEW = 2_048, 1 << 22, 16
+#: Members of a large node that stand in each of its blocks.
+PIVOTS = 8
+#: Tokens that agree may be so many standard deviations fewer than the threshold says, before a pair is passed over.
+DEVIATIONS = 5.5
 
-_MUL, _ADD, _PLACE = randoms(COORDINATES, 11) | np.uint64(1), randoms(COORDINATES, 12), randoms(64, 13) | np.uint64(1)
+_ODD, _PLACE = randoms(2, 12) | np.uint64(1), randoms(64, 13) | np.uint64(1)
+_MUL, _ADD = (randoms(COORDINATES, 11) >> np.uint64(32)).astype(np.uint32) | np.uint32(1), (randoms(COORDINATES, 14) >> np.uint64(32)).astype(np.uint32)
 
 
 def trees(threshold: float, recall: float) -> int:
-    """How many trees find a pair at the threshold with probability recall, if it must meet at a root and at one of two children."""
-    met = threshold * (1 - (1 - threshold) ** BRANCHES)
-    return min(COORDINATES, math.ceil(math.log(1 - recall) / math.log(1 - met)))
+    """How many trees find a pair at the threshold with probability recall, if it meets in a small node."""
+    return min(COORDINATES // LEVELS, 32, math.ceil(math.log(1 - recall) / math.log(1 - threshold**LEVELS)))
 
 
 def shingles(texts: pa.Array, words: int) -> Iterator[np.ndarray]:
@@ -55,154 +55,272 @@ def shingles(texts: pa.Array, words: int) -> Iterator[np.ndarray]:
 
 
 def signature(found: np.ndarray) -> np.ndarray:
-    """Least values of a set under COORDINATES hashes."""
-    return np.min([((part[:, None] * _MUL + _ADD) >> np.uint64(32)).min(axis=0) for part in np.array_split(found, len(found) // 4096 + 1)], axis=0).astype(np.uint32)
+    """COORDINATES tokens of 16 bits: each of the least value of a set under one hash."""
+    low = np.full(COORDINATES, np.iinfo(np.uint32).max, np.uint32)
+    found = found.astype(np.uint32)
+    for at in range(0, len(found), 1024):
+        x = found[at : at + 1024, None] * _MUL
+        x += _ADD
+        np.minimum(low, x.min(axis=0), out=low)
+    return ((low * np.uint32(0x9E3779B1)) >> np.uint32(16)).astype(np.uint16)
+
+
+def digest(found: np.ndarray) -> tuple[int, int]:
+    """128 bits of a set."""
+    return int(mix(found).sum()), int(mix(found ^ _ODD[0]).sum())
+
+
+def _digests(found: list[np.ndarray]) -> list[pa.Array]:
+    k = np.array([digest(x) for x in found], np.uint64).reshape(-1, 2).view(np.int64)
+    return [pa.array([len(x) for x in found], pa.int64()), pa.array(k[:, 0]), pa.array(k[:, 1])]
 
 
 def signatures(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, n, k1, k2, sig): the size of each document's set, a 128-bit digest of it, and its minwise values (null if it is empty)."""
+    """(doc_id, n, k1, k2, sig): the size of each document's set, a 128-bit digest of it, and its tokens (null if it is empty)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, keys, sigs = [], [], []
-            for found in shingles(batch.column("text"), words):
-                n.append(len(found))
-                keys.append((int(mix(found).sum()), int(mix(found ^ _ADD[0]).sum())))
-                if len(found):
-                    sigs.append(signature(found).view(np.int32))
-            flat = pa.array(np.concatenate(sigs) if sigs else np.empty(0, np.int32))
-            ends = np.cumsum([0, *(bool(x) for x in n)]) * COORDINATES
-            sig = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)
-            k = np.array(keys, np.uint64).reshape(-1, 2).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(k[:, 0]), pa.array(k[:, 1]), sig], ["doc_id", "n", "k1", "k2", "sig"])
+            found = list(shingles(batch.column("text"), words))
+            sig = pa.array([signature(x).tobytes() if len(x) else None for x in found], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *_digests(found), sig], ["doc_id", "n", "k1", "k2", "sig"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, k1 long, k2 long, sig array<int>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, k1 long, k2 long, sig binary")
 
 
-def sets(docs: DataFrame, words: int) -> DataFrame:
-    """(id, found): the full sets, as sorted 64-bit hashes."""
+def sets(docs: DataFrame, wanted: DataFrame, rows: int, words: int) -> DataFrame:
+    """(v, found) of the written classes wanted (v, doc_id, n, k1, k2), so many rows: the full sets, as sorted 64-bit hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(i, x.tobytes()) for i, x in zip(batch.column("id").to_pylist(), shingles(batch.column("text"), words))]
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.int64()), pa.array([x[1] for x in rows], pa.binary())], ["id", "found"])
+            found = list(shingles(batch.column("text"), words))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *_digests(found), pa.array([x.tobytes() for x in found], pa.binary())], ["doc_id", "n", "k1", "k2", "found"])
 
-    return docs.select("id", "text").mapInArrow(run, "id long, found binary")
+    texts = keyed_join(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), wanted.select("doc_id").distinct(), ["doc_id"], "left_semi", rows)
+    found = texts.mapInArrow(run, "doc_id long, n long, k1 long, k2 long, found binary")
+    return keyed_join(found, wanted, ["doc_id", "n", "k1", "k2"], "inner", rows).select("v", "found").dropDuplicates(["v"])
 
 
-def likely(pairs: DataFrame, sigs: DataFrame, threshold: float) -> tuple[DataFrame, int]:
-    """Those of pairs (a, b) whose sizes allow the threshold and whose minwise values do not agree far less (six standard deviations) than it says, and their number."""
-    floor = COORDINATES * threshold - 6 * math.sqrt(COORDINATES * threshold * (1 - threshold))
-    of = lambda end: sigs.select(F.col("doc_id").alias(end), F.col("sig").alias(f"{end}_sig"), F.col("n").alias(f"{end}_n"))
-    agree = F.aggregate(F.zip_with("a_sig", "b_sig", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
-    close = F.greatest("a_n", "b_n") * threshold <= F.least("a_n", "b_n") * (1 + 1e-9)
-    return counted(pairs.join(of("a"), "a").join(of("b"), "b").filter(close & (agree >= floor)).select("a", "b"))
+def _tokens(column: pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(b"".join(x.as_buffer() for x in column), np.uint16).reshape(-1, COORDINATES)
 
 
-def compared(pairs: DataFrame, docs: DataFrame, words: int, threshold: float) -> tuple[DataFrame, int]:
-    """The written pairs (a, b) and whether their full sets reach the threshold (linked): 100 * intersection >= 100 * threshold * union; and how many do."""
-    ids, rows = counted(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
-    full = sets(keyed_join(docs.select(F.col("doc_id").cast("long").alias("id"), "text"), ids, ["id"], "left_semi", rows), words)
-    percent = round(100 * threshold)
+def paths(classes: DataFrame, count: int) -> DataFrame:
+    """(node, tree, v, n): each class's node of each tree."""
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        salts = randoms(count, 15)
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("a_found"), batch.column("b_found")):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                at = np.searchsorted(x, y)
-                at[at == len(x)] = 0
-                both = int((x[at] == y).sum())
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(keep, pa.bool_())], ["a", "b", "linked"])
+            sig = _tokens(batch.column("sig")).astype(np.uint64)
+            node = np.broadcast_to(salts, (len(sig), count))
+            for level in range(LEVELS):
+                node = mix(node * _ODD[1] + sig[:, level : LEVELS * count : LEVELS] + np.uint64(1))
+            tree = np.tile(np.arange(count, dtype=np.int32), len(sig))
+            yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64).ravel()), pa.array(tree), *(pa.array(np.repeat(np.asarray(batch.column(c)), count)) for c in ("v", "n"))], ["node", "tree", "v", "n"])
 
-    side = lambda end: full.select(F.col("id").alias(end), F.col("found").alias(f"{end}_found"))
-    return counted(pairs.join(side("b"), "b").join(side("a"), "a").mapInArrow(compare, "a long, b long, linked boolean"), F.col("linked"))
+    return classes.select("v", "n", "sig").mapInArrow(run, "node long, tree int, v long, n long")
+
+
+def children(members: DataFrame, level: int) -> DataFrame:
+    """(node, tree, v, n) a level below the nodes of members (node, v, n, sig): each goes on by the token of one coordinate, at every other node by
+    that of a second one too. A pair that is alike thus has more than one child in common on average, and one that is less than 2/3 alike less than one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sig, node = _tokens(batch.column("sig")), np.asarray(batch.column("node")).view(np.uint64)
+            code = mix(node + np.uint64(level))
+            at, second = np.arange(len(node)), np.flatnonzero(code >> np.uint64(63))
+            at, salt = np.append(at, second), np.append(np.zeros(len(at), np.uint64), np.ones(len(second), np.uint64))
+            where = (mix(code[at] + salt) % np.uint64(COORDINATES)).astype(np.int64)
+            below = mix(mix(code[at] + salt) + sig[at, where].astype(np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array(below.view(np.int64)), *(batch.column(c).take(pa.array(at)) for c in ("tree", "v", "n"))], ["node", "tree", "v", "n"])
 
+    return members.select("node", "tree", "v", "n", "sig").mapInArrow(run, "node long, tree int, v long, n long")
 
-def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, recall: float = 0.999999) -> DataFrame:
+
+def shared(nodes: DataFrame) -> DataFrame:
+    """(node, tree, v, n, blocks) of the nodes that have two members or more; blocks: how many a large node is dealt into, else null."""
+    size = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("shingles")).filter("m > 1")
+    large = (F.col("m") > MEMBERS) | ((F.col("shingles") > SHINGLES) & (F.col("m") > FEW))
+    blocks = F.when(large, F.ceil(F.greatest(2 * F.col("m") / MEMBERS, 2 * F.col("shingles") / SHINGLES)).cast("int"))
+    return nodes.join(size.select("node", blocks.alias("blocks")), "node")
+
+
+def _groups(table: pa.Table, cuts: np.ndarray, floor: float, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(a, b, agree): rows of one group that may be alike, are not joined yet and have not met in a small node of an earlier tree."""
+    sig = _tokens(table.column("sig"))
+    n, tree, label, met = (np.asarray(table.column(c)) for c in ("n", "tree", "label", "met"))
+    last = np.repeat(cuts[1:], np.diff(cuts)) - 1
+    at, d = np.flatnonzero(last > np.arange(len(last))), 0
+    count = trees_of(met)
+    while len(at):
+        d += 1
+        at = at[at + d <= last[at]]
+        apart = at[(label[at] != label[at + d]) & (np.minimum(n[at], n[at + d]) >= threshold * np.maximum(n[at], n[at + d]) * (1 - 1e-9))]
+        for a in np.array_split(apart, len(apart) // 65536 + 1):
+            same = sig[a] == sig[a + d]
+            agree = np.count_nonzero(same, axis=1)
+            keep = np.flatnonzero(agree >= floor)
+            if len(keep) and count:
+                both = same[keep, : LEVELS * count].reshape(-1, count, LEVELS).all(axis=2)
+                small = (met[a[keep], None] >> np.arange(count)) & 1 == 1
+                keep = keep[~(both & small & (np.arange(count) < tree[a[keep], None])).any(axis=1)]
+            if len(keep):
+                yield a[keep], a[keep] + d, agree[keep]
+
+
+def trees_of(met: np.ndarray) -> int:
+    """Trees that any of the masks has."""
+    return int(np.bitwise_or.reduce(met)).bit_length() if len(met) else 0
+
+
+def _joined(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Labels after joining those of a with those of b: the least place of each component."""
+    while True:
+        x, y = label[a], label[b]
+        low = np.minimum(x, y)
+        if (x == y).all():
+            return label
+        np.minimum.at(label, x, low)
+        np.minimum.at(label, y, low)
+        while (label[label] != label).any():
+            label = label[label]
+
+
+def links(rows: DataFrame, found: Callable[[DataFrame, int], DataFrame], threshold: float) -> DataFrame:
+    """(a, b): links that join what is alike in each block of rows (node, block, tree, v, n, sig, label, met).
+
+    A first pass over the tokens finds the rows that have anything to compare; only theirs are the full sets that found(ids, rows) gives,
+    and moved to the block.
+    """
+    floor = COORDINATES * threshold - DEVIATIONS * math.sqrt(COORDINATES * threshold * (1 - threshold))
+    percent = round(100 * threshold)
+
+    def open_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, cuts in whole_groups(batches, ["node", "block"]):
+            some = np.zeros(len(table), bool)
+            for a, b, _ in _groups(table, cuts, floor, threshold):
+                some[a] = some[b] = True
+            yield from table.filter(pa.array(some)).combine_chunks().to_batches()
+
+    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, cuts in whole_groups(batches, ["node", "block"]):
+            v, full = np.asarray(table.column("v")), [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("found").chunk(0)] if len(table) else []
+            pairs = [np.concatenate(x) for x in zip(*_groups(table, cuts, floor, threshold))]
+            out_a, out_b = [], []
+            if pairs:
+                _, label = np.unique(np.stack([np.repeat(np.arange(len(cuts) - 1), np.diff(cuts)), np.asarray(table.column("label"))]), axis=1, return_inverse=True)
+                first = np.full(label.max() + 1, len(table))
+                np.minimum.at(first, label.ravel(), np.arange(len(table)))
+                label = first[label.ravel()]
+                order = np.argsort(-pairs[2], kind="stable")
+                a, b = pairs[0][order], pairs[1][order]
+                while len(a):
+                    # the likeliest pair that each row has left
+                    pick = np.unique(np.concatenate([np.unique(a, return_index=True)[1], np.unique(b, return_index=True)[1]]))
+                    linked = np.array([_alike(full[i], full[j], percent) for i, j in zip(a[pick], b[pick])], bool)
+                    x, y = a[pick][linked], b[pick][linked]
+                    out_a.append(v[x])
+                    out_b.append(v[y])
+                    label = _joined(label, x, y)
+                    left = label[a] != label[b]
+                    left[pick] = False
+                    a, b = a[left], b[left]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else [], pa.int64()) for x in (out_a, out_b)], ["a", "b"])
+
+    kind = rows.select("node", "block", "tree", "v", "n", "sig", "label", "met").schema
+    placed = rows.select(*kind.names).repartition("node", "block").sortWithinPartitions("node", "block", "v")
+    some, count = counted(placed.mapInArrow(open_rows, kind))
+    full = some.join(found(some.select("v").distinct(), count), "v")
+    return full.repartition("node", "block").sortWithinPartitions("node", "block", "v").mapInArrow(confirm, "a long, b long")
+
+
+def _alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """100 * intersection >= percent * union, of sorted sets."""
+    if len(x) < len(y):
+        x, y = y, x
+    at = np.searchsorted(x, y)
+    at[at == len(x)] = 0
+    both = int(np.count_nonzero(x[at] == y))
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, recall: float = 0.9999999) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (the smallest doc_id that links lead to, itself included), kept (doc_id =
     component_id).
 
     Null texts and texts without words have no shingles and link with nothing; texts with fewer words than a shingle are one
-    shingle. Documents with equal sets are one vertex. Rows that repeat a doc_id each get a row, and share a vertex with
-    the row's equals; for links, one of a doc_id's texts stands for it. A null doc_id gets its class's component, and is not kept. Other
-    columns are ignored; no documents give no rows.
+    shingle. Documents with equal sets are one class, of the least doc_id. Rows that repeat a doc_id each get a row, the one of their
+    own text's class. A null doc_id gets its class's component (null if no id is in it), and is not kept. Other columns are
+    ignored; no documents give no rows. A pair at the threshold is found with probability recall in small nodes, of which nodes of many members
+    have fewer; a pair far above it, or with other ways between its ends, is missed less.
     """
     small_batches(docs.sparkSession)
     base = written(signatures(docs, words))
-    classes = written(base.filter("n > 0 and doc_id is not null").groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig")))
-    sigs = classes.select("doc_id", "n", "sig")
-    roots = F.posexplode(F.slice("sig", 1, trees(threshold, recall)))
-    active = shared(classes.select("doc_id", roots.alias("tree", "value")).select(F.xxhash64("tree", "value").alias("node"), "doc_id"))
-    label, checked = None, None
-
-    def more(pairs: DataFrame) -> None:
-        """Compare pairs that have not been compared, and join what they link."""
-        nonlocal label, checked
-        pairs = pairs.distinct()
-        pairs, some = likely(pairs if checked is None else pairs.join(checked, ["a", "b"], "left_anti"), sigs, threshold)
-        if some:
-            new, found = compared(pairs, docs, words, threshold)
-            checked = new if checked is None else checked.union(new)
-            if found:
-                label = components(checked.filter("linked"))
-
-    def exhaustive(rest: DataFrame) -> DataFrame:
-        """All pairs of a node that are not joined; of each, one is outside the node's largest component."""
-        member = rest.select("node", F.col("doc_id").alias("b"), F.col("component").alias("b_component"))
-        minor = rest.filter(F.col("component") != F.col("largest")).select(F.col("node").alias("minor_node"), F.col("doc_id").alias("a"), F.col("component").alias("a_component"))
-        across = minor.join(member, (F.col("minor_node") == F.col("node")) & (F.col("a_component") != F.col("b_component")))
-        return across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-
-    def left(members: DataFrame, depth: int) -> tuple[DataFrame, bool]:
-        """The nodes that still hold apart what might be alike, and whether all their pairs are but a few for each document."""
-        rest = written(mixed(members, label, depth))
-        return rest, (rest.select("node", "across").distinct().agg(F.sum("across")).first()[0] or 0) <= FEW * many
-
-    many, small = classes.count(), F.col("across") <= SMALL * F.col("m")
-    later = None  # pairs of nodes that a pivot left small: compared with those of the next choice
-    for depth in range(1, DEPTH + 1):
-        rest, few = left(active, depth)
-        pairs = exhaustive(rest if few or depth == DEPTH else rest.filter(small))
-        if not few and depth < DEPTH:
-            pivots = rest.filter(~small & (F.col("component") != F.col("pivot_component")))
-            pairs = pairs.union(pivots.select(F.least("pivot", "doc_id").alias("a"), F.greatest("pivot", "doc_id").alias("b")))
-        more(pairs if later is None else pairs.union(later))
-        if few or depth == DEPTH:
-            break
-        rest, few = left(rest.filter(~small).select("node", "doc_id"), depth)
-        if few:
-            more(exhaustive(rest))
-            break
-        later = exhaustive(rest.filter(small))
-        below = rest.filter(~small).select("node", "doc_id").join(sigs, "doc_id").select("node", "sig", "doc_id", F.explode(F.array(*map(F.lit, range(BRANCHES)))).alias("branch"))
-        chosen = F.element_at("sig", (F.pmod(F.xxhash64("node", "branch"), F.lit(COORDINATES)) + 1).cast("int"))
-        active = shared(below.select(F.xxhash64("node", "branch", chosen).alias("node"), "doc_id"))
-
-    full = base.select("doc_id", "n", "k1", "k2").join(classes.select("n", "k1", "k2", F.col("doc_id").alias("id")), ["n", "k1", "k2"], "left")
-    if label is not None:
-        full = full.join(label, "id", "left")
+    same = base.filter("n > 0").groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig")).filter("doc_id is not null")
+    classes = written(same.withColumn("v", F.monotonically_increasing_id()))
+    tokens = classes.select("v", "sig")
+
+    def found(ids: DataFrame, rows: int) -> DataFrame:
+        wanted = written(keyed_join(classes.select("v", "doc_id", "n", "k1", "k2"), ids, ["v"], "left_semi", rows))
+        return sets(docs, wanted, rows, words)
+
+    count = trees(threshold, recall)
+    spots, some = counted(shared(paths(classes, count)), F.col("blocks").isNotNull())
+    met = F.lit((1 << count) - 1).cast("long")
+    if some:  # trees in which a class's node is large are not those it has met its pairs in
+        own = spots.filter("blocks is not null").groupBy("v").agg(F.bit_or(F.expr("shiftleft(1L, tree)")).alias("wide"))
+        masks = own.select("v", met.bitwiseXOR(F.col("wide")).alias("met"))
+        spots = written(spots.join(masks, "v", "left").withColumn("met", F.coalesce("met", met)))
     else:
-        full = full.withColumn("component", F.lit(None).cast("long"))
-    component = F.coalesce("component", "id", "doc_id")
+        spots = spots.withColumn("met", met)
+    ready = dealt(spots).join(tokens, "v").withColumn("label", F.col("v"))
+    joined = written(links(ready, found, threshold))
+    label = components(joined)
+    wide, level = spots.filter("blocks is not null"), 0
+    while some:
+        level += 1
+        known = written(wide.drop("label").join(label.select(F.col("id").alias("v"), F.col("component").alias("label")), "v", "left").withColumn("label", F.coalesce("label", "v")).withColumn("tree", F.lit(count)))
+        state = _state(known)
+        few = known.join(state.filter("few and minor > 0").select("node", "most"), "node")
+        below, masks = known.join(state.filter("not few").select("node"), "node", "left_semi").join(tokens, "v"), known.select("v", "met", "label").distinct()
+        nodes, some = counted(shared(children(below, level)).join(masks, "v"), F.col("blocks").isNotNull())
+        columns = ["node", "block", "tree", "v", "n", "met", "label"]
+        ready = minor_and_rest(few).select(*columns).union(dealt(nodes).select(*columns)).join(tokens, "v")
+        joined = written(joined.union(links(ready, found, threshold)))
+        label = components(joined)
+        wide = nodes.filter("blocks is not null")
+
+    # the least doc_id of each component
+    ids = written(classes.select("v", "doc_id", "n", "k1", "k2").join(label.withColumnRenamed("id", "v"), "v", "left"))
+    least = ids.filter("component is not null").groupBy("component").agg(F.min("doc_id").alias("least"))
+    named = ids.join(least, "component", "left").select("n", "k1", "k2", F.coalesce("least", "doc_id").alias("id"))
+    full = base.select("doc_id", "n", "k1", "k2").join(named, ["n", "k1", "k2"], "left")
+    component = F.coalesce("id", "doc_id")
     return full.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
 
 
-def shared(nodes: DataFrame) -> DataFrame:
-    """Members of the nodes that have two or more."""
-    return written(nodes.join(nodes.groupBy("node").count().filter("count > 1").select("node"), "node").distinct())
-
-
-def mixed(members: DataFrame, label: DataFrame | None, depth: int) -> DataFrame:
-    """(node, doc_id, component, m, across, largest, pivot, pivot_component) of nodes whose members are not all joined yet: m members, `across`
-    pairs of them are not joined, largest is the component of most. The pivot is the least member at the root, else any, by hash."""
-    known = members.withColumn("component", F.col("doc_id")) if label is None else members.join(label.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    first = F.struct((F.xxhash64("doc_id", "node") if depth > 1 else F.col("doc_id")).alias("order"), "doc_id", "component")
-    joined = known.groupBy("node", "component").agg(F.count(F.lit(1)).alias("n"), F.min(first).alias("first"))
-    nodes = joined.groupBy("node").agg(
-        F.sum("n").alias("m"), F.count(F.lit(1)).alias("apart"), F.sum(F.col("n") * F.col("n")).alias("squares"), F.max_by("component", F.struct("n", "component")).alias("largest"), F.min("first").alias("least")
-    )
-    across = (F.col("m") * F.col("m") - F.col("squares")) / 2
-    nodes = nodes.filter("apart > 1").select("node", "m", across.alias("across"), "largest", F.col("least.doc_id").alias("pivot"), F.col("least.component").alias("pivot_component"))
-    return known.join(nodes, "node")
+def dealt(spots: DataFrame) -> DataFrame:
+    """spots with their blocks: a small node is one, a large one's members are dealt by hash, and PIVOTS of them stand in every block."""
+    small = spots.withColumn("block", F.lit(0))
+    if spots.filter("blocks is not null").isEmpty():
+        return small
+    large = spots.filter("blocks is not null").withColumn("order", F.xxhash64("v", "node"))
+    pivots = large.groupBy("node", F.pmod("order", F.lit(PIVOTS)).alias("part")).agg(F.min_by("v", "order").alias("v")).select("node", "v", F.lit(True).alias("pivot"))
+    block = F.pmod(F.shiftright("order", 8), F.col("blocks")).cast("int")
+    every = F.when(F.col("pivot"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(block))
+    spread = large.join(pivots, ["node", "v"], "left").withColumn("block", F.explode(every))
+    return small.filter("blocks is null").unionByName(spread.select(*small.columns))
+
+
+def _state(known: DataFrame) -> DataFrame:
+    """(node, most, minor, few): of each node the largest component, how many members are outside it, and whether those go into one block."""
+    each = known.groupBy("node", "label").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("shingles"))
+    node = each.groupBy("node").agg(F.sum("c").alias("m"), F.sum("shingles").alias("all"), F.max(F.struct("c", "label", "shingles")).alias("top"))
+    minor, rest = F.col("m") - F.col("top.c"), F.col("all") - F.col("top.shingles")
+    return written(node.select("node", F.col("top.label").alias("most"), minor.alias("minor"), ((minor <= MEMBERS // 2) & ((rest <= SHINGLES // 2) | (minor <= FEW))).alias("few")))
+
+
+def minor_and_rest(few: DataFrame) -> DataFrame:
+    """few (members of nodes, with their largest component, most) in blocks: the largest component is dealt by hash, the others stand in every block."""
+    block = F.pmod(F.xxhash64("v", "node"), F.col("blocks")).cast("int")
+    return few.withColumn("block", F.explode(F.when(F.col("label") == F.col("most"), F.array(block)).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))))
