@@ -62,9 +62,12 @@ def test_components(spark):
     assert got == {k: 1 for k in (1, 2, 3, 7, 8, 9)} | {20: 20, 21: 20} | {100 + k: 100 for k in range(41)} | {k: 500 for k in range(500, 520)}
 
 
-@pytest.mark.parametrize("block", [1 << 15, 64])
-def test_top_k_equals_brute_force(spark, monkeypatch, block):
-    monkeypatch.setattr(topk, "INDEX_BLOCK", block)
+@pytest.mark.parametrize("bucket, block", [(32, 1 << 13), (0.01, 1 << 13), (0.01, 6)])
+def test_top_k_equals_brute_force(spark, monkeypatch, bucket, block):
+    """All codes at once; by keys of narrow segments; by keys of which some have many codes."""
+    monkeypatch.setattr(topk, "BUCKET", bucket)
+    monkeypatch.setattr(topk, "BLOCK", block)
+    monkeypatch.setattr(topk, "FIRST", 64)
     random = np.random.default_rng(3)
     codes = random.integers(-(1 << 63), 1 << 63, 400, dtype=np.int64)
     codes[50:80] = codes[40]
@@ -84,6 +87,24 @@ def test_top_k_equals_brute_force(spark, monkeypatch, block):
 
 
 def test_sign_codes(spark):
-    rows = [(1, [1.0] + [-1.0] * 63), (2, [-1.0] * 63 + [1.0]), (3, None), (4, [1.0]), (5, [float("nan")] * 64), (6, [1.0] * 65)]
+    top = -(1 << 63)
+    rows = [(1, [1.0] + [-1.0] * 63), (2, [-1.0] * 63 + [1.0]), (3, None), (4, [1.0]), (5, [float("nan")] * 64), (6, [1.0] * 65), (7, []), (8, [float("inf")]), (9, [1.0, None])]
     got = {r.id: r.code for r in spark.createDataFrame(rows, "id long, e array<float>").select("id", topk.sign_codes(F.col("e")).alias("code")).collect()}
-    assert got == {1: -(1 << 63), 2: 1, 3: None, 4: None, 5: None, 6: -1}
+    assert got == {1: [top], 2: [1], 3: None, 4: [top], 5: None, 6: [-1, top], 7: None, 8: None, 9: None}
+
+
+def test_top_k_of_long_codes(spark, monkeypatch):
+    """Codes of three words, and some of one, which are compared with their like only."""
+    monkeypatch.setattr(topk, "BUCKET", 0.05)
+    random = np.random.default_rng(5)
+    base = random.integers(-(1 << 63), 1 << 63, (8, 3), dtype=np.int64)
+    codes = base[random.integers(0, 8, 200)] ^ (np.int64(1) << random.integers(0, 60, (200, 3)))
+    rows = [(int(i), [int(x) for x in c]) for i, c in enumerate(codes)] + [(1000 + i, [int(c[0])]) for i, c in enumerate(codes[:5])]
+    df = spark.createDataFrame(rows, "id long, code array<long>")
+    got = {}
+    for r in topk.top_k(df, df.filter("id % 20 = 0"), 7).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.id, r.distance))
+    for q in range(0, 200, 20):
+        d = np.bitwise_count((codes ^ codes[q]).view(np.uint64)).astype(int).sum(axis=1)
+        assert got[q] == [(i, d[i]) for i in np.lexsort((np.arange(200), d)) if i != q][:7]
+    assert {i for i, _ in got[1000]} == {1001, 1002, 1003, 1004}

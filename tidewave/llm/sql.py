@@ -69,6 +69,7 @@ OP7 = f"""WITH d AS (SELECT doc_id, source, CASE WHEN text IS NULL THEN 0 ELSE l
   c AS (SELECT *, CAST(least(floor(k * rate + u) - floor((k - 1) * rate + u), 2) AS BIGINT) AS copies FROM r)
   SELECT doc_id, source, CAST(size AS BIGINT) AS size, source_size, target, copies, copies * CAST(size AS BIGINT) AS taken FROM c"""
 
-OP10 = """WITH v AS (SELECT vec_id, list_transform(embedding[1:64], lambda x: x > 0) AS b FROM embeddings),
-  p AS (SELECT q.vec_id AS query_id, v.vec_id, CAST(list_sum(list_transform(range(1, 65), lambda i: CAST(q.b[i] <> v.b[i] AS INTEGER))) AS INTEGER) AS distance FROM v q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 20 = 0),
+OP10 = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x > 0) AS b FROM embeddings WHERE len(embedding) > 0 AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))),
+  p AS (SELECT q.vec_id AS query_id, v.vec_id, CAST(list_sum(list_transform(range(1, greatest(len(q.b), len(v.b)) + 1), lambda i: CAST(coalesce(q.b[i], false) <> coalesce(v.b[i], false) AS INTEGER))) AS INTEGER) AS distance
+    FROM v q JOIN v ON q.vec_id <> v.vec_id AND (len(q.b) - 1) // 64 = (len(v.b) - 1) // 64 WHERE q.vec_id % 20 = 0),
   k AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS INTEGER) AS rank FROM p) SELECT query_id, rank, vec_id, distance FROM k WHERE rank <= 10"""

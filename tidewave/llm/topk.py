@@ -1,116 +1,252 @@
 """Exact nearest binary codes by incremental multi-index hashing.
 
-A code of 64 bits is cut into segments, and each segment's values index the codes. For a query, all values within a radius of its own are
-looked up, segment by segment, then with a greater radius; codes found are verified by their full Hamming distance. After radius r in
-all of m segments and r + 1 in j of them, every code within m * r + m + j - 1 has been found, so the search ends once the
-kth verified distance is no more than that. Codes and queries meet block by block: a block of codes has its own index,
-and each query's best of all blocks are merged. See "Fast Exact Search in Hamming Space with Multi-Index Hashing" (Norouzi,
-Punjani and Fleet, 2014).
+Codes are cut into segments, and each segment's value is a key under which a code is found. In round r every query that is still open looks
+up all values within r of its own, in each of the m segments; what it finds is verified by the full Hamming distance. A code that
+differs in no more than m * (r + 1) - 1 bits has a segment that differs in r at most, so a query is closed once its kth verified
+distance is no more than that. Keys are joined by a shuffle, so codes and queries that share none never meet; keys of
+many codes are cut into blocks. Once a round would look up more than there is, the open queries meet all codes, in blocks. See
+"Fast Exact Search in Hamming Space with Multi-Index Hashing" (Norouzi, Punjani and Fleet, 2014).
 """
 
 from __future__ import annotations
 
+import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
-
-from tidewave.llm.store import written
-
-SEGMENTS, BITS = 4, 16
-#: Codes and queries of a block.
-INDEX_BLOCK, QUERY_BLOCK = 1 << 15, 1 << 12
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+from tidewave.llm.store import counted, written
+from tidewave.llm.words import mix
+
+#: Segments are as wide as gives each value about so many codes.
+BUCKET = 32
+#: Codes of one key, and queries of one key of many codes, that meet in a block.
+BLOCK = 1 << 13
+#: Codes that give every query a first bound on its kth distance. They are sent to all tasks; their number is fixed.
+FIRST = 1 << 12
 #: Parts that the rows of one code are first ranked in.
 SALTS = 16
+#: Pairs that are compared at once.
+_PAIRS = 1 << 19
+
+
+def sign_codes(embedding: Column) -> Column:
+    """Codes of as many bits as an array has numbers, in words of 64: a bit for each that is positive, the first one the highest of the first
+    word; the last word is filled up with zeros. Null without numbers, or if one is null or not finite."""
+    word = lambda i: F.aggregate(F.transform(F.slice(padded, i * 64 + 1, F.lit(64)), lambda x: (x > 0).cast("long")), F.lit(0).cast("long"), lambda s, x: F.shiftleft(s, 1).bitwiseOR(x))
+    padded = F.concat(embedding.cast("array<double>"), F.array_repeat(F.lit(0.0), F.pmod(-F.size(embedding), F.lit(64)).cast("int")))
+    usable = (F.size(embedding) > 0) & F.forall(embedding.cast("array<double>"), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return F.when(usable, F.transform(F.sequence(F.lit(0), F.floor((F.size(embedding) - 1) / 64).cast("int")), word))
+
+
+def width(n: int) -> int:
+    """Bits of a segment at most, for n codes."""
+    return min(24, max(4, round(math.log2(n / BUCKET)))) if n > BUCKET else 4
 
 
-def sign_codes(embedding):
-    """A 64-bit code of an array's first 64 numbers: a bit for each that is positive, the first one the highest. Null without 64 finite numbers."""
-    bits = F.transform(F.slice(embedding, 1, 64), lambda x: (x > 0).cast("long"))
-    usable = (F.size(embedding) >= 64) & F.forall(F.slice(embedding, 1, 64), lambda x: x.isNotNull() & ~F.isnan(x))
-    return F.when(usable, F.aggregate(bits, F.lit(0).cast("long"), lambda s, x: F.shiftleft(s, 1).bitwiseOR(x)))
-
-
-def _masks() -> list[np.ndarray]:
-    """Values of BITS bits by their number of ones."""
-    values = np.arange(1 << BITS, dtype=np.uint16)
-    ones = np.bitwise_count(values)
-    return [values[ones == r] for r in range(BITS + 1)]
-
-
-class Index:
-    """Codes by the values of their segments."""
-
-    def __init__(self, codes: np.ndarray):
-        self.codes, self.masks = codes, _masks()
-        parts = codes.view(np.uint16).reshape(-1, SEGMENTS)
-        self.order = [np.argsort(parts[:, s], kind="stable") for s in range(SEGMENTS)]
-        self.start = [np.searchsorted(parts[:, s][o], np.arange((1 << BITS) + 1)) for s, o in enumerate(self.order)]
-
-    def nearest(self, query: np.ndarray, weight: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(places, distances) of every code not farther than the one that brings the sum of weights to k; of all, if there are fewer."""
-        parts = query.view(np.uint16)
-        seen = np.zeros(len(self.codes), bool)
-        places, distances = np.empty(0, np.int64), np.empty(0, np.int64)
-        for r in range(BITS + 1):
-            for s in range(SEGMENTS):
-                values = (self.masks[r] ^ parts[s]).astype(np.int64)
-                a, n = self.start[s][values], self.start[s][values + 1] - self.start[s][values]
-                some = n > 0
-                a, n = a[some], n[some]
-                found = self.order[s][np.repeat(a - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-                found = found[~seen[found]]
-                seen[found] = True
-                places = np.append(places, found)
-                distances = np.append(distances, np.bitwise_count(self.codes[found] ^ query[0]).astype(np.int64))
-                covered = SEGMENTS * r + s
-                near = distances <= covered
-                if len(places) == len(seen) or weight[places[near]].sum() >= k:
-                    by = np.argsort(distances, kind="stable")
-                    last = min(np.searchsorted(np.cumsum(weight[places[by]]), k), len(by) - 1)
-                    keep = distances <= distances[by[last]]
-                    return places[keep], distances[keep]
-        return places, distances
+def cuts(bits: int, n: int) -> list[int]:
+    """Where segments of codes of so many bits begin, and the end, for n codes."""
+    m = -(-bits // width(n))
+    return [bits * k // m for k in range(m + 1)]
+
+
+def looked_up(at: list[int], r: int) -> int:
+    """Values exactly r away from one's own, in all segments."""
+    return sum(math.comb(b - a, r) for a, b in itertools.pairwise(at))
+
+
+def _words(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """(rows, words) uint64; shorter codes are filled up with zeros."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    size = np.diff(np.asarray(column.offsets))
+    out = np.zeros((len(size), max(1, int(size.max(initial=1)))), np.uint64)
+    out[np.arange(out.shape[1]) < size[:, None]] = np.asarray(column.flatten()).view(np.uint64)
+    return out
+
+
+def _keys(words: np.ndarray, n: int, r: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, keys): the keys of the values of all segments of codes, or those of the values exactly r away."""
+    bits = np.unpackbits(words.byteswap().view(np.uint8), axis=1)
+    rows, keys, at = [], [], cuts(bits.shape[1], n)
+    for s, (a, b) in enumerate(itertools.pairwise(at)):
+        value = bits[:, a:b].astype(np.uint64) @ (np.uint64(1) << np.arange(b - a, dtype=np.uint64)[::-1])
+        masks = np.zeros(1, np.uint64) if not r else np.array([sum(1 << k for k in c) for c in itertools.combinations(range(b - a), r)], np.uint64)
+        keys.append(mix((value[:, None] ^ masks).ravel() + (np.uint64(s + 1) << np.uint64(40)) + (np.uint64(words.shape[1]) << np.uint64(52))).view(np.int64))
+        rows.append(np.repeat(np.arange(len(words)), len(masks)))
+    return np.concatenate(rows), np.concatenate(keys)
+
+
+def keyed(codes: DataFrame, n: int, r: int | None = None) -> DataFrame:
+    """codes (code, ..) once for each of its keys, with the key."""
+    kind = codes.select("*", F.lit(0).cast("long").alias("key")).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size = np.diff(np.asarray(batch.column("code").offsets))
+            for length in np.unique(size):
+                part = batch.take(pa.array(np.flatnonzero(size == length)))
+                for at in range(0, len(part), 256):
+                    some = part.slice(at, 256)
+                    rows, keys = _keys(_words(some.column("code")), n, r)
+                    yield pa.RecordBatch.from_arrays([*some.take(pa.array(rows)).columns, pa.array(keys)], kind.names)
+
+    return codes.mapInArrow(run, kind)
+
+
+def bounded(queries: DataFrame, sample: list, k: int) -> DataFrame:
+    """queries (code) with bound: no less than the distance that k ids of rows are within, by a few codes that are sent to all tasks."""
+    sent = queries.sparkSession.sparkContext.broadcast([(np.array(x.code, np.int64).view(np.uint64), x.weight) for x in sample])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lengths = sorted({len(c) for c, _ in sent.value})
+        known = {n: (np.array([c for c, _ in sent.value if len(c) == n]), np.array([w for c, w in sent.value if len(c) == n])) for n in lengths}
+        for batch in batches:
+            size = np.diff(np.asarray(batch.column("code").offsets))
+            bound = 64 * size
+            for n in lengths:
+                codes, weight = known[n]
+                for i in np.flatnonzero(size == n):
+                    distance = np.bitwise_count(codes ^ np.asarray(batch.column("code")[int(i)].values).view(np.uint64)).sum(axis=1)
+                    order = np.argsort(distance, kind="stable")
+                    last = np.searchsorted(np.cumsum(weight[order]), k)
+                    bound[i] = distance[order[last]] if last < len(order) else 64 * n
+            yield pa.RecordBatch.from_arrays([batch.column("code"), pa.array(bound, pa.int32())], ["code", "bound"])
+
+    return queries.mapInArrow(run, "code array<long>, bound int")
+
+
+def _best(q: np.ndarray, code: np.ndarray, distance: np.ndarray, first: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k codes of least (distance, first) of each q; a code that was found by several keys counts once."""
+    order = np.lexsort((code, first, distance, q))
+    order = order[np.append(True, (np.diff(q[order]) != 0) | (np.diff(code[order]) != 0))]
+    begins = np.flatnonzero(np.diff(q[order], prepend=-1))
+    rank = np.arange(len(order)) - np.repeat(begins, np.diff(np.append(begins, len(order))))
+    return order[rank < k]
+
+
+FOUND = "query array<long>, code array<long>, first long, weight int, distance int"
+
+
+def meet(rows: DataFrame, k: int) -> DataFrame:
+    """FOUND: of rows (key, cell, side, code, first, weight, bound), codes (side 0) that are within a query's (side 1) bound where they share key and cell.
+    A task keeps the codes of the present key, and of each query that it sees no more than the k best."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, kept, n = None, [], 0
+
+        def out() -> pa.RecordBatch:
+            x = pa.concat_tables(kept).combine_chunks()
+            q, code = (np.unique(_words(x.column(c)), axis=0, return_inverse=True)[1].ravel() for c in ("query", "code"))
+            best = x.take(pa.array(_best(q, code, np.asarray(x.column("distance")), np.asarray(x.column("first")), k)))
+            return best.combine_chunks()
+
+        for batch in batches:
+            table = pa.Table.from_batches([x for x in (held, batch) if x is not None]).combine_chunks()
+            if not len(table):
+                continue
+            key, side = np.stack([np.asarray(table.column(c)) for c in ("key", "cell")]), np.asarray(table.column("side"))
+            begins = np.concatenate([[0], np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1])
+            ends = np.append(begins[1:], len(table))
+            codes = np.add.reduceat((side == 0).astype(np.int64), begins)
+            held = table.slice(int(begins[-1]), int(codes[-1])).combine_chunks().to_batches()
+            held = held[0] if held else None
+            words, bound = _words(table.column("code")), np.asarray(table.column("bound"))
+            queries = np.flatnonzero(side == 1)
+            group = np.searchsorted(begins, queries, side="right") - 1
+            many = np.cumsum(codes[group])
+            for part in np.split(np.arange(len(queries)), np.searchsorted(many, np.arange(_PAIRS, many[-1], _PAIRS))) if len(queries) and many[-1] else ():
+                each = codes[group[part]]
+                a = np.repeat(queries[part], each)
+                b = np.repeat(begins[group[part]] - (np.cumsum(each) - each), each) + np.arange(each.sum())
+                distance = np.bitwise_count(words[a] ^ words[b]).sum(axis=1, dtype=np.int32)
+                near = np.flatnonzero(distance <= bound[a])
+                if len(near):
+                    at = pa.array(b[near])
+                    kept.append(pa.table([table.column("code").take(pa.array(a[near])), *(table.column(c).take(at) for c in ("code", "first", "weight")), pa.array(distance[near])], names=["query", "code", "first", "weight", "distance"]))
+                    n += len(near)
+                if n > 1 << 18:
+                    kept = [out()]
+                    n = len(kept[0])
+        if kept:
+            yield from out().to_batches()
+
+    placed = rows.select("key", "cell", "side", "code", "first", "weight", "bound").repartition("key", "cell").sortWithinPartitions("key", "cell", "side")
+    return placed.mapInArrow(run, FOUND)
+
+
+def _sides(codes: DataFrame, queries: DataFrame) -> DataFrame:
+    """Both as rows for meet()."""
+    a = codes.select("key", "cell", F.lit(0).alias("side"), "code", "first", "weight", F.lit(0).alias("bound"))
+    return a.union(queries.select("key", "cell", F.lit(1).alias("side"), "code", F.lit(0).cast("long"), F.lit(0), "bound"))
+
+
+def _spread(n: Column) -> Column:
+    return F.explode(F.sequence(F.lit(0), n - 1))
+
+
+def _dealt(codes: DataFrame, queries: DataFrame) -> DataFrame:
+    """Both in cells, one for each block of codes and block of queries of a key."""
+    own = lambda n, salt: F.pmod(F.xxhash64("code", F.lit(salt)), n).cast("int")
+    x = codes.withColumn("_i", own(F.col("code_blocks"), "i")).withColumn("_j", _spread(F.col("query_blocks")))
+    y = queries.withColumn("_j", own(F.col("query_blocks"), "j")).withColumn("_i", _spread(F.col("code_blocks")))
+    cell = (F.col("_i") * F.col("query_blocks") + F.col("_j")).cast("int")
+    return _sides(x.withColumn("cell", cell), y.withColumn("cell", cell))
 
 
 def top_k(rows: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """(query_id, rank, id, distance): of each of queries (id, code) the k rows (id, code) of least Hamming distance, ties by id; the row of
     the query's own id is left out.
 
-    Rows and queries with a null id or code take no part. Equal codes are searched once and stand for all their ids. Repeated
-    rows are one. Fewer than k rows give as many as there are; no rows or queries give none. Other columns are ignored.
+    code: a long, or an array of longs; only codes of as many words are compared. Rows and queries with a null id or code take no part. Equal
+    codes are searched once and stand for all their ids. Repeated rows are one. Fewer than k rows give as many as there are; no rows or
+    queries give none. Other columns are ignored.
     """
-    rows = rows.filter("id is not null and code is not null").select("id", "code").distinct()
-    queries = queries.filter("id is not null and code is not null").select(F.col("id").alias("query_id"), "code").distinct()
+    array = lambda x: F.col("code") if x.schema["code"].dataType.typeName() == "array" else F.array("code")
+    rows = rows.filter("id is not null and code is not null").select("id", array(rows).cast("array<long>").alias("code")).distinct()
+    queries = queries.filter("id is not null and code is not null").select(F.col("id").alias("query_id"), array(queries).cast("array<long>").alias("code")).distinct()
     rows = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)))
-    first = lambda x, *by: x.withColumn("n", F.row_number().over(Window.partitionBy(*by).orderBy("id"))).filter(F.col("n") <= k + 1).drop("n")
-    classes = written(first(first(rows, "code", "salt"), "code").groupBy("code").agg(F.sort_array(F.collect_list("id")).alias("ids")))
-    wanted = written(queries.select("code").distinct())
-    blocks = lambda n, size: max(1, -(-n // size))
-    n_index, n_query = blocks(classes.count(), INDEX_BLOCK), blocks(wanted.count(), QUERY_BLOCK)
-    deal = lambda x, n, name: x.withColumn(name, F.pmod(F.xxhash64("code", F.lit(name)), F.lit(n)).cast("int"))
-    spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    index = deal(classes, n_index, "i").withColumn("q", spread(n_query))
-    asked = deal(wanted, n_query, "q").withColumn("i", spread(n_index))
-
-    def search(key: tuple, codes: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        if not len(codes) or not len(asked):
-            return pd.DataFrame({"code": [], "id": [], "distance": []}).astype({"code": "int64", "id": "int64", "distance": "int32"})
-        at, ids = Index(codes["code"].to_numpy(np.int64).view(np.uint64)), codes["ids"].to_numpy()
-        weight = np.fromiter(map(len, ids), int, len(ids))
-        out = []
-        for code in asked["code"].to_numpy(np.int64):
-            places, distances = at.nearest(np.array([code]).view(np.uint64), weight, k + 1)
-            found = np.concatenate([ids[p] for p in places]).astype(np.int64)
-            distance = np.repeat(distances, weight[places])
-            best = np.lexsort((found, distance))[: k + 1]
-            out.append(pd.DataFrame({"code": code, "id": found[best], "distance": distance[best].astype(np.int32)}))
-        return pd.concat(out)
-
-    best = index.groupBy("i", "q").cogroup(asked.groupBy("i", "q")).applyInPandas(search, "code long, id long, distance int")
-    by_code = Window.partitionBy("code").orderBy("distance", "id")
-    best = best.withColumn("n", F.row_number().over(by_code)).filter(F.col("n") <= k + 1).drop("n")
-    near = queries.join(best, "code").filter("id <> query_id")
-    ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id")))
+    best = lambda x, *by: x.withColumn("n", F.row_number().over(Window.partitionBy(*by).orderBy("id"))).filter(F.col("n") <= k + 1).drop("n")
+    classes, n = counted(best(best(rows, "code", "salt"), "code").groupBy("code").agg(F.sort_array(F.collect_list("id")).alias("ids")))
+    codes = classes.select("code", F.col("ids")[0].cast("long").alias("first"), F.size("ids").alias("weight"))
+    sample = codes.orderBy(F.xxhash64("code"), "code").limit(FIRST).select("code", "weight").collect()
+    open_, left = counted(bounded(queries.select("code").distinct(), sample, k + 1))
+    longest = 64 * max((len(x.code) for x in sample), default=1)
+    at = cuts(longest, max(n, 1))
+    index = written(keyed(codes, n)) if left and n else None
+    hot, found, r = None, None, 0
+    while left and n:
+        if 2 * looked_up(at, r) < 1 << width(n):
+            if hot is None:
+                hot, some = counted(index.groupBy("key").count().filter(F.col("count") > BLOCK).select("key", F.ceil(F.col("count") / BLOCK).cast("int").alias("code_blocks")))
+            asked = keyed(open_, n, r)
+            plain = _sides(index.withColumn("cell", F.lit(0)), asked.withColumn("cell", F.lit(0)))
+            if some:
+                asked = written(asked)
+                cold = lambda x: x.join(hot.select("key"), "key", "left_anti").withColumn("cell", F.lit(0))
+                sizes = asked.join(hot, "key").groupBy("key", "code_blocks").count().withColumn("query_blocks", F.ceil(F.col("count") / BLOCK).cast("int")).drop("count")
+                plain = _sides(cold(index), cold(asked)).union(_dealt(index.join(sizes, "key"), asked.join(sizes, "key")))
+            covered = F.ceil(F.size("code") * 64 / width(n)) * (r + 1) - 1
+        else:  # the rest meets all codes
+            blocks = lambda x: x.withColumns({"key": F.size("code").cast("long"), "code_blocks": F.lit(-(-n // BLOCK)), "query_blocks": F.lit(-(-left // BLOCK))})
+            plain, covered = _dealt(blocks(codes), blocks(open_)), None
+        new = meet(plain, k + 1)
+        every = (new if found is None else found.union(new)).repartition("query").dropDuplicates(["query", "code"])
+        place = Window.partitionBy("query").orderBy("distance", "first")
+        ranked = every.withColumn("_n", F.row_number().over(place)).withColumn("_w", F.sum("weight").over(place.rowsBetween(Window.unboundedPreceding, 0)))
+        found = written(ranked.filter(F.col("_n") <= k + 1).drop("_n"))
+        bound = found.filter(F.col("_w") > k).groupBy(F.col("query").alias("code")).agg(F.min("distance").alias("kth"))
+        found = found.drop("_w")
+        open_ = open_.join(bound, "code", "left").withColumn("bound", F.least("bound", "kth"))
+        if covered is None:
+            break
+        open_, left = counted(open_.filter(F.col("kth").isNull() | (F.col("kth") > covered)).drop("kth"))
+        r += 1
+    if found is None:
+        found = queries.sparkSession.createDataFrame([], FOUND)
+    near = queries.join(found.select(F.col("query").alias("code"), F.col("code").alias("near"), "distance"), "code")
+    ids = near.select("query_id", "near", "distance").join(classes.withColumnRenamed("code", "near"), "near").select("query_id", "distance", F.explode("ids").alias("id")).filter("id <> query_id")
+    ranked = ids.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id")))
     return ranked.filter(F.col("rank") <= k).select("query_id", "rank", "id", "distance")
