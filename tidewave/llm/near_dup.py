@@ -291,9 +291,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, rec
         wide = nodes.filter("blocks is not null")
 
     # the least doc_id of each component
-    ids = written(classes.select("v", "doc_id", "n", "k1", "k2").join(label.withColumnRenamed("id", "v"), "v", "left"))
-    least = ids.filter("component is not null").groupBy("component").agg(F.min("doc_id").alias("least"))
-    named = ids.join(least, "component", "left").select("n", "k1", "k2", F.coalesce("least", "doc_id").alias("id"))
+    members = written(classes.select("v", "doc_id").join(label.withColumnRenamed("id", "v"), "v"))
+    least = members.groupBy("component").agg(F.min("doc_id").alias("id"))
+    named = classes.select("v", "doc_id", "n", "k1", "k2").join(members.join(least, "component").select("v", "id"), "v", "left").select("n", "k1", "k2", F.coalesce("id", "doc_id").alias("id"))
     full = base.select("doc_id", "n", "k1", "k2").join(named, ["n", "k1", "k2"], "left")
     component = F.coalesce("id", "doc_id")
     return full.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
