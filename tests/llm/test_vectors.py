@@ -68,6 +68,7 @@ def test_top_k_equals_brute_force(spark, monkeypatch, bucket, block):
     monkeypatch.setattr(topk, "BUCKET", bucket)
     monkeypatch.setattr(topk, "BLOCK", block)
     monkeypatch.setattr(topk, "FIRST", 64)
+    monkeypatch.setattr(topk, "KEY", 0)
     random = np.random.default_rng(3)
     codes = random.integers(-(1 << 63), 1 << 63, 400, dtype=np.int64)
     codes[50:80] = codes[40]
@@ -96,6 +97,7 @@ def test_sign_codes(spark):
 def test_top_k_of_long_codes(spark, monkeypatch):
     """Codes of three words, and some of one, which are compared with their like only."""
     monkeypatch.setattr(topk, "BUCKET", 0.05)
+    monkeypatch.setattr(topk, "KEY", 0)
     random = np.random.default_rng(5)
     base = random.integers(-(1 << 63), 1 << 63, (8, 3), dtype=np.int64)
     codes = base[random.integers(0, 8, 200)] ^ (np.int64(1) << random.integers(0, 60, (200, 3)))

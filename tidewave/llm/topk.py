@@ -4,7 +4,7 @@ Codes are cut into segments, and each segment's value is a key under which a cod
 up all values within r of its own, in each of the m segments; what it finds is verified by the full Hamming distance. A code that
 differs in no more than m * (r + 1) - 1 bits has a segment that differs in r at most, so a query is closed once its kth verified
 distance is no more than that. Keys are joined by a shuffle, so codes and queries that share none never meet; keys of
-many codes are cut into blocks. Once a round would look up more than there is, the open queries meet all codes, in blocks. See
+many codes are cut into blocks. Once a round would cost more than that, the open queries meet all codes, in blocks. See
 "Fast Exact Search in Hamming Space with Multi-Index Hashing" (Norouzi, Punjani and Fleet, 2014).
 """
 
@@ -27,6 +27,8 @@ BUCKET = 32
 BLOCK = 1 << 13
 #: Codes that give every query a first bound on its kth distance. They are sent to all tasks; their number is fixed.
 FIRST = 1 << 12
+#: What looking up one key costs, in codes that could be compared meanwhile: it is emitted, shuffled and sorted.
+KEY = 200
 #: Parts that the rows of one code are first ranked in.
 SALTS = 16
 #: Pairs that are compared at once.
@@ -218,7 +220,7 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     index = written(keyed(codes, n)) if left and n else None
     hot, found, r = None, None, 0
     while left and n:
-        if 2 * looked_up(at, r) < 1 << width(n):
+        if looked_up(at, r) * (KEY + n / 2 ** width(n)) < n:
             if hot is None:
                 hot, some = counted(index.groupBy("key").count().filter(F.col("count") > BLOCK).select("key", F.ceil(F.col("count") / BLOCK).cast("int").alias("code_blocks")))
             asked = keyed(open_, n, r)
