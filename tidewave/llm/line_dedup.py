@@ -7,10 +7,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidewave.llm.store import written
+from tidewave.llm.store import counted, keyed_join, written
 
 #: Hashes of boilerplate lines that may be broadcast; beyond it, the join shuffles.
 BROADCAST_LINES = 200_000
+#: Pages of a site that share a copy of its lines where the join shuffles.
+PAGES = 50_000
 #: Pages of a site that a line stands on at least, by default: the ratio decides, and neither one page nor a page and its copy make boilerplate.
 LEAST = 3
 #: Fixed patterns of HTML: what is not text, elements that end a line, other tags, and characters written by name.
@@ -59,14 +61,21 @@ def drop_boilerplate(pages: DataFrame, site: str, text: str = "text", ratio: flo
     seen = each.select("_site", F.explode("_lines").alias("line"))
     common = seen.groupBy("_site", "line").count().filter((F.col("count") >= least) & F.col("_site").isNotNull())
     totals = each.groupBy("_site").agg(F.count(F.lit(1)).alias("total"))
-    found = written(common.join(totals, "_site").filter(F.col("count") > F.col("total") * ratio).groupBy("_site").agg(F.collect_set("line").alias("_drop")))
+    found = common.join(totals, "_site").filter(F.col("count") > F.col("total") * ratio).groupBy("_site").agg(F.collect_set("line").alias("_drop"), F.ceil(F.max("total") / PAGES).cast("int").alias("_parts"))
+    found = written(found)
     size = found.agg(F.coalesce(F.sum(F.size("_drop")), F.lit(0))).first()[0]
-    x = pages.join(F.broadcast(found) if size <= BROADCAST_LINES else found, pages[site].eqNullSafe(found["_site"]) if size <= BROADCAST_LINES else pages[site] == found["_site"], "left")
+    if size <= BROADCAST_LINES:
+        x = pages.join(F.broadcast(found), pages[site].eqNullSafe(found["_site"]), "left")
+    else:  # a large site's pages are dealt to parts, each of which gets the site's lines
+        large, rows = counted(found.filter("_parts > 1").select("_site", "_parts"))
+        parts = F.when(F.col("_site").isNull(), F.lit(1024)).otherwise(F.coalesce("_parts", F.lit(1)))
+        x = keyed_join(pages.withColumn("_site", F.col(site)), large, ["_site"], "left", rows).withColumn("_part", F.pmod(F.xxhash64(*pages.columns), parts).cast("int")).drop("_parts")
+        x = x.join(found.withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))), ["_site", "_part"], "left")
     kept = F.filter(lines, lambda x: ~F.coalesce(F.array_contains("_drop", _hash(x)), F.lit(False)) | (_trimmed(x) == ""))
     full = lambda of: F.coalesce(F.size(F.filter(of, lambda x: _trimmed(x) != "")), F.lit(0))
     n, left = F.when(F.col(text).isNull(), 0).otherwise(full(lines)), F.when(F.col(text).isNull(), 0).otherwise(full(F.split(F.col("_new"), "\n", -1)))
     x = x.withColumn("_new", F.when(F.col("_drop").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n")))
-    return x.withColumns({"n_lines": n, "n_dropped": n - left}).withColumn(text, F.col("_new")).drop("_site", "_drop", "_new")
+    return x.withColumns({"n_lines": n, "n_dropped": n - left}).withColumn(text, F.col("_new")).drop("_site", "_drop", "_new", "_part", "_parts")
 
 
 def dedup_pages(pages: DataFrame, ratio: float = 0.1, least: int = LEAST) -> DataFrame:

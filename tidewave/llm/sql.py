@@ -22,21 +22,24 @@ def _page_text() -> str:
 _LINES, _TRIM = f"string_split(text, {_NL})", f"trim(x, {_BLANK})"
 OP1 = f"""WITH t AS (SELECT page_id, lower(nullif(regexp_extract(url, {_q(HOST)}, 1), '')) AS host, {_page_text()} AS text FROM pages),
   l AS (SELECT host, unnest(list_distinct(list_filter(list_transform({_LINES}, lambda x: {_TRIM}), lambda x: x <> ''))) AS line FROM t WHERE host IS NOT NULL),
-  c AS (SELECT host, line, count(*) AS n FROM l GROUP BY ALL HAVING count(*) >= 10), n AS (SELECT host, count(*) AS total FROM t GROUP BY host),
+  c AS (SELECT host, line, count(*) AS n FROM l GROUP BY ALL HAVING count(*) >= {LEAST}), n AS (SELECT host, count(*) AS total FROM t GROUP BY host),
   b AS (SELECT c.host, list(line) AS gone FROM c JOIN n ON n.host = c.host WHERE c.n > total * CAST(0.1 AS DOUBLE) GROUP BY c.host),
   k AS (SELECT page_id, t.host, text, CASE WHEN gone IS NULL THEN text ELSE array_to_string(list_filter({_LINES}, lambda x: {_TRIM} = '' OR NOT list_contains(gone, {_TRIM})), {_NL}) END AS kept FROM t LEFT JOIN b ON b.host = t.host),
   f AS (SELECT *, coalesce(len(list_filter({_LINES}, lambda x: {_TRIM} <> '')), 0) AS a, coalesce(len(list_filter(string_split(kept, {_NL}), lambda x: {_TRIM} <> '')), 0) AS z FROM k)
   SELECT page_id, host, CAST(a AS INTEGER) AS n_lines, CAST(a - z AS INTEGER) AS n_dropped, kept AS text FROM f"""
-#: The same with the operator's own floor of pages.
-OP1_SMALL_HOSTS = OP1.replace("HAVING count(*) >= 10", f"HAVING count(*) >= {LEAST}")
+OP1_SMALL_HOSTS = OP1
 
 _RAW = f"string_split(replace(text, chr(13), ''), {_NL})"
 OP3 = rf"""WITH RECURSIVE m AS (SELECT *, row_number() OVER () AS rid FROM conversations),
   r AS (SELECT rid, conv_id, turn, unnest({_RAW}) AS raw, generate_subscripts({_RAW}, 1) AS i FROM m WHERE text IS NOT NULL),
   l AS (SELECT *, length(regexp_replace(regexp_extract(raw, {_q(MARKS)}), '[^>]', '', 'g')) AS level, regexp_replace(raw, {_q(MARKS)}, '') AS body FROM r),
   x AS (SELECT *, trim(regexp_replace(lower(body), {_q(APART)}, ' ', 'g')) AS norm, coalesce(regexp_matches(body, {_q(INTRODUCES)}) AND lead(level) OVER (PARTITION BY rid ORDER BY i) > 0, false) AS introduces FROM l),
-  asks AS (SELECT DISTINCT conv_id, turn, level, norm FROM x WHERE level > 0 AND norm <> ''), has AS (SELECT DISTINCT conv_id, turn AS origin, norm FROM x WHERE level = 0 AND NOT introduces AND norm <> ''),
-  found AS (SELECT asks.*, origin FROM asks JOIN has ON has.conv_id = asks.conv_id AND has.norm = asks.norm AND origin < turn),
+  k AS (SELECT *, CASE WHEN norm = '' THEN -1 WHEN level = 0 AND introduces THEN -2 ELSE level END AS kind FROM x), y AS (SELECT *, lag(kind) OVER (PARTITION BY rid ORDER BY i) AS above FROM k),
+  g AS (SELECT *, sum(CASE WHEN kind = above THEN 0 ELSE 1 END) OVER (PARTITION BY rid ORDER BY i) AS run FROM y), q AS (SELECT rid, run, string_agg(norm, ' ' ORDER BY i) AS passage FROM g GROUP BY rid, run),
+  z AS (SELECT g.*, passage FROM g JOIN q ON q.rid = g.rid AND q.run = g.run), asks AS (SELECT DISTINCT conv_id, turn, level, passage, norm FROM z WHERE kind > 0),
+  has AS (SELECT DISTINCT conv_id, turn AS origin, unnest([norm, passage]) AS key FROM z WHERE kind = 0),
+  o AS (SELECT asks.*, coalesce((SELECT max(origin) FROM has WHERE has.conv_id = asks.conv_id AND key = passage AND origin < turn), (SELECT max(origin) FROM has WHERE has.conv_id = asks.conv_id AND key = norm AND origin < turn)) AS origin FROM asks),
+  found AS (SELECT conv_id, turn, level, norm, max(origin) AS origin FROM o WHERE origin IS NOT NULL GROUP BY ALL),
   votes AS (SELECT conv_id, turn, level, origin, count(*) AS n FROM found GROUP BY ALL), parents AS (SELECT conv_id, turn, origin AS parent_turn FROM votes QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY level, n DESC, origin DESC) = 1),
   linked AS (SELECT conv_id, turn, count(*) AS n_linked FROM (SELECT DISTINCT conv_id, turn, level, norm FROM found) GROUP BY ALL),
   up AS (SELECT conv_id, turn, parent_turn AS above, 1 AS depth FROM parents UNION ALL SELECT up.conv_id, up.turn, p.parent_turn, depth + 1 FROM up JOIN parents p ON p.conv_id = up.conv_id AND p.turn = up.above),
