@@ -1,7 +1,7 @@
 """Quality by random-indexing word vectors, pooled per document, and a two-layer network with calibrated probabilities.
 
 Each word has a fixed sparse random index vector; its context vector is the sum of the index vectors of its neighbours over the whole
-corpus. Words share BUCKETS rows by hash, so the vectors are of fixed size however large the corpus. A document is the mean
+corpus. Words share BUCKETS rows by hash, a quarter of a million, so the vectors are of fixed size however large the corpus. A document is the mean
 of its words' vectors, rare words counting more, how much words one and two places apart are alike, and the logarithm of
 their number. The network is fitted by Adam on a bounded sample of labels, and its
 temperature on a part of that sample that it has not seen.
@@ -18,9 +18,11 @@ from pyspark.sql import DataFrame, functions as F
 from tidewave.llm.store import held_out, keyed_join, small_batches, written
 from tidewave.llm.words import hashed, mix, randoms
 
-BUCKETS, DIM, NONZERO, REACH = 1 << 13, 32, 4, 2
-#: Rows of the table of vectors that are summed together, and tasks that sum a part of the corpus.
-ROWS, TASKS = 256, 4096
+BUCKETS, DIM, NONZERO, REACH = 1 << 18, 32, 4, 2
+#: Rows of the table of vectors that are summed together.
+ROWS = 256
+#: A word's vector counts in full if it was seen much more often than this.
+SEEN = 8.0
 #: Labelled rows to learn from at most, in expectation.
 SAMPLE, HIDDEN, EPOCHS = 16_000, 32, 60
 INPUTS = DIM + REACH + 1
@@ -30,58 +32,68 @@ _SLICE = 1 << 20
 def _index() -> tuple[np.ndarray, np.ndarray]:
     """Places and signs of the entries of each bucket's index vector."""
     code = randoms(BUCKETS * NONZERO, 21).reshape(BUCKETS, NONZERO)
-    return (code % np.uint64(DIM)).astype(np.int64), np.where(code >> np.uint64(63), 1, -1).astype(np.int64)
+    return (code % np.uint64(DIM)).astype(np.int64), np.where(code >> np.uint64(63), 1, -1).astype(np.int8)
 
 
 def _buckets(words: np.ndarray) -> np.ndarray:
-    return (mix(words ^ np.uint64(0x51ED270B)) >> np.uint64(64 - 13)).astype(np.int64)
+    return (mix(words ^ np.uint64(0x51ED270B)) >> np.uint64(64 - 18)).astype(np.int64)
+
+
+def _neighbour_sums(b: np.ndarray, text: np.ndarray, place: np.ndarray, sign: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(buckets, sums): of the words of some texts, the sums of the index vectors of their neighbours, and how often they occur."""
+    used, at = np.unique(b, return_inverse=True)
+    sums = np.zeros((len(used), DIM + 1), np.int32)
+    sums[:, DIM] = np.bincount(at, minlength=len(used))
+    for gap in range(1, REACH + 1):
+        near = np.flatnonzero(text[:-gap] == text[gap:]) if len(b) > gap else np.zeros(0, np.int64)
+        for x, y in ((near, near + gap), (near + gap, near)):
+            for k in range(NONZERO):
+                sums[:, :DIM] += np.bincount(at[x] * DIM + place[b[y], k], sign[b[y], k], len(used) * DIM).astype(np.int32).reshape(-1, DIM)
+    return used, sums
 
 
 def word_sums(docs: DataFrame) -> np.ndarray:
-    """(BUCKETS, DIM + 1): sums of the index vectors of neighbours, and how often each bucket's words occur, over all texts."""
+    """(BUCKETS, DIM + 1): sums of the index vectors of neighbours, and how often each bucket's words occur, over all texts. A task sends the rows of the
+    buckets that it has seen, and the driver gets the one table of fixed size."""
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place, sign = _index()
-        total = np.zeros((BUCKETS, DIM + 1), np.int64)
-        seen = False
+        total = np.zeros((BUCKETS, DIM + 1), np.int32)
         for batch in batches:
             for _, words, ends in hashed(batch.column(0), _SLICE):
-                seen = True
-                b, text = _buckets(words), np.repeat(np.arange(len(ends) - 1), np.diff(ends))
-                total[:, DIM] += np.bincount(b, minlength=BUCKETS)
-                for gap in range(1, REACH + 1):
-                    near = text[:-gap] == text[gap:] if len(b) > gap else np.zeros(0, bool)
-                    one, other = b[:-gap][near], b[gap:][near]
-                    for x, y in ((one, other), (other, one)):
-                        for k in range(NONZERO):
-                            total[:, :DIM] += np.bincount(x * DIM + place[y, k], sign[y, k], BUCKETS * DIM).astype(np.int64).reshape(BUCKETS, DIM)
-        if seen:
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(BUCKETS // ROWS, dtype=np.int32)), pa.array([x.tobytes() for x in total.reshape(-1, ROWS, DIM + 1)], pa.binary())], ["part", "sums"])
+                used, sums = _neighbour_sums(_buckets(words), np.repeat(np.arange(len(ends) - 1), np.diff(ends)), place, sign)
+                total[used] += sums
+        seen = np.flatnonzero(total[:, DIM])
+        for at in np.array_split(seen, len(seen) // 8192 + 1):
+            if len(at):
+                yield pa.RecordBatch.from_arrays([pa.array((at // ROWS).astype(np.int32)), pa.array((at % ROWS).astype(np.int32)), pa.array([x.tobytes() for x in total[at]], pa.binary())], ["part", "row", "sums"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            for part, x in zip(batch.column("part").to_pylist(), batch.column("sums")):
-                x = np.frombuffer(x.as_buffer(), np.int64)
-                sums[part] = sums[part] + x if part in sums else x.copy()
+            part, row = np.asarray(batch.column("part")), np.asarray(batch.column("row"))
+            x = np.frombuffer(b"".join(v.as_buffer() for v in batch.column("sums")), np.int32).reshape(-1, DIM + 1)
+            for p in np.unique(part):
+                np.add.at(sums.setdefault(int(p), np.zeros((ROWS, DIM + 1), np.int64)), row[part == p], x[part == p])
         if sums:
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["part", "sums"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.astype(np.float32).tobytes() for x in sums.values()], pa.binary())], ["part", "sums"])
 
-    schema = "part int, sums binary"
-    found = docs.select("text").coalesce(TASKS).mapInArrow(partial, schema).repartition("part").mapInArrow(add, schema).collect()
-    total = np.zeros((BUCKETS // ROWS, ROWS, DIM + 1))
+    found = docs.select("text").mapInArrow(partial, "part int, row int, sums binary").repartition("part").mapInArrow(add, "part int, sums binary").collect()
+    total = np.zeros((BUCKETS // ROWS, ROWS, DIM + 1), np.float32)
     for row in found:
-        total[row["part"]] = np.frombuffer(row["sums"], np.int64).reshape(ROWS, DIM + 1)
+        total[row["part"]] = np.frombuffer(row["sums"], np.float32).reshape(ROWS, DIM + 1)
     return total.reshape(BUCKETS, DIM + 1)
 
 
 def word_vectors(sums: np.ndarray) -> np.ndarray:
-    """(BUCKETS, DIM + 1) float32: unit vectors, and the weight of the word."""
-    count = sums[:, DIM]
-    vectors = sums[:, :DIM] / np.maximum(count, 1)[:, None]
-    vectors = vectors - (vectors * count[:, None]).sum(axis=0) / max(count.sum(), 1)  # what all words have in common tells nothing
+    """(BUCKETS, DIM + 1) float32: unit vectors, and the weight of the word: less the commoner it is, and less if it was hardly seen."""
+    count = sums[:, DIM].astype(float)
+    vectors = sums[:, :DIM] / np.maximum(count, 1).astype(np.float32)[:, None]
+    vectors -= (sums[:, :DIM].sum(axis=0, dtype=float) / max(count.sum(), 1)).astype(np.float32)  # what all words have in common tells nothing
     vectors /= np.maximum(np.linalg.norm(vectors, axis=1), 1e-9)[:, None]
-    return np.column_stack([vectors, 1e-3 / (1e-3 + count / max(count.sum(), 1))]).astype(np.float32)
+    vectors[count == 0] = 0
+    share = 1e-3 / (1e-3 + count / max(count.sum(), 1))
+    return np.column_stack([vectors, (share * count / (count + SEEN)).astype(np.float32)])
 
 
 def pooled(texts: pa.Array, vectors: np.ndarray) -> np.ndarray:
@@ -151,13 +163,13 @@ def quality(docs: DataFrame, labels: DataFrame, label: str = "quality", threshol
 
     Word vectors come from all texts, labels only from rows that aren't held out. A null or empty text is the mean of no words and gets the
     network's score of zeros. Without labels every score is 0.5 or so. Null labels, ids and texts are not learned from;
-    repeated labels of an id count once. Other columns are ignored; no documents give no rows.
+    of an id that has several labels the least counts, of several texts one by hash. Other columns are ignored; no documents give no rows.
     """
     spark = docs.sparkSession
     small_batches(spark)
     vectors = word_vectors(word_sums(docs))
     sent = spark.sparkContext.broadcast(vectors)
-    known = written(labels.filter(~held_out(4, 2) & F.col(label).isin(0, 1)).select("doc_id", F.col(label).cast("int").alias("label")).dropDuplicates(["doc_id"]))
+    known = written(labels.filter(~held_out(4, 2) & F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.min(F.col(label).cast("int")).alias("label")))
     part = min(1.0, sample / max(known.count(), 1))
     chosen = written(known.filter(F.pmod(F.xxhash64("doc_id", F.lit(label)), F.lit(1 << 30)) < int(part * (1 << 30))))
 
@@ -165,8 +177,9 @@ def quality(docs: DataFrame, labels: DataFrame, label: str = "quality", threshol
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array([x.tobytes() for x in pooled(batch.column("text"), sent.value)], pa.binary())], ["doc_id", "label", "x"])
 
-    rows = keyed_join(docs.filter(F.col("text").isNotNull()).select("doc_id", "text"), chosen, ["doc_id"], "inner").select("doc_id", "label", "text")
-    rows = rows.mapInArrow(pool, "doc_id long, label int, x binary").toPandas().sort_values("doc_id")
+    rows = keyed_join(docs.filter(F.col("text").isNotNull()).select("doc_id", "text"), chosen, ["doc_id"], "inner")
+    rows = rows.groupBy("doc_id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text")).withColumn("doc_id", F.col("doc_id").cast("string"))
+    rows = rows.mapInArrow(pool, "doc_id string, label int, x binary").toPandas().sort_values("doc_id")
     x = np.array([np.frombuffer(b) for b in rows["x"]]).reshape(-1, INPUTS)
     network = Network(x, rows["label"].to_numpy(float))
 
