@@ -12,13 +12,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, functions as F
 
 from tidewave.llm.store import small_batches
 from tidewave.llm.tokens import encoder
 
-#: Groups that sequence numbers are dealt in; each numbers its own rows, so no task sees all rows.
-GROUPS = 1024
+#: A sequence's number is that of its task, times this, and its place there.
+PLACES = 1 << 40
 
 
 def lengths(n: int, longest: int) -> list[int]:
@@ -33,51 +34,42 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def pack(docs: DataFrame, tokenizer: str | None = None, longest: int = 2048, end_id: int = 1, keep_ids: bool = True, groups: int = GROUPS) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str | None = None, longest: int = 2048, end_id: int = 1, keep_ids: bool = True) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, bucket (log2 of length), and
     ids (array of int) if keep_ids.
 
-    Each document's ids end with end_id, so that a null or empty text is one piece of length 1. sequence_id is unique and the same in
-    every run over the same rows: the documents' hashes deal them into groups, which number their pieces in the order of
-    doc_id and interleave. Documents with equal ids, or null ids, keep their own pieces and numbers (rows that are equal
-    throughout are interchangeable). Columns other than doc_id and text are ignored. No documents: no rows.
+    Each document's ids end with end_id, so that a null or empty text is one piece of length 1. sequence_id is unique, and the same in
+    every run over the same files and splits: a task numbers its pieces as it reads them, so no row is moved or sorted. Documents
+    with equal ids, or null ids, keep their own pieces and numbers. Columns other than doc_id and text are ignored. No documents: no rows.
     """
     if longest & (longest - 1):
         raise ValueError("longest must be a power of two")
     path = tokenizer or default_tokenizer()
     small_batches(docs.sparkSession)
-    kind = pa.struct([("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())] + [("ids", pa.list_(pa.int32()))] * keep_ids)
-
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = encoder(path)
+        code, number = encoder(path), TaskContext.get().partitionId() * PLACES
         for batch in batches:
-            n_pieces, n_tokens, starts, sizes, sums, ids = [], [], [], [], [], []
-            for tokens in code.encode(batch.column("text")):
+            of, n_tokens, starts, sizes, sums, ids = [], [], [], [], [], []
+            for k, tokens in enumerate(code.encode(batch.column("text"))):
                 tokens = np.append(tokens, np.int32(end_id)).astype("<u4")
-                pieces = lengths(len(tokens), longest)
                 data, at = memoryview(tokens).cast("B"), 0
-                for size in pieces:
+                for size in lengths(len(tokens), longest):
+                    of.append(k)
+                    n_tokens.append(len(tokens))
                     starts.append(at)
                     sizes.append(size)
                     sums.append(zlib.crc32(data[4 * at : 4 * (at + size)]))
                     at += size
                 if keep_ids:
                     ids.append(tokens.view("<i4"))
-                n_pieces.append(len(pieces))
-                n_tokens.append(len(tokens))
-            fields = [pa.array(starts, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sums, pa.int64())]
+            numbers = np.arange(number, number + len(of))
+            number += len(of)
+            size = np.array(sizes, np.int64)
+            columns = [batch.column("doc_id").take(pa.array(of, pa.int64())), pa.array(starts, pa.int64()), pa.array(size), pa.array(sums, pa.int64()), pa.array(n_tokens, pa.int64()), pa.array(numbers), pa.array(np.zeros(len(of), np.int64)), pa.array(np.log2(size).astype(np.int32))]
             if keep_ids:
-                fields.append(pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(np.concatenate(ids) if ids else [], pa.int32())))
-            pieces = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n_pieces, dtype=np.int64)), pa.int32()), pa.StructArray.from_arrays(fields, fields=list(kind)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("salt"), pa.array(n_tokens, pa.int64()), pieces], ["doc_id", "salt", "doc_tokens", "pieces"])
+                columns.append(pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)), pa.int32()), pa.array(np.concatenate(ids) if ids else [], pa.int32())))
+            yield pa.RecordBatch.from_arrays(columns, names)
 
-    schema = "doc_id long, salt long, doc_tokens long, pieces array<struct<start: long, length: long, ids_crc32: long" + ", ids: array<int>" * keep_ids + ">>"
-    cuts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("salt"), "text").mapInArrow(cut, schema)
-    group = F.pmod("salt", F.lit(groups))
-    within = Window.partitionBy("group").orderBy("doc_id", "salt")
-    numbered = cuts.withColumn("group", group).withColumn("before", F.sum(F.size("pieces")).over(within.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.size("pieces"))
-    out = numbered.select("doc_id", "doc_tokens", "group", "before", F.posexplode("pieces").alias("k", "piece"))
-    return out.select(
-        "doc_id", "piece.start", "piece.length", "piece.ids_crc32", "doc_tokens", ((F.col("before") + F.col("k")) * groups + F.col("group")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"),
-        F.round(F.log2("piece.length")).cast("int").alias("bucket"), *["piece.ids"] * keep_ids,
-    )
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "bucket"] + ["ids"] * keep_ids
+    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, bucket int" + ", ids array<int>" * keep_ids
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, schema)

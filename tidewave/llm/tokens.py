@@ -53,7 +53,10 @@ class Encoder:
         lone = np.fromiter((not (_SPACE[p[0]] and not _SPACE[p[-1]]) for p in pieces), bool, len(pieces))
         joined = [p for p, x in zip(pieces, lone) if not x]
         flat = np.array(self.fast.encode_ordinary(b"".join(joined).decode()), np.int32)
-        ends = np.searchsorted(np.cumsum(self.lengths[flat]), np.cumsum(np.fromiter(map(len, joined), np.int64, len(joined)))) + 1
+        lasts, edges = np.cumsum(self.lengths[flat]), np.cumsum(np.fromiter(map(len, joined), np.int64, len(joined)))
+        ends = np.searchsorted(lasts, edges) + 1
+        if len(edges) and not np.array_equal(lasts[ends - 1], edges):
+            raise ValueError("a token crosses from one piece into the next: this vocabulary does not split at white space")
         n = np.zeros(len(pieces), np.int32)
         n[~lone] = np.diff(ends, prepend=0)
         alone = [e.ids for e in self.tokenizer.encode_batch([p.decode() for p, x in zip(pieces, lone) if x], add_special_tokens=False)]
