@@ -112,22 +112,23 @@ def identify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
 
     Learned from text and lang of rows that aren't held out and whose lang isn't null. lang_pred is one of the languages learned; it is
     und, with a score of 0, for a null text, a text without letters, and where nothing could be learned. Ties go to the first
-    language in order. Rows with a null doc_id are predicted too. Other columns are ignored; no documents give no rows.
+    language in order. Rows with a null doc_id are predicted too; rows that repeat a doc_id are learned from and predicted
+    each by its own text and lang. Other columns are ignored; no documents give no rows.
     """
     small_batches(docs.sparkSession)
-    known = docs.filter(~held_out(4, 2) & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
+    known = docs.select("doc_id", "lang", "text").filter(~held_out(4, 2) & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
     counts = written(known.groupBy("lang").count())
-    each = sample / max(1, counts.count())
-    share = F.least(F.lit(1.0), F.lit(each) / F.col("count"))
-    chosen = written(known.select("doc_id", "lang").join(counts, "lang").filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share * (1 << 30)).select("doc_id", "lang").dropDuplicates(["doc_id"]))
+    languages = counts.count()
+    share = F.least(F.lit(1.0), F.lit(sample / max(1, languages)) / F.col("count"))
+    chosen = keyed_join(known, counts, ["lang"], "inner", languages).filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < share * (1 << 30))
+    rows = chosen.select(F.xxhash64("doc_id", "text").alias("order"), "lang", "text")
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = np.concatenate([np.empty((0, DIMS), np.float32), *grams(batch.column("text"))]).astype(np.float16)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), pa.array([r.tobytes() for r in x], pa.binary())], ["doc_id", "lang", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column("order"), batch.column("lang"), pa.array([r.tobytes() for r in x], pa.binary())], ["order", "lang", "x"])
 
-    rows = keyed_join(docs.filter("text is not null").select("doc_id", "text"), chosen, ["doc_id"], "inner").select("doc_id", "lang", "text")
-    rows = rows.mapInArrow(learn, "doc_id long, lang string, x binary").toPandas().sort_values(["doc_id", "lang"])
+    rows = rows.mapInArrow(learn, "order long, lang string, x binary").toPandas().sort_values(["order", "lang"])
     model = Model(np.array([np.frombuffer(b, np.float16) for b in rows["x"]], np.float32).reshape(-1, DIMS), rows["lang"].to_numpy(str))
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -145,5 +146,5 @@ def identify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
             score = np.where(letters, np.concatenate(p) if p else 0.0, 0.0).astype(float)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.where(letters, langs, "und"), pa.string()), pa.array(score), pa.array(score < CLEAR)], ["doc_id", "lang_pred", "score", "ambiguous"])
 
-    scored = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double, ambiguous boolean")
+    scored = docs.select("doc_id", "text").mapInArrow(run, docs.select("doc_id", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(True).alias("ambiguous")).schema)
     return scored.select("doc_id", held_out(4, 2).alias("held_out"), "lang_pred", "score", "ambiguous")

@@ -83,17 +83,18 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int =
     """(coordinates, weights) that aren't zero, learned from labelled rows (doc_id, label) that aren't held out. The coordinate 1 << BITS is the bias.
 
     A first run with L1 chooses the coordinates, those of a nonzero weight in any shard; a second one, without it, weighs those alone, so that what L1 takes from each
-    weight does not hide a document with one toxic word. Rows whose text, label or id is null are not learned from;
-    without any labels, all weights are zero.
+    weight does not hide a document with one toxic word. Rows whose text, label or id is null are not learned from; of an id
+    that has several labels the least counts, of several texts one by hash. Without any labels, all weights are zero.
     """
     small_batches(docs.sparkSession)
-    known = written(labels.filter(~held_out(5, 0) & F.col(label).isin(0, 1)).select("doc_id", F.col(label).cast("int").alias("label")).dropDuplicates(["doc_id"]))
+    known = written(labels.filter(~held_out(5, 0) & F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.min(F.col(label).cast("int")).alias("label")))
     total = known.count()
     part = min(1.0, sample / max(total, 1))
     chosen = written(known.filter(F.pmod(F.xxhash64("doc_id", F.lit(label)), F.lit(1 << 30)) < int(part * (1 << 30))))
     shards = max(1, -(-min(total, sample) // SHARD))
 
-    rows = keyed_join(docs.filter(F.col("text").isNotNull()).select("doc_id", "text"), chosen, ["doc_id"], "inner").select("doc_id", "label", "text")
+    rows = keyed_join(docs.filter(F.col("text").isNotNull()).select("doc_id", "text"), chosen, ["doc_id"], "inner")
+    rows = rows.groupBy("doc_id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text")).withColumn("doc_id", F.col("doc_id").cast("string"))
 
     def trained(only: np.ndarray | None, l1: float) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,7 +104,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int =
                 codes = pa.array([x.astype(np.int32).tobytes() for x in codes], pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), codes], ["doc_id", "label", "codes"])
 
-        sharded = rows.mapInArrow(run, "doc_id long, label int, codes binary").withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)))
+        sharded = rows.mapInArrow(run, "doc_id string, label int, codes binary").withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)))
         return sharded.groupBy("shard").applyInPandas(lambda x: _shard(x, only, l1), "at long, z double, n double")
 
     selected = trained(None, L1).select("at").distinct().toPandas()["at"].to_numpy(np.int64)
@@ -112,26 +113,26 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int =
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], threshold: float = 0.5) -> DataFrame:
-    """docs with score (probability of the label, double) and predicted (int: 1 from the threshold on). A null or empty text gets the bias's score."""
+    """docs with score (probability of the label, double) and predicted (int: 1 from the threshold on), in place of columns of these names. A null or
+    empty text gets the bias's score. Only the text goes to Python."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    schema = docs.select(*docs.columns, F.lit(0.0).alias("score")).schema
-    at = docs.columns.index("text")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("double")
+    def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         where, weights = sent.value
         dense = np.zeros((1 << BITS) + 1, np.float32)
         dense[where] = weights
-        for batch in batches:
+        for texts in batches:
             out = []
-            for _, words, ends in hashed(batch.column(at)):
+            for _, words, ends in hashed(texts):
                 codes, text = features(words, ends)
                 hit = np.flatnonzero(dense[codes])
                 flat = np.unique((text[hit] << BITS) | codes[hit])
                 sums = np.bincount(flat >> BITS, dense[flat & ((1 << BITS) - 1)], len(ends) - 1) + dense[-1]
                 out.append(1 / (1 + np.exp(-np.clip(sums, -35, 35))))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(out) if out else np.empty(0))], [*batch.schema.names, "score"])
+            yield pa.array(np.concatenate(out) if out else np.empty(0))
 
-    return docs.mapInArrow(run, schema).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    return docs.withColumn("score", scored("text")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def toxic(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
