@@ -63,7 +63,7 @@ def _rows(column: pa.Array) -> tuple[np.ndarray, np.ndarray, dict[int, np.ndarra
 
 
 def vectors(rows: DataFrame) -> DataFrame:
-    """(vec_id, label, k1, k2, unit, cells) of the rows that can link: k1 and k2 are a digest of label and vector; unit and cells hold doubles and
+    """(vec_id, k1, k2, unit, cells) of the rows that can link: k1 and k2 are a digest of label and vector; unit and cells hold doubles and
     64-bit codes in bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,7 +81,7 @@ def vectors(rows: DataFrame) -> DataFrame:
                 codes = cell_codes(unit, salt)
                 yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(k[0]), pa.array(k[1]), pa.array([v.tobytes() for v in unit], pa.binary()), pa.array([c.tobytes() for c in codes], pa.binary())], ["vec_id", "k1", "k2", "unit", "cells"])
 
-    usable = rows.filter("vec_id is not null and label is not null and embedding is not null").select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))
+    usable = rows.filter("vec_id is not null and label is not null and embedding is not null").select(F.col("vec_id").cast("long").alias("vec_id"), F.xxhash64("label").alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))
     return usable.mapInArrow(run, "vec_id long, k1 long, k2 long, unit binary, cells binary")
 
 
@@ -170,7 +170,8 @@ def embedding_duplicates(rows: DataFrame, threshold: float = 0.98) -> DataFrame:
 
     Only equal labels link, by a cosine of threshold or more. Null labels, and vectors that are null, empty, zero or hold null
     or non-finite components link with nothing; vectors of different lengths do not link. Positive multiples of one vector are
-    one class, each copy counts as a vector. Rows with a null vec_id link with nothing and are not kept. Other columns are ignored; no rows give none.
+    one class, each copy counts as a vector. Rows with a null vec_id link with nothing and are not kept; rows that repeat a vec_id are vectors of
+    their own, and each gets the most links and the least component of them. Other columns are ignored; no rows give none.
     """
     found = written(vectors(rows))
     classes = written(found.groupBy("k1", "k2").agg(F.min("vec_id").alias("vec_id"), F.count(F.lit(1)).alias("weight"), F.first("unit").alias("unit"), F.first("cells").alias("cells")))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tidewave.llm.store import counted, written
+from tidewave.llm.store import counted, discard, written
 
 
 def _followed(hook: DataFrame) -> DataFrame:
@@ -14,7 +14,8 @@ def _followed(hook: DataFrame) -> DataFrame:
         for _ in range(3):
             x = x.select("id", F.col("root").alias("last"), F.col("root").alias("at")).join(hook.select(F.col("id").alias("at"), "root"), "at").select("id", "last", "root")
         x, moved = counted(x.select("id", "root", (F.col("root") != F.col("last")).alias("moved")), F.col("moved"))
-        hook = x.select("id", "root")
+        discard(hook)
+        hook = x
         if not moved:
             return hook
 
@@ -29,13 +30,18 @@ def components(links: DataFrame) -> DataFrame:
     links = written(links.select("a", "b").filter("a <> b").distinct())
     label = None
     while True:
-        both = links.union(links.select("b", "a"))
+        both = links.select("a", "b").union(links.select("b", "a"))
         hook = _followed(written(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("root")).select("id", F.least("id", "root").alias("root"))))
-        if label is None:
+        first, old = label is None, label
+        if first:
             label = hook
         else:
             label = written(label.join(hook.select(F.col("id").alias("root"), F.col("root").alias("next")), "root", "left").select("id", F.coalesce("next", "root").alias("root")))
+            discard(old)
         of = lambda end: hook.select(F.col("id").alias(end), F.col("root").alias(f"{end}_root"))
-        links, apart = counted(links.join(of("a"), "a").join(of("b"), "b").select(F.col("a_root").alias("a"), F.col("b_root").alias("b")).filter("a <> b").distinct())
+        above, links = links, links.join(of("a"), "a").join(of("b"), "b").select(F.col("a_root").alias("a"), F.col("b_root").alias("b")).filter("a <> b").distinct()
+        links, apart = counted(links)
+        discard(above, None if first else hook)
         if not apart:
+            discard(links)
             return label.select("id", F.col("root").alias("component"))

@@ -7,10 +7,14 @@ expected copies crosses. As like sizes are neighbours, the words taken come near
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window, functions as F
 
-#: A source's order is cut into runs of equal digits and equal beginning of the MD5, so that a source is never one task's.
-PREFIX = 2
+from tidewave.llm.store import written
+
+#: A source's order is cut into runs of equal digits and equal beginning of the MD5, as long as gives so many rows a run, so that a source is never one task's.
+RUN = 100_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -35,7 +39,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...], share: float, most: floa
 
 
 def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 7, carry: str | None = None) -> DataFrame:
-    """One row per document: doc_id, source, size (words; null text: 0), source_size, target, copies, taken (copies * size).
+    """One row per document: doc_id, size (words; null text: 0), source_size, target, taken (copies * size), source, copies.
 
     Every document gets the whole number of copies below or above target / source_size, at most ceil(most). The same rows give
     the same copies in every run: equal (doc_id, size) within a source are interchangeable, null doc_id come first. A null
@@ -45,7 +49,11 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: fl
     size = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.regexp_count("text", F.lit(WORD))).cast("long")
     code = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
     extra = [carry] if carry else []
-    sized = docs.select("doc_id", "source", size.alias("size"), *extra).withColumn("code", code).withColumn("digits", F.length(F.bin("size"))).withColumn("head", F.substring("code", 1, PREFIX))
+    sized = docs.select("doc_id", "source", size.alias("size"), *extra)
+    if not extra:
+        sized = written(sized)  # words are counted once; with what is carried along that would be written too
+    prefix = max(1, math.ceil(math.log(max(1, (docs if extra else sized).count()) / RUN, 16)))
+    sized = sized.withColumn("code", code).withColumn("digits", F.length(F.bin("size"))).withColumn("head", F.substring("code", 1, prefix))
     sized = sized.withColumn("null_source", F.col("source").isNull()).withColumn("key", F.coalesce("source", F.lit("")))
     run = ["null_source", "key", "digits", "head"]
     runs = sized.groupBy(*run).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("words"))
@@ -60,4 +68,4 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: fl
     at = F.col("before") + F.col("rank")
     u = _offset(F.concat(F.lit(f"{seed}:"), F.col("null_source").cast("string"), F.lit(":"), F.col("key")))
     copies = F.least(F.floor(at * rate + u) - F.floor((at - 1) * rate + u), F.lit(int(-(-most // 1)))).cast("long")
-    return x.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), *extra)
+    return x.select("doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), "source", copies.alias("copies"), *extra)

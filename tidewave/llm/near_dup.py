@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tidewave.llm.blocks import whole_groups
 from tidewave.llm.graph import components
-from tidewave.llm.store import counted, keyed_join, small_batches, written
+from tidewave.llm.store import counted, discard, keyed_join, small_batches, written
 from tidewave.llm.words import hashed, mix, randoms
 
 #: Minwise tokens of a set. Each tree chooses its paths by LEVELS of its own; nodes below choose among all.
@@ -187,7 +187,7 @@ def _joined(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def links(rows: DataFrame, found: Callable[[DataFrame, int], DataFrame], threshold: float) -> DataFrame:
-    """(a, b): links that join what is alike in each block of rows (node, block, tree, v, n, sig, label, met).
+    """(a, b), written: links that join what is alike in each block of rows (node, block, tree, v, n, sig, label, met).
 
     A first pass over the tokens finds the rows that have anything to compare; only theirs are the full sets that found(ids, rows) gives,
     and moved to the block.
@@ -231,7 +231,9 @@ def links(rows: DataFrame, found: Callable[[DataFrame, int], DataFrame], thresho
     placed = rows.select(*kind.names).repartition("node", "block").sortWithinPartitions("node", "block", "v")
     some, count = counted(placed.mapInArrow(open_rows, kind))
     full = some.join(found(some.select("v").distinct(), count), "v")
-    return full.repartition("node", "block").sortWithinPartitions("node", "block", "v").mapInArrow(confirm, "a long, b long")
+    out = written(full.repartition("node", "block").sortWithinPartitions("node", "block", "v").mapInArrow(confirm, "a long, b long"))
+    discard(some)
+    return out
 
 
 def _alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -274,7 +276,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, rec
     else:
         spots = spots.withColumn("met", met)
     ready = dealt(spots).join(tokens, "v").withColumn("label", F.col("v"))
-    joined = written(links(ready, found, threshold))
+    joined = links(ready, found, threshold)
     label = components(joined)
     wide, level = spots.filter("blocks is not null"), 0
     while some:
@@ -286,7 +288,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, rec
         nodes, some = counted(shared(children(below, level)).join(masks, "v"), F.col("blocks").isNotNull())
         columns = ["node", "block", "tree", "v", "n", "met", "label"]
         ready = minor_and_rest(few).select(*columns).union(dealt(nodes).select(*columns)).join(tokens, "v")
-        joined = written(joined.union(links(ready, found, threshold)))
+        joined = joined.union(links(ready, found, threshold))
         label = components(joined)
         wide = nodes.filter("blocks is not null")
 

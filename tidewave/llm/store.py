@@ -12,9 +12,11 @@ BROADCAST_ROWS = 200_000
 
 
 def folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder, or a local one where none is set."""
+    """The cluster's checkpoint folder; in local mode a temporary one where none is set. A cluster must have one, which all executors share."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='tidewave-')}"
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -24,7 +26,18 @@ def written(df: DataFrame) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts the lineage, survives lost executors, and has known size."""
     path = f"{folder(df.sparkSession)}/tidewave-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table._written_at = path
+    return table
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete written tables that nothing reads any more; other tables, and None, are left alone."""
+    for table in tables:
+        if path := getattr(table, "_written_at", None):
+            session = table.sparkSession
+            where = session._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(session._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def counted(df: DataFrame, where: Column | None = None) -> tuple[DataFrame, int]:
