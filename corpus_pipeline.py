@@ -16,14 +16,15 @@ SHARE = 0.01
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model, learned from the labels of these documents, does not reject."""
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score(docs, model).filter("predicted = 0").select(*docs.columns)
+    return toxicity.score(docs.select("text", F.struct("*").alias("_doc")), model).filter("predicted = 0").select("_doc.*")
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that over SHARE of their source's different texts have. Copies count once, since a later stage keeps one of
     them whole. Documents without any line left keep an empty text."""
-    kept = line_dedup.drop_boilerplate(docs, "source", "text", ratio=SHARE, distinct=True)
-    return kept.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    kept = line_dedup.drop_boilerplate(docs.select("source", "text", F.struct("*").alias("_doc")), "source", "text", ratio=SHARE, distinct=True)
+    new = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    return kept.select(*(new.get(c, F.col(f"_doc.`{c}`")).alias(c) for c in docs.columns))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,12 +33,12 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Rows are told apart by a number of their own, so ids may be null or repeat.
     """
-    rows = written(docs.withColumn("_row", F.monotonically_increasing_id()))  # written, so that the numbers stay
-    groups = written(near_dup.near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text"), words=5, threshold=0.8).select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_group")))
-    first = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64(*docs.columns), "_row").alias("_first")
+    rows = written(docs.select(F.struct("*").alias("_doc"), F.monotonically_increasing_id().alias("_row")))  # written, so that the numbers stay
+    groups = written(near_dup.near_duplicates(rows.select(F.col("_row").alias("doc_id"), "_doc.text"), words=5, threshold=0.8).select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_group")))
+    first = F.struct(F.col("_doc.doc_id").isNull(), F.col("_doc.doc_id"), F.xxhash64("_doc"), "_row").alias("_first")
     kept = groups.join(rows.select("_row", first), "_row").groupBy("_group").agg(F.min("_first").alias("_first")).select("_first._row")
     gone = written(groups.join(kept, "_row", "left_anti").select("_row"))
-    return keyed_join(rows, gone, ["_row"], "left_anti").select(*docs.columns)
+    return keyed_join(rows, gone, ["_row"], "left_anti").select("_doc.*")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
