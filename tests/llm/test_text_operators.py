@@ -177,6 +177,18 @@ def test_near_duplicates_of_long_sets(spark, monkeypatch):
     assert rows == brute_components(range(len(texts)), texts, 4, 80)
 
 
+def test_recall_at_the_threshold():
+    """Pairs of a similarity of exactly 0.8 share a node of some tree, and enough tokens agree, all of 2,000."""
+    random = np.random.default_rng(8)
+    count = near_dup.trees(0.8, 0.9999999)
+    floor = near_dup.COORDINATES * 0.8 - near_dup.DEVIATIONS * (near_dup.COORDINATES * 0.16) ** 0.5
+    for _ in range(2000):
+        x = random.integers(0, 1 << 63, 200, dtype=np.uint64)
+        a, b = near_dup.signature(np.sort(x[:180])), near_dup.signature(np.sort(x[20:]))
+        same = a == b
+        assert same.sum() >= floor and same[: near_dup.LEVELS * count].reshape(count, near_dup.LEVELS).all(axis=1).any()
+
+
 def test_near_duplicates_of_odd_tables(spark):
     assert near_dup.near_duplicates(empty(spark)).count() == 0
     assert [tuple(r) for r in near_dup.near_duplicates(documents(spark, [None, ""])).orderBy("doc_id").collect()] == [(0, 0, 0, True), (1, 0, 1, True)]

@@ -110,3 +110,16 @@ def test_top_k_of_long_codes(spark, monkeypatch):
         d = np.bitwise_count((codes ^ codes[q]).view(np.uint64)).astype(int).sum(axis=1)
         assert got[q] == [(i, d[i]) for i in np.lexsort((np.arange(200), d)) if i != q][:7]
     assert {i for i, _ in got[1000]} == {1001, 1002, 1003, 1004}
+
+
+@pytest.mark.parametrize("dim, tables, blocks", [(16, 8, 3), (64, 8, 3), (384, 8, 3), (768, 8, 3), (64, 4, 2)])
+def test_recall_at_the_threshold(dim, tables, blocks):
+    """Of pairs whose cosine is just 0.98 nearly all share a cell."""
+    random = np.random.default_rng(dim)
+    x, away = random.normal(size=(2, 1500, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    away -= (away * x).sum(axis=1, keepdims=True) * x
+    y = 0.98 * x + np.sqrt(1 - 0.98**2) * away / np.linalg.norm(away, axis=1, keepdims=True)
+    salt = np.zeros(len(x), np.uint64)
+    a, b = (embed_dup.cell_codes(z, salt, tables, blocks) for z in (x, y))
+    assert np.mean([len(np.intersect1d(p, q)) > 0 for p, q in zip(a, b)]) >= 0.99

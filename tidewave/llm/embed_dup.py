@@ -20,7 +20,7 @@ from tidewave.llm.store import written
 from tidewave.llm.words import mix, randoms
 
 #: Tables, lattice blocks of eight projections in each, neighbouring cells that are probed in each, and lattice steps in a unit of length.
-TABLES, BLOCKS, PROBES, SCALE = 4, 2, 4, 4.5
+TABLES, BLOCKS, PROBES, SCALE = 8, 3, 4, 4.5
 #: Vectors that are compared with as many others at once.
 BLOCK = 400
 
@@ -31,22 +31,22 @@ def _plane(dim: int, table: int, blocks: int) -> np.ndarray:
     return np.linalg.qr(gauss)[0] if dim >= 8 * blocks else gauss / np.sqrt(dim)
 
 
-def cell_codes(unit: np.ndarray, salt: np.ndarray) -> np.ndarray:
-    """(rows, TABLES * (1 + PROBES)) uint64: the cells of unit vectors of one length, apart for each salt."""
+def cell_codes(unit: np.ndarray, salt: np.ndarray, tables: int = TABLES, blocks: int = BLOCKS) -> np.ndarray:
+    """(rows, tables * (1 + PROBES)) uint64: the cells of unit vectors of one length, apart for each salt."""
     out = []
-    for table in range(TABLES):
-        x = unit @ (_plane(unit.shape[1], table, BLOCKS) * SCALE * np.sqrt(unit.shape[1] / 64))
-        home = np.concatenate([nearest(x[:, 8 * b : 8 * b + 8]) for b in range(BLOCKS)], axis=1)
+    for table in range(tables):
+        x = unit @ (_plane(unit.shape[1], table, blocks) * SCALE * np.sqrt(unit.shape[1] / 64))
+        home = np.concatenate([nearest(x[:, 8 * b : 8 * b + 8]) for b in range(blocks)], axis=1)
         off = x - home
-        reach = np.concatenate([off[:, 8 * b : 8 * b + 8] @ NEIGHBOURS.T for b in range(BLOCKS)], axis=1)
+        reach = np.concatenate([off[:, 8 * b : 8 * b + 8] @ NEIGHBOURS.T for b in range(blocks)], axis=1)
         best = np.argpartition(-reach, PROBES - 1, axis=1)[:, :PROBES]
         points = np.repeat(home[:, None], 1 + PROBES, axis=1)
         for p in range(PROBES):
             block, step = best[:, p] // len(NEIGHBOURS), NEIGHBOURS[best[:, p] % len(NEIGHBOURS)]
-            for b in range(BLOCKS):
+            for b in range(blocks):
                 points[block == b, 1 + p, 8 * b : 8 * b + 8] += step[block == b]
         whole = np.rint(points * 2).astype(np.int64).view(np.uint64)
-        out.append(mix((whole * (randoms(8 * BLOCKS, 31) | np.uint64(1))).sum(axis=2) + mix(salt + np.uint64(table))[:, None]))
+        out.append(mix((whole * (randoms(8 * blocks, 31) | np.uint64(1))).sum(axis=2) + mix(salt + np.uint64(table))[:, None]))
     return np.concatenate(out, axis=1)
 
 
@@ -62,7 +62,7 @@ def _rows(column: pa.Array) -> tuple[np.ndarray, np.ndarray, dict[int, np.ndarra
     return good, size, {d: values[offsets[:-1][good & (size == d)][:, None] + np.arange(d)] for d in np.unique(size[good])}
 
 
-def vectors(rows: DataFrame) -> DataFrame:
+def vectors(rows: DataFrame, tables: int = TABLES, blocks: int = BLOCKS) -> DataFrame:
     """(vec_id, k1, k2, unit, cells) of the rows that can link: k1 and k2 are a digest of label and vector; unit and cells hold doubles and
     64-bit codes in bytes."""
 
@@ -78,7 +78,7 @@ def vectors(rows: DataFrame) -> DataFrame:
                 bits = mix(x.view(np.uint64))
                 k = [mix((bits * (randoms(dim, s) | np.uint64(1))).sum(axis=1) ^ salt).view(np.int64) for s in (41, 42)]
                 unit = x / np.linalg.norm(x, axis=1, keepdims=True)
-                codes = cell_codes(unit, salt)
+                codes = cell_codes(unit, salt, tables, blocks)
                 yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(k[0]), pa.array(k[1]), pa.array([v.tobytes() for v in unit], pa.binary()), pa.array([c.tobytes() for c in codes], pa.binary())], ["vec_id", "k1", "k2", "unit", "cells"])
 
     usable = rows.filter("vec_id is not null and label is not null and embedding is not null").select(F.col("vec_id").cast("long").alias("vec_id"), F.xxhash64("label").alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))
@@ -164,16 +164,18 @@ def _and_end(batches: Iterator) -> Iterator:
     yield None
 
 
-def embedding_duplicates(rows: DataFrame, threshold: float = 0.98) -> DataFrame:
+def embedding_duplicates(rows: DataFrame, threshold: float = 0.98, tables: int = TABLES, blocks: int = BLOCKS) -> DataFrame:
     """One row per row of rows (vec_id, embedding, label): vec_id, n_links (other vectors linked directly), component_id (the smallest
     vec_id that links lead to, itself included), kept (vec_id = component_id).
 
-    Only equal labels link, by a cosine of threshold or more. Null labels, and vectors that are null, empty, zero or hold null
+    Two vectors that have nothing in common share a cell with a probability that falls by a few hundred with each block of eight projections, and pairs
+    to compare grow with that share (1e-6 for three blocks) of the square of the rows: give more blocks, and tables to make up for them, to many billions. Only
+    equal labels link, by a cosine of threshold or more. Null labels, and vectors that are null, empty, zero or hold null
     or non-finite components link with nothing; vectors of different lengths do not link. Positive multiples of one vector are
     one class, each copy counts as a vector. Rows with a null vec_id link with nothing and are not kept; rows that repeat a vec_id are vectors of
     their own, and each gets the most links and the least component of them. Other columns are ignored; no rows give none.
     """
-    found = written(vectors(rows))
+    found = written(vectors(rows, tables, blocks))
     classes = written(found.groupBy("k1", "k2").agg(F.min("vec_id").alias("vec_id"), F.count(F.lit(1)).alias("weight"), F.first("unit").alias("unit"), F.first("cells").alias("cells")))
     near = written(links(classes.select("vec_id", "weight", "unit", "cells"), threshold))
     degree = near.groupBy("vec_id").agg(F.sum("degree").alias("degree"))
