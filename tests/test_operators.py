@@ -192,11 +192,11 @@ def test_outlier_fence_is_strict_and_by_kind(spark):
 def test_estimators(spark):
     random = np.random.default_rng(4)
     rows = [(f"S{k % 6}", float(a), float(b), float(2 * a - b), int(a + b > 0), True) for k, (a, b) in enumerate(random.normal(size=(240, 2)))]
-    df = spark.createDataFrame(rows, "s string, a double, b double, y double, c int, is_fixation boolean")
+    df = spark.createDataFrame(rows, "s string, a double, b double, y double, c int, is_fixation boolean").repartition(2).cache()
     f = folds.group_folds(df, ["s"], 2)
     out = models.cross_validated(df, f, ["s"], lambda: models.huber_regressor(["a", "b"], "y"))
     assert out.count() == 240 and out.agg(F.max(F.abs(F.col("yhat") - F.col("y")))).first()[0] < 0.1
-    forest = models.forest_classifier(["a", "b"], "c", trees=10).fit(df).transform(df)
+    forest = models.forest_classifier(["a", "b"], "c", trees=4).fit(df).transform(df)
     assert forest.filter("prediction = c").count() > 220
     assert models.train_rows(df.withColumn("is_fixation", F.col("a") > 0), "weighted").agg(F.min("weight")).first()[0] == 0.2
     assert models.fourier(df, ["a", "b"], 8).columns[-1] == "rff_7"

@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from collections.abc import Callable
 
-from tidewave.functions.columns import by_order
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import StructType
+
+from tidewave.config import Preprocessing
+from tidewave.operators.filters import high_pass
 from tidewave.operators.ordered import block_average, decimate, hold, interpolate, rolling_quantiles
 
 MAD = 1.4826
 #: A clip below this many robust standard deviations is raised to it, so that at least half of the values are kept.
 LEAST_CLIP = 0.68
+#: Blocks of a recording that one task finds the baselines of.
+CHUNK = 4_096
 
 
 def polynomial(df: DataFrame, by: list[str], order: str, x: str, name: str) -> DataFrame:
@@ -26,47 +34,101 @@ def polynomial(df: DataFrame, by: list[str], order: str, x: str, name: str) -> D
     return y.join(fit, by).withColumn(name, F.col(x) - (F.col("_p0") + F.col("_p1") * t + F.col("_p2") * t * t)).drop("_m", "_s", "_t", "_p0", "_p1", "_p2")
 
 
-def moving_median(df: DataFrame, by: list[str], order: str, x: str, name: str, step: int, n: int) -> DataFrame:
-    """df with x less the median of the last n of every step-th sample, held until the next."""
+def moving_median(df: DataFrame, by: list[str], order: str, x: str, name: str, step: int, n: int, centre: bool = False) -> DataFrame:
+    """df with x less the median of the last n of every step-th sample, held until the next; centred: of the n about it (the upper one of an even
+    number, the end ones repeated), with lines between."""
     kept = decimate(df.select(*by, order, x), order, step).withColumn("block", F.floor(F.col(order) / step))
+    if centre:
+        base = windowed(kept, by, x, n // 2, n - n // 2 - 1, lambda v: np.partition(np.lib.stride_tricks.sliding_window_view(v, n), n // 2, axis=1)[:, n // 2], "_median")
+        return interpolate(df, base, by, order, "_median", step, "_base", at=0.0).withColumn(name, F.col(x) - F.col("_base")).drop("_base")
     base = rolling_quantiles(kept, by, "block", x, n, {"_base": 0.5})
     return hold(df, base, by, order, ["_base"], step).withColumn(name, F.col(x) - F.col("_base")).drop("_base")
 
 
-def _robust(values, clip: float):
-    """Mean of the values within clip robust standard deviations of their median."""
-    middle = lambda a: (F.element_at(a, (F.floor((F.size(a) - 1) / 2) + 1).cast("int")) + F.element_at(a, (F.floor(F.size(a) / 2) + 1).cast("int"))) / 2
-    median = middle(F.array_sort(values))
-    spread = MAD * middle(F.array_sort(F.transform(values, lambda v: F.abs(v - median))))
-    return F.filter(values, lambda v: F.abs(v - median) <= F.lit(max(clip, LEAST_CLIP)) * spread)
-
-
-def _mean(values):
-    return F.aggregate(values, F.lit(0.0), lambda s, v: s + v) / F.size(values)
-
-
-def robust_baseline(df: DataFrame, by: list[str], order: str, x: str, step: int, n: int, clip: float = 1.0, centre: bool = False) -> DataFrame:
-    """by, block, base: robust mean of n block means up to each block (the first one repeated before the start), or about it (the end ones repeated)."""
-    blocks = block_average(df, by, order, [x], step)
-    w = by_order(by, "block")
-    frame = w.rowsBetween(-(n // 2), (n - 1) // 2) if centre else w.rowsBetween(-(n - 1), 0)
-    y = blocks.withColumn("_in", F.collect_list(x).over(frame)).withColumn("_first", F.first(x).over(w)).withColumn("_last", F.last(x).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).withColumn("_count", F.count(F.lit(1)).over(Window.partitionBy(*by)))
-    before = F.greatest(F.lit(n // 2 if centre else n - 1) - F.col("block"), F.lit(0)).cast("int")
-    after = F.greatest(F.col("block") + F.lit((n - 1) // 2 if centre else 0) - (F.col("_count") - 1), F.lit(0)).cast("int")
-    full = F.concat(F.array_repeat("_first", before), F.col("_in"), F.array_repeat("_last", after))
-    return y.withColumn("_full", full).select(*by, "block", _mean(_robust(F.col("_full"), clip)).alias("base"))
-
-
-def robust_mean(df: DataFrame, by: list[str], order: str, x: str, name: str, step: int, n: int, clip: float = 1.0, centre: bool = False) -> DataFrame:
+def _baselines(values: np.ndarray, n: int, clip: float, line: bool) -> np.ndarray:
+    """Of each window of n values, the mean of those within clip robust deviations of its median; or the value that the least-squares line through them
+    has one place after the window."""
+    windows = np.lib.stride_tricks.sliding_window_view(values, n)
+    off = windows - np.median(windows, axis=1, keepdims=True)
+    kept = np.abs(off) <= max(clip, LEAST_CLIP) * MAD * np.median(np.abs(off), axis=1, keepdims=True)
+    if not line:
+        return np.where(kept, windows, 0.0).sum(axis=1) / kept.sum(axis=1)
+    ahead = np.arange(-n, 0.0)  # places, seen from the one after the window
+    count, off = kept.sum(axis=1), np.where(kept, off, 0.0)
+    s, ss = kept @ ahead, kept @ (ahead * ahead)
+    y, sy = off.sum(axis=1), off @ ahead
+    spread = count * ss - s * s
+    slope = np.where(spread > 0, (count * sy - s * y) / np.where(spread > 0, spread, 1.0), 0.0)
+    return np.median(windows, axis=1) + (y - slope * s) / count
+
+
+def windowed(blocks: DataFrame, by: list[str], x: str, back: int, ahead: int, kernel: Callable[[np.ndarray], np.ndarray], name: str) -> DataFrame:
+    """by, block, name: the kernel's value of each window from back blocks before to ahead after, of blocks (by, block, x) whose numbers have no gaps; the
+    end ones are repeated beyond the ends. A recording is cut into runs of CHUNK blocks, each with those that its windows reach, so that a
+    long one is many tasks'."""
+    ends = blocks.groupBy(*by).agg(F.min_by(x, "block").alias("_first"), F.max_by(x, "block").alias("_last"), F.max("block").alias("_end"))
+    run = lambda at: F.floor(at / CHUNK)
+    spread = blocks.select(*by, "block", F.col(x).alias("_x")).join(ends, by).withColumn("_run", F.explode(F.sequence(run(F.greatest(F.col("block") - ahead, F.lit(0))), run(F.least(F.col("block") + back, F.col("_end"))))))
+    schema = StructType([f for f in spread.schema if f.name in by]).add("block", "long").add(name, "double")
+
+    def each(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("block")
+        at, values = rows["block"].to_numpy(), rows["_x"].to_numpy(float)
+        own = np.flatnonzero(at // CHUNK == rows["_run"].iloc[0])
+        first, last = int(own[0]), int(own[-1])
+        before, after = max(0, back - first), max(0, ahead - (len(at) - 1 - last))
+        padded = np.concatenate([np.full(before, rows["_first"].iloc[0]), values, np.full(after, rows["_last"].iloc[0])])
+        return rows.iloc[own][[*by, "block"]].assign(**{name: kernel(padded[before + first - back : before + last + ahead + 1])})
+
+    return spread.groupBy(*by, "_run").applyInPandas(each, schema)
+
+
+def robust_baseline(df: DataFrame, by: list[str], order: str, x: str, step: int, n: int, clip: float = 1.0, centre: bool = False, line: bool = False) -> DataFrame:
+    """by, block, base: robust mean of n block means up to each block (the first one repeated before the start), or about it (the end ones repeated);
+    with line, a robust line through those up to each block, at the next block."""
+    if centre and line:
+        raise ValueError("a line is past-only")
+    back, ahead = (n // 2, (n - 1) // 2) if centre else (n - 1, 0)
+    return windowed(block_average(df, by, order, [x], step), by, x, back, ahead, lambda v: _baselines(v, n, clip, line), "base")
+
+
+def robust_mean(df: DataFrame, by: list[str], order: str, x: str, name: str, step: int, n: int, clip: float = 1.0, centre: bool = False, line: bool = False) -> DataFrame:
     """df with x less its robust baseline. Past-only: a block's baseline corrects the next block, and the first block is less its first sample.
     Centred: the line between block centres. Recordings of fewer than two blocks are less their mean."""
-    base = robust_baseline(df, by, order, x, step, n, clip, centre)
-    w = Window.partitionBy(*by)
-    y = df.withColumn("_mean", F.avg(x).over(w)).withColumn("_zero", F.min_by(x, order).over(w))
+    base = robust_baseline(df, by, order, x, step, n, clip, centre, line)
+    counts = df.groupBy(*by).agg((F.floor((F.max(order) + 1) / step)).alias("_blocks"), F.avg(x).alias("_mean"), F.min_by(x, order).alias("_zero"))
+    y = df.join(counts, by)
     if centre:
-        out = interpolate(y, base, by, order, "base", step, "_base").withColumn("_many", F.lit(True))
+        out = interpolate(y, base, by, order, "base", step, "_base")
     else:
         out = hold(y, base, by, order, ["base"], step, delay=1).withColumn("_base", F.when(F.col(order) < step, F.col("_zero")).otherwise(F.col("base"))).drop("base")
-    counts = base.groupBy(*by).agg(F.count(F.lit(1)).alias("_blocks"))
-    out = y.join(counts, by, "left").filter(F.coalesce("_blocks", F.lit(0)) < 2).withColumn("_base", F.col("_mean")).select(*df.columns, "_base").unionByName(out.join(counts, by).filter("_blocks >= 2").select(*df.columns, "_base"))
+    short = y.filter("_blocks < 2").withColumn("_base", F.col("_mean"))
+    out = short.select(*df.columns, "_base").unionByName(out.filter("_blocks >= 2").select(*df.columns, "_base"))
     return out.withColumn(name, F.col(x) - F.col("_base")).drop("_base")
+
+
+def robust_line(df: DataFrame, by: list[str], order: str, x: str, name: str, step: int, n: int, clip: float = 1.0) -> DataFrame:
+    """df with x less the robust line through the n block means before each block, at that block: without the mean's lag of half a window."""
+    return robust_mean(df, by, order, x, name, step, n, clip, line=True)
+
+
+def remove_baseline(df: DataFrame, by: list[str], order: str, x: str, name: str, fs: float, cfg: Preprocessing = Preprocessing(), method: str | None = None, seconds: float | None = None, causal: bool | None = None) -> DataFrame:
+    """df with x less its drift, by the method that cfg or the argument names: highpass, polynomial_detrend (a parabola), moving_median, robust_mean or
+    robust_line (past-only where causal; a line is fitted only then). Windows are in seconds, blocks are of an eighth of a second."""
+    method, step = method or cfg.drift_removal_method, max(1, int(fs // 8))
+    median = method == "moving_median"
+    seconds = seconds if seconds is not None else cfg.median_baseline_sec if median else cfg.baseline_window_sec
+    causal = causal if causal is not None else cfg.median_baseline_causal if median else cfg.baseline_causal
+    n = int(round(seconds * fs / step))
+    if method == "highpass":
+        y = high_pass(df.select(*by, order, F.col(x).alias(name)), by, order, [name], fs, cfg.highpass_cutoff_hz, cfg.filter_order)
+        return df.select(*(c for c in df.columns if c != name)).join(y, [*by, order])
+    if method == "polynomial_detrend":
+        if cfg.polynomial_detrend_order != 2:
+            raise ValueError("the polynomial is a parabola")
+        return polynomial(df, by, order, x, name)
+    if median:
+        return moving_median(df, by, order, x, name, step, max(1, n), centre=not causal)
+    if method in ("robust_mean", "robust_line"):
+        return robust_mean(df, by, order, x, name, step, max(2, n), cfg.baseline_clip_mad, centre=not causal, line=causal and method == "robust_line")
+    raise ValueError(f"unknown method {method}")

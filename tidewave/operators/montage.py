@@ -52,7 +52,7 @@ def pair_correlations(long: DataFrame, target: DataFrame, by: list[str], order:
     """axis, a, b, z, rank: for all pairs of channels (a < b) the mean over recordings of the Fisher transform of the correlation of their difference with each target
     axis, the k greatest in size. long: by, order, channel, value; target: by, order, axis, value.
 
-    The correlations come from each channel's and pair's sums, so no pair of channels is joined sample by sample more than once.
+    Channels are few: a recording's samples are joined once for each pair of them.
     """
     a = long.select(*by, order, F.col("channel").alias("a"), F.col("value").alias("xa"))
     b = long.select(*by, order, F.col("channel").alias("b"), F.col("value").alias("xb"))

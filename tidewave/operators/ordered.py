@@ -130,14 +130,15 @@ def hold(df: DataFrame, blocks: DataFrame, by: list[str], order: str, columns: l
     return x.join(blocks.select(*by, "block", *columns), [*by, "block"], "left").drop("block", "_last", "_first")
 
 
-def interpolate(df: DataFrame, blocks: DataFrame, by: list[str], order: str, x: str, step: int, name: str) -> DataFrame:
-    """df with x of the blocks, interpolated in a line between the blocks' centres and constant beyond the outer ones."""
+def interpolate(df: DataFrame, blocks: DataFrame, by: list[str], order: str, x: str, step: int, name: str, at: float | None = None) -> DataFrame:
+    """df with x of the blocks, interpolated in a line between the blocks' centres (or their places `at`, counted from their starts) and constant beyond the
+    outer ones."""
     last = blocks.groupBy(*by).agg(F.max("block").alias("_last"))
-    place = (F.col(order) - (step - 1) / 2.0) / step
+    place = (F.col(order) - ((step - 1) / 2.0 if at is None else at)) / step
     y = df.join(last, by).withColumn("_p", F.least(F.greatest(place, F.lit(0.0)), F.col("_last").cast("double")))
     y = y.withColumn("_a", F.least(F.floor("_p"), F.col("_last"))).withColumn("_b", F.least(F.col("_a") + 1, F.col("_last")))
-    at = lambda end, value: blocks.select(*by, F.col("block").alias(end), F.col(x).alias(value))
-    y = y.join(at("_a", "_xa"), [*by, "_a"], "left").join(at("_b", "_xb"), [*by, "_b"], "left")
+    of = lambda end, value: blocks.select(*by, F.col("block").alias(end), F.col(x).alias(value))
+    y = y.join(of("_a", "_xa"), [*by, "_a"], "left").join(of("_b", "_xb"), [*by, "_b"], "left")
     return y.withColumn(name, F.col("_xa") + (F.col("_xb") - F.col("_xa")) * (F.col("_p") - F.col("_a"))).drop("_p", "_a", "_b", "_xa", "_xb", "_last")
 
 

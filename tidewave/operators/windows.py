@@ -36,11 +36,11 @@ def window_rows(df: DataFrame, by: list[str], order: str, win: int, stride: int)
 
 
 def window_arrays(df: DataFrame, by: list[str], order: str, columns: list[str], win: int, stride: int) -> DataFrame:
-    """by, window_start and an array of each column, in order."""
-    w = by_order(by, order).rowsBetween(0, win - 1)
-    x = df.filter(F.col(order) >= 0).withColumns({f"_{c}": F.collect_list(F.coalesce(F.col(c), F.lit(float("nan")))).over(w) for c in columns})
-    x = x.filter((F.col(order) % stride == 0) & (F.size(f"_{columns[0]}") == win))
-    return x.select(*by, F.col(order).alias("window_start"), *(F.col(f"_{c}").alias(c) for c in columns))
+    """by, window_start and an array of each column, in order. A row goes to the windows that it lies in, and each window is gathered once."""
+    values = [F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))).alias(c) for c in columns]
+    rows = window_rows(df.filter(F.col(order) >= 0).select(*by, order, *values), by, order, win, stride)
+    x = rows.groupBy(*by, "window_start").agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("_o"), *columns))).alias("_rows"))
+    return x.filter(F.size("_rows") == win).select(*by, F.col("window_start").cast("long").alias("window_start"), *(F.col(f"_rows.{c}").alias(c) for c in columns))
 
 
 def classification_windows(df: DataFrame, by: list[str], order: str, label: Column, win: int, stride: int, share: float = 0.5, classes: int = 4) -> DataFrame:

@@ -9,9 +9,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from tidewave.config import KnownStart
+from tidewave.config import Config, KnownStart, Preprocessing
 from tidewave.functions.columns import by_order, difference, gradient
-from tidewave.operators import augment, drift, features, filters, folds, known_start, metrics, models, montage, normalise, ordered, statistics, windows
+from tidewave.functions.tables import settled
+from tidewave.operators import augment, blinks, drift, features, filters, folds, known_start, metrics, models, montage, normalise, ordered, statistics, windows
+from tidewave.plans import known_start as known_start_plan, regression
 from tidewave.sources.recordings import event_samples, line_samples
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -310,13 +312,47 @@ def robust_baseline(spark, d):
     return rounded(drift.robust_baseline(samples(spark, d).select("subject", "idx", "h"), BY, "idx", "h", 4, 6, 1.0))
 
 
-@query()
+#: Windows of six block means, with the middle and the robust deviation of each: past ones, and those about a block.
+_BLOCKS = "b AS (SELECT subject, idx // 4 AS block, avg(h) AS m FROM samples GROUP BY ALL HAVING count(*) = 4), e AS (SELECT subject, arg_min(m, block) AS m0, arg_max(m, block) AS mz, max(block) AS z FROM b GROUP BY subject)"
+
+
+def _robust(name: str, back: int, ahead: int) -> str:
+    return f"""{name}w AS (SELECT b.subject, b.block, u, coalesce(o.m, CASE WHEN b.block + u < 0 THEN m0 ELSE mz END) AS q FROM b JOIN e ON e.subject = b.subject CROSS JOIN range({-back}, {ahead + 1}) r(u) LEFT JOIN b o ON o.subject = b.subject AND o.block = b.block + u),
+  {name}m AS (SELECT subject, block, median(q) AS med FROM {name}w GROUP BY ALL), {name}s AS (SELECT w.subject, w.block, any_value(med) AS med, 1.4826 * median(abs(q - med)) AS sd FROM {name}w w JOIN {name}m m ON m.subject = w.subject AND m.block = w.block GROUP BY ALL),
+  {name} AS (SELECT w.subject, w.block, avg(q) AS base, coalesce(regr_intercept(q, u - 1), avg(q)) AS ahead FROM {name}w w JOIN {name}s s ON s.subject = w.subject AND s.block = w.block WHERE abs(q - med) <= sd GROUP BY ALL)"""
+
+
+_FIRST = "s.idx < 4 THEN first_value(s.h) OVER (PARTITION BY s.subject ORDER BY s.idx)"
+_SHORT = "e.z < 1 OR e.z IS NULL THEN avg(s.h) OVER (PARTITION BY s.subject)"
+
+
+@query(f"""WITH {SAMPLES}, {_BLOCKS}, {_robust('p', 5, 0)}, {_robust('c', 3, 2)},
+  x AS (SELECT s.subject, s.idx, s.h, CASE WHEN {_SHORT} WHEN {_FIRST} ELSE p.base END AS past, CASE WHEN {_SHORT} ELSE a.base + (n.base - a.base) * (at - floor(at)) END AS centre
+    FROM (SELECT *, (idx - 1.5) / 4 AS at FROM samples) s LEFT JOIN e ON e.subject = s.subject LEFT JOIN p ON p.subject = s.subject AND p.block = least(greatest(s.idx // 4 - 1, 0), e.z)
+    LEFT JOIN c a ON a.subject = s.subject AND a.block = least(greatest(CAST(floor(at) AS BIGINT), 0), e.z) LEFT JOIN c n ON n.subject = s.subject AND n.block = least(greatest(CAST(floor(at) AS BIGINT) + 1, 0), e.z))
+  SELECT subject, idx, {r('h - past', 'past')}, {r('h - centre', 'centred')} FROM x""")
 def robust_detrend(spark, d):
     s = samples(spark, d).select("subject", "idx", "h")
     past = drift.robust_mean(s, BY, "idx", "h", "past", 4, 6).drop("h")
     return rounded(past.join(drift.robust_mean(s, BY, "idx", "h", "centred", 4, 6, centre=True).drop("h"), ["subject", "idx"]))
 
 
+@query(f"""WITH {SAMPLES}, {_BLOCKS}, {_robust('p', 5, 0)}, x AS (SELECT s.subject, s.idx, s.h, CASE WHEN {_SHORT} WHEN {_FIRST} ELSE p.ahead END AS base
+    FROM samples s LEFT JOIN e ON e.subject = s.subject LEFT JOIN p ON p.subject = s.subject AND p.block = least(greatest(s.idx // 4 - 1, 0), e.z)) SELECT subject, idx, {r('h - base', 'flat')} FROM x""")
+def robust_line_detrend(spark, d):
+    return rounded(drift.robust_line(samples(spark, d).select("subject", "idx", "h"), BY, "idx", "h", "flat", 4, 6).drop("h"))
+
+
+@query()
+def baseline_methods(spark, d):
+    """Each method of remove_baseline, over long recordings: windows of 30 s at 256 Hz, 240 blocks."""
+    s = line_samples(table(spark, d, "lineitem"), FS).select("subject", "idx", "v")
+    cfg, out = Preprocessing(), s.select("subject", "idx")
+    for name, method, causal in (("highpass", "highpass", None), ("polynomial", "polynomial_detrend", None), ("median", "moving_median", False), ("median_past", "moving_median", True), ("mean", "robust_mean", False), ("line_past", "robust_line", True)):
+        out = out.join(drift.remove_baseline(s, BY, "idx", "v", name, FS, cfg, method, causal=causal).select("subject", "idx", name), ["subject", "idx"])
+    return rounded(out, 3)
+
+
 @query(f"""WITH {SAMPLES}, n AS (SELECT subject, max(idx) + 1 AS n FROM samples GROUP BY subject), q AS (SELECT s.subject, avg(h) AS m, stddev_pop(h) AS sd FROM samples s JOIN n ON n.subject = s.subject
   WHERE CASE WHEN s.subject % 2 = 0 THEN idx >= 2 AND idx < 7 ELSE idx < greatest(1, n // 10) END GROUP BY s.subject) SELECT s.subject, s.idx, {r('CASE WHEN sd = 0 THEN 0 ELSE (h - m) / sd END', 'h')} FROM samples s JOIN q ON q.subject = s.subject""")
 def zscore_rest(spark, d):
@@ -342,7 +378,7 @@ def channel_pairs(spark, d):
     return rounded(montage.pair_correlations(long, target, ["rec"], "vec_id")).withColumn("rank", F.col("rank").cast("long"))
 
 
-@query("""SELECT vec_id, round(CAST(embedding[1] AS DOUBLE) - CAST(embedding[2] AS DOUBLE), 6) + 0.0 AS "H", round(CAST(embedding[4] AS DOUBLE) - CAST(embedding[3] AS DOUBLE), 6) + 0.0 AS "V" FROM embeddings""")
+@query("""SELECT vec_id, round(CAST(embedding[1] AS DOUBLE) - CAST(embedding[2] AS DOUBLE) + CAST(1.3e-7 AS DOUBLE), 6) + 0.0 AS "H", round(CAST(embedding[4] AS DOUBLE) - CAST(embedding[3] AS DOUBLE) + CAST(1.3e-7 AS DOUBLE), 6) + 0.0 AS "V" FROM embeddings""")
 def bipolar_montage(spark, d):
     e = table(spark, d, "embeddings").select("vec_id", *(F.col("embedding")[k].cast("double").alias(c) for k, c in enumerate(("REOG", "LEOG", "UEOG", "DEOG"))))
     return rounded(montage.bipolar(e, flip_v=True).select("vec_id", "H", "V"), 6)
@@ -408,7 +444,7 @@ def direction_metrics(spark, d):
 
 
 @query("""WITH c AS (SELECT quality AS y, CASE WHEN doc_id % 7 < 5 THEN 1 ELSE 0 END AS p FROM labels), t AS (SELECT k AS y, count(*) FILTER (y = k AND p = k) AS hit, count(*) FILTER (p = k) AS guessed, count(*) FILTER (y = k) AS support FROM c, (VALUES (0), (1)) v(k) GROUP BY k)
-  SELECT y, round(CASE WHEN guessed > 0 THEN hit / guessed ELSE 0 END, 6) + 0.0 AS precision, round(CASE WHEN support > 0 THEN hit / support ELSE 0 END, 6) + 0.0 AS recall, round(2 * hit / (guessed + support), 6) + 0.0 AS f1, support FROM t""")
+  SELECT y, round(CASE WHEN guessed > 0 THEN hit / guessed ELSE 0 END + CAST(1.3e-7 AS DOUBLE), 6) + 0.0 AS precision, round(CASE WHEN support > 0 THEN hit / support ELSE 0 END + CAST(1.3e-7 AS DOUBLE), 6) + 0.0 AS recall, round(2 * hit / (guessed + support) + CAST(1.3e-7 AS DOUBLE), 6) + 0.0 AS f1, support FROM t""")
 def f1_scores(spark, d):
     x = table(spark, d, "labels").select(F.col("quality").alias("y"), F.when(F.col("doc_id") % 7 < 5, 1).otherwise(0).alias("p"))
     return rounded(metrics.f1_scores(x, "y", "p"), 6)
@@ -420,7 +456,7 @@ def confusion_matrix(spark, d):
     return metrics.confusion(x, "y", "p")
 
 
-@query("""WITH c AS (SELECT label, count(*) AS n FROM embeddings WHERE label < 6 GROUP BY label) SELECT CAST(k AS INTEGER) AS label, round(coalesce((SELECT sum(n) FROM c) / ((SELECT count(*) FROM c) * n), 0), 6) + 0.0 AS weight FROM range(8) g(k) LEFT JOIN c ON c.label = k""")
+@query("""WITH c AS (SELECT label, count(*) AS n FROM embeddings WHERE label < 6 GROUP BY label) SELECT CAST(k AS INTEGER) AS label, round(coalesce((SELECT sum(n) FROM c) / ((SELECT count(*) FROM c) * n), 0) + CAST(1.3e-7 AS DOUBLE), 6) + 0.0 AS weight FROM range(8) g(k) LEFT JOIN c ON c.label = k""")
 def class_weights(spark, d):
     return rounded(metrics.class_weights(table(spark, d, "embeddings").filter("label < 6"), "label", 8), 6)
 
@@ -519,10 +555,30 @@ def part_orders(spark, d):
     return known_start.part_orders(x, BY, "part").select("subject", F.col("fit").cast("long").alias("fit"), F.col("test").cast("long").alias("test"))
 
 
-@query()
+_MOVES = f"""WITH samples AS (SELECT l_suppkey AS subject, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber) - 1 AS idx, CAST(l_quantity AS DOUBLE) AS h, CAST(l_extendedprice AS DOUBLE) AS v FROM lineitem),
+  n AS (SELECT *, lag(h) OVER w AS hp, lead(h) OVER w AS hn, lag(v) OVER w AS vp, lead(v) OVER w AS vn FROM samples WINDOW w AS (PARTITION BY subject ORDER BY idx)),
+  g AS (SELECT subject, idx, coalesce((hn - hp) / 2, hn - h, h - hp, 0) AS gh, coalesce((vn - vp) / 2, vn - v, v - vp, 0) AS gv FROM n), m AS (SELECT subject, median(gh) AS mh, median(gv) AS mv FROM g GROUP BY subject),
+  s AS (SELECT g.subject, 1.4826 * median(abs(gh - mh)) + 1e-12 AS sh, 1.4826 * median(abs(gv - mv)) + 1e-12 AS sv FROM g JOIN m ON m.subject = g.subject GROUP BY g.subject),
+  a AS (SELECT g.subject, g.idx, sqrt(pow(gh / sh, 2) + pow(gv / sv, 2)) AS speed FROM g JOIN s ON s.subject = g.subject), o AS (SELECT *, speed > 1 AS fast, lag(speed > 1) OVER (PARTITION BY subject ORDER BY idx) AS was FROM a),
+  b AS (SELECT *, sum(CASE WHEN fast = was THEN 0 ELSE 1 END) OVER (PARTITION BY subject ORDER BY idx) AS run FROM o), r AS (SELECT subject, min(idx) AS s, max(idx) + 1 AS e FROM b WHERE fast GROUP BY subject, run HAVING max(speed) > 2),
+  c AS (SELECT *, CASE WHEN s - lag(e) OVER (PARTITION BY subject ORDER BY s) < 2 THEN 0 ELSE 1 END AS new FROM r), d AS (SELECT *, sum(new) OVER (PARTITION BY subject ORDER BY s) AS run FROM c),
+  f AS (SELECT subject, min(s) AS s, max(e) AS e FROM d GROUP BY subject, run HAVING max(e) - min(s) >= 2), z AS (SELECT subject, max(idx) + 1 AS n FROM samples GROUP BY subject),
+  i AS (SELECT f.*, n, coalesce(lag(e) OVER w, 0) AS pe, coalesce(lead(s) OVER w, n) AS ns FROM f JOIN z ON z.subject = f.subject WINDOW w AS (PARTITION BY f.subject ORDER BY s)),
+  j AS (SELECT *, greatest(s - 26, pe, 0) AS lo, least(e + 39, ns, n) AS hi FROM i), k AS (SELECT *, least(e + 13, hi - 1) AS a0, CASE WHEN s <= lo THEN greatest(s - 1, 0) ELSE lo END AS b0, CASE WHEN s <= lo THEN s + 1 ELSE s END AS b1 FROM j),
+  l AS (SELECT k.subject, k.s, median(x.h) AS bh, median(x.v) AS bv FROM k JOIN samples x ON x.subject = k.subject AND x.idx >= b0 AND x.idx < b1 GROUP BY ALL), q AS (SELECT k.subject, k.s, median(x.h) AS ah, median(x.v) AS av FROM k JOIN samples x ON x.subject = k.subject AND x.idx >= a0 AND x.idx < hi GROUP BY ALL),
+  t AS (SELECT k.subject, k.s, max(abs(x.v - bv)) AS exc FROM k JOIN l ON l.subject = k.subject AND l.s = k.s JOIN samples x ON x.subject = k.subject AND x.idx >= k.s AND x.idx <= a0 GROUP BY ALL),
+  u AS (SELECT k.subject, k.s, k.e, bh, bv, ah - bh AS dh, av - bv AS dv, exc FROM k JOIN l ON l.subject = k.subject AND l.s = k.s JOIN q ON q.subject = k.subject AND q.s = k.s JOIN t ON t.subject = k.subject AND t.s = k.s),
+  y AS (SELECT subject, coalesce(median(abs(dv)) FILTER (e - s < 38), median(abs(dv))) AS sc FROM u GROUP BY subject),
+  p AS (SELECT u.*, sc, lead(dv) OVER w AS dn, lead(s) OVER w AS sn FROM u JOIN y ON y.subject = u.subject WINDOW w AS (PARTITION BY u.subject ORDER BY s)),
+  pairs AS (SELECT *, coalesce(sn - e < 128 AND dv * dn < 0 AND abs(dv + dn) < 0.3 * greatest(abs(dv), abs(dn)), false) AS undone FROM p),
+  blinks AS (SELECT *, (exc - abs(dv) > 1.5 * sc AND exc > 3.0 * abs(dv)) OR undone OR coalesce(lag(undone) OVER (PARTITION BY subject ORDER BY s), false) AS is_blink FROM pairs)
+  SELECT subject, s AS onset, e AS "offset", {r('bh', 'before_h', 3)}, {r('bv', 'before_v', 3)}, {r('dh', 'delta_h', 3)}, {r('dv', 'delta_v', 3)}, {r('exc', 'excursion_v', 3)}, is_blink FROM blinks"""
+
+
+@query(_MOVES)
 def eye_movements(spark, d):
     low = KnownStart(speed_onset_sd=2.0, speed_offset_sd=1.0, merge_ms=8.0)  # the tables hold noise, which has no movements of eyes
-    return rounded(known_start.movements(line_samples(table(spark, d, "lineitem"), FS), BY, "idx", FS, low))
+    return rounded(known_start.movements(line_samples(table(spark, d, "lineitem"), FS), BY, "idx", FS, low), 3)
 
 
 @query()
@@ -561,3 +617,48 @@ def boosted_regression(spark, d):
     data = x.join(y, ["subject", "window_start"]).withColumn("fold", F.col("subject") % 2)
     model = models.boosted_regressor(columns, "y", rounds=5).fit(data.filter("fold = 0"))
     return rounded(model.transform(data.filter("fold = 1")).select("subject", "window_start", "y", F.col("prediction").alias("yhat")), 3)
+
+
+@query()
+def boosted_regression_folds(spark, d):
+    """Every window predicted by a model of the other folds: all subjects, all features of both channels. Twenty rounds, as a fit of the tables' noise gains
+    nothing by more; boosted_regression is one fit of half the subjects."""
+    w = windows.window_arrays(samples(spark, d), BY, "idx", ["h", "v"], WIN, STRIDE)
+    x = features.window_features(w, ["h", "v"], FS, spectral=False)
+    y = windows.regression_windows(samples(spark, d), BY, "idx", {"y": "target_h"}, WIN, STRIDE)
+    columns = [c for c in x.columns if c not in ("subject", "window_start")]
+    data = x.join(y, ["subject", "window_start"])
+    found = models.cross_validated(data, folds.group_folds(data, BY, 3), BY, lambda: models.boosted_regressor(columns, "y", rounds=20), keep=["subject", "window_start", "y"])
+    return rounded(found, 3)
+
+
+@query()
+def known_start_protocol(spark, d):
+    """The error table of the protocol on recordings of noise: thresholds low enough that it has movements, and short parts."""
+    cfg = KnownStart(speed_onset_sd=2.0, speed_offset_sd=1.0, merge_ms=8.0, n_subsets=2, long_trials=2, long_segments=2, response_min_ms=4.0, premature_ms=4.0, min_scored_ms=4.0, blink_margin_ms=8.0)
+    s = samples(spark, d)
+    x = settled(s.join(known_start.ground_truth(s, BY, "idx", FS, cfg), ["subject", "idx"]))
+    events, w = known_start.movements(s, BY, "idx", FS, cfg), settled(known_start.protocol(x, BY, "idx", FS, cfg))
+    return rounded(known_start_plan.protocol_table(known_start_plan.protocol_errors(x, events, w, "subject", BY, "idx", FS, cfg), cfg), 3)
+
+
+@query(f"""WITH {SAMPLES}, q AS (SELECT subject, stddev_pop(v) AS sd FROM samples GROUP BY subject), m AS (SELECT s.subject, s.idx, abs(v) > 2.0 * sd AS high FROM samples s JOIN q ON q.subject = s.subject WHERE sd > 0),
+  g AS (SELECT *, idx - row_number() OVER (PARTITION BY subject ORDER BY idx) AS run FROM m WHERE high), f AS (SELECT subject, min(idx) AS "start", max(idx) + 1 AS "end" FROM g GROUP BY subject, run HAVING count(*) >= 2)
+  SELECT subject, "start", "end" FROM f""")
+def detected_blinks(spark, d):
+    return blinks.detected_blinks(samples(spark, d), BY, "idx", "v", FS, Preprocessing(blink_threshold_std=2.0, blink_min_duration_ms=8.0))
+
+
+@query(f"""WITH {SAMPLES}, m AS (SELECT *, sum(CASE WHEN control = 1 AND coalesce(pc, -1) <> 1 THEN 1 ELSE 0 END) OVER (PARTITION BY subject ORDER BY idx) AS trial FROM (SELECT *, lag(control) OVER (PARTITION BY subject ORDER BY idx) AS pc FROM samples)),
+  c AS (SELECT subject, trial, arg_min(target_h, idx) AS p1, coalesce(arg_min(target_h, idx) FILTER (control = 2), arg_min(target_h, idx)) AS p2 FROM m WHERE trial > 0 GROUP BY ALL) SELECT subject, trial FROM c WHERE p1 > 0 AND p2 > 0""")
+def kept_trials(spark, d):
+    return regression.kept_trials(regression.trial_cues(samples(spark, d), BY, "idx"), BY, "right")
+
+
+@query()
+def feature_matrix(spark, d):
+    """The table that a regression is fitted to, with every block of context: other baselines, earlier levels, rolling ranges."""
+    s = line_samples(table(spark, d, "lineitem"), FS).withColumns({"control": (F.col("idx") / 256).cast("int") % 3 + 1, "target_h": F.col("h") - 25, "target_v": F.col("v") / 1000})
+    pp = Preprocessing(drift_removal_method="robust_line", baseline_causal=True, context_baselines=(("robust_mean", 5.0),), context_lags_sec=(0.5,), context_range_windows_sec=(20.0,), context_range_quantiles=((0.1, 0.9),))
+    events = s.select("subject").distinct().withColumn("s1_on", F.lit(None).cast("long"))
+    return rounded(regression.feature_matrix(s, events, BY, BY, "idx", ["h", "v"], FS, Config(preprocessing=pp), engineered=False), 3)

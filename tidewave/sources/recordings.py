@@ -34,11 +34,25 @@ def sampling_rate(description: str, fallback: float = 256.0) -> float:
 
 
 def read_csv(spark: SparkSession, path: str, schema: str, **options: str) -> DataFrame:
-    """Samples of CSV files under path with their subject from the folder or file name; files that can't be read are passed over."""
-    x = spark.read.schema(schema).options(header=True, recursiveFileLookup=True, ignoreCorruptFiles=True, **options).csv(path)
+    """Samples of CSV files under path with their subject from the folder or file name. A file that can't be read raises; a line that does not fit the schema
+    has nulls, and stands in _corrupt_record where the schema has that column (see unreadable)."""
+    x = spark.read.schema(schema).options(header=True, recursiveFileLookup=True, **options).csv(path)
     return with_subject(x)
 
 
+def unreadable(df: DataFrame, by: list[str]) -> DataFrame:
+    """by, reason, n: how many lines of each recording of read_csv (with _corrupt_record in its schema) did not fit."""
+    return df.filter("_corrupt_record is not null").groupBy(*by).agg(F.lit("lines not readable").alias("reason"), F.count(F.lit(1)).alias("n"))
+
+
+def with_rates(df: DataFrame, rates: dict[str, float], fallback: float, dataset: str = "dataset_source") -> DataFrame:
+    """df with fs: its own where it is positive, else its data set's by name, else the fallback."""
+    table = F.create_map(*(F.lit(x) for pair in rates.items() for x in pair)) if rates else None
+    own = F.when(F.col("fs") > 0, F.col("fs").cast("double")) if "fs" in df.columns else F.lit(None).cast("double")
+    named = table[F.col(dataset)] if rates else F.lit(None).cast("double")
+    return df.withColumn("fs", F.coalesce(own, named, F.lit(float(fallback))))
+
+
 def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return with_subject(spark.read.schema(schema).option("recursiveFileLookup", True).json(path))
 

@@ -45,7 +45,7 @@ def low_pass(stream: DataFrame, key: str, order: str, x: str, alpha: float) -> D
             y += alpha * (v - y)
             out.append(y)
         if len(rows):
-            state.update((int(rows[order].iloc[-1]), y))
+            state.update((int(rows[order].iloc[-1]), float(y)))
         yield pd.DataFrame({key: [k[0]] * len(rows), order: rows[order].to_numpy(), "y": out})
 
     kind = dict(stream.dtypes)
@@ -67,12 +67,12 @@ def robust_baseline(stream: DataFrame, key: str, order: str, x: str, size: int,
         seen, total, count, ring = state.get if state.exists else (-1, 0.0, 0, [])
         rows, ring, out = _fresh(frames, order, seen), list(ring), []
         for at, v in zip(rows[order], rows[x].to_numpy(float)):
-            total, count, seen = total + v, count + 1, int(at)
-            if (at + 1) % size == 0:
+            total, count, seen = total + float(v), count + 1, int(at)
+            if (seen + 1) % size == 0:
                 if count == size:
                     mean = total / size
                     ring = (ring or [mean] * n)[1 - n :] + [mean] if n > 1 else [mean]
-                    out.append((k[0], at // size, base(np.array(ring))))
+                    out.append((k[0], seen // size, base(np.array(ring))))
                 total, count = 0.0, 0
         state.update((seen, total, count, ring))
         yield pd.DataFrame(out, columns=[key, "block", "base"])
