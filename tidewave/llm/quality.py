@@ -175,11 +175,10 @@ def quality(docs: DataFrame, labels: DataFrame, label: str = "quality", threshol
 
     def pool(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array([x.tobytes() for x in pooled(batch.column("text"), sent.value)], pa.binary())], ["doc_id", "label", "x"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "order", "label")), pa.array([x.tobytes() for x in pooled(batch.column("text"), sent.value)], pa.binary())], ["doc_id", "order", "label", "x"])
 
-    rows = keyed_join(docs.filter(F.col("text").isNotNull()).select("doc_id", "text"), chosen, ["doc_id"], "inner")
-    rows = rows.groupBy("doc_id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text")).withColumn("doc_id", F.col("doc_id").cast("string"))
-    rows = rows.mapInArrow(pool, "doc_id string, label int, x binary").toPandas().sort_values("doc_id")
+    rows = keyed_join(docs.filter(F.col("text").isNotNull()).select("doc_id", "text"), chosen, ["doc_id"], "inner").select(F.col("doc_id").cast("string").alias("doc_id"), F.xxhash64("text").alias("order"), "label", "text")
+    rows = rows.mapInArrow(pool, "doc_id string, order long, label int, x binary").toPandas().sort_values(["doc_id", "order"]).drop_duplicates("doc_id")
     x = np.array([np.frombuffer(b) for b in rows["x"]]).reshape(-1, INPUTS)
     network = Network(x, rows["label"].to_numpy(float))
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 
 from tidewave.llm.words import _SPACE, mix, randoms, spans
 
-SLOTS, POOL, CHUNK = 1 << 21, 1 << 23, 1 << 18
+SLOTS, POOL, CHUNK = 1 << 20, 1 << 22, 1 << 18
 _AT = randoms(64 * 256, 2)
 _ODD = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]|<[|]")
 _HINT = np.zeros(256, bool)

@@ -54,18 +54,19 @@ def _weights(z: np.ndarray, n: np.ndarray, l1: float) -> np.ndarray:
 
 def _shard(rows: pd.DataFrame, only: np.ndarray | None, l1: float) -> pd.DataFrame:
     """FTRL's state (z, n) after PASSES over a shard, where its weight isn't zero. The last coordinate is the bias."""
-    rows = rows.sort_values("doc_id")
+    rows = rows.sort_values(["doc_id", "order"]).drop_duplicates("doc_id")  # of an id's several texts one
     docs = [np.frombuffer(x, np.int32) for x in rows["codes"]]
     if only is None:
-        count = np.zeros(1 << BITS, np.int32)
+        count = np.zeros(1 << BITS, np.uint16)
         for x in docs:
-            count[x] += 1
-        included = count >= INCLUDED
+            count[x] += count[x] < INCLUDED
+        included = np.flatnonzero(count >= INCLUDED)
+        del count
     else:
-        included = np.zeros(1 << BITS, bool)
-        included[only[only < 1 << BITS]] = True
-    docs = [np.append(x[included[x]], 1 << BITS) for x in docs]
-    z, n = np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1)
+        included = np.sort(only[only < 1 << BITS])
+    # coordinates that are learned from, numbered; the last one is the bias
+    docs = [np.append(_places(included, x), len(included)) for x in docs]
+    z, n = np.zeros(len(included) + 1), np.zeros(len(included) + 1)
     labels = rows["label"].to_numpy(float)
     for k in range(PASSES):
         for d in np.random.default_rng(k).permutation(len(docs)):
@@ -76,7 +77,16 @@ def _shard(rows: pd.DataFrame, only: np.ndarray | None, l1: float) -> pd.DataFra
             z[at] += g - (np.sqrt(n[at] + g * g) - np.sqrt(n[at])) / ALPHA * w
             n[at] += g * g
     at = np.flatnonzero(np.abs(z) > l1)
-    return pd.DataFrame({"at": at, "z": z[at], "n": n[at]})
+    return pd.DataFrame({"at": np.append(included, 1 << BITS)[at], "z": z[at], "n": n[at]})
+
+
+def _places(among: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Places in a sorted array of those of x that it holds."""
+    if not len(among):
+        return np.empty(0, np.int64)
+    at = np.searchsorted(among, x)
+    at[at == len(among)] = 0
+    return at[among[at] == x]
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray]:
@@ -93,8 +103,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int =
     chosen = written(known.filter(F.pmod(F.xxhash64("doc_id", F.lit(label)), F.lit(1 << 30)) < int(part * (1 << 30))))
     shards = max(1, -(-min(total, sample) // SHARD))
 
-    rows = keyed_join(docs.filter(F.col("text").isNotNull()).select("doc_id", "text"), chosen, ["doc_id"], "inner")
-    rows = rows.groupBy("doc_id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text")).withColumn("doc_id", F.col("doc_id").cast("string"))
+    rows = keyed_join(docs.filter(F.col("text").isNotNull()).select("doc_id", "text"), chosen, ["doc_id"], "inner").select(F.col("doc_id").cast("string").alias("doc_id"), F.xxhash64("text").alias("order"), "label", "text")
 
     def trained(only: np.ndarray | None, l1: float) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,9 +111,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int =
                 codes = by_text(batch.column("text"))
                 codes = codes if only is None else (x[np.isin(x, only)] for x in codes)
                 codes = pa.array([x.astype(np.int32).tobytes() for x in codes], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), codes], ["doc_id", "label", "codes"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "order", "label")), codes], ["doc_id", "order", "label", "codes"])
 
-        sharded = rows.mapInArrow(run, "doc_id string, label int, codes binary").withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)))
+        sharded = rows.mapInArrow(run, "doc_id string, order long, label int, codes binary").withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)))
         return sharded.groupBy("shard").applyInPandas(lambda x: _shard(x, only, l1), "at long, z double, n double")
 
     selected = trained(None, L1).select("at").distinct().toPandas()["at"].to_numpy(np.int64)
