@@ -13,7 +13,7 @@ from tests.llm.test_text_operators import DOCS, documents
 from tidewave.llm import language, quality, toxicity
 from tidewave.llm.words import hashed, mix
 
-TEXTS = ["a b c a d", "", None, "b a", "x", "c c c c a b d e f g", "A  B\tc"]
+TEXTS = ["a b c a d", "", None, "b a", "x", "c c c c a b d e f g", "A  B\tc", "y z " * 200]
 
 
 def words(text):

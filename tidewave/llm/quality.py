@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from tidewave.llm.store import held_out, keyed_join, small_batches, written
@@ -64,17 +65,24 @@ def word_sums(docs: DataFrame) -> np.ndarray:
                 used, sums = _neighbour_sums(_buckets(words), np.repeat(np.arange(len(ends) - 1), np.diff(ends)), place, sign)
                 total[used] += sums
         seen = np.flatnonzero(total[:, DIM])
-        for at in np.array_split(seen, len(seen) // 8192 + 1):
-            if len(at):
-                yield pa.RecordBatch.from_arrays([pa.array((at // ROWS).astype(np.int32)), pa.array((at % ROWS).astype(np.int32)), pa.array([x.tobytes() for x in total[at]], pa.binary())], ["part", "row", "sums"])
+        small = (np.abs(total[seen]) < 128).all(axis=1)  # nearly all: a byte each
+        for rows, kind in ((seen[small], np.int8), (seen[~small], np.int32)):
+            for at in np.array_split(rows, len(rows) // 8192 + 1):
+                if len(at):
+                    yield pa.RecordBatch.from_arrays([pa.array((at // ROWS).astype(np.int32)), pa.array((at % ROWS).astype(np.int32)), pa.array([x.tobytes() for x in total[at].astype(kind)], pa.binary())], ["part", "row", "sums"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             part, row = np.asarray(batch.column("part")), np.asarray(batch.column("row"))
-            x = np.frombuffer(b"".join(v.as_buffer() for v in batch.column("sums")), np.int32).reshape(-1, DIM + 1)
-            for p in np.unique(part):
-                np.add.at(sums.setdefault(int(p), np.zeros((ROWS, DIM + 1), np.int64)), row[part == p], x[part == p])
+            size = np.asarray(pc.binary_length(batch.column("sums")))
+            for kind in (np.int8, np.int32):
+                at = np.flatnonzero(size == (DIM + 1) * np.dtype(kind).itemsize)
+                if len(at):
+                    x = np.frombuffer(b"".join(batch.column("sums")[int(i)].as_buffer() for i in at), kind).reshape(-1, DIM + 1)
+                    for p in np.unique(part[at]):
+                        mine = part[at] == p
+                        np.add.at(sums.setdefault(int(p), np.zeros((ROWS, DIM + 1), np.int64)), row[at][mine], x[mine])
         if sums:
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.astype(np.float32).tobytes() for x in sums.values()], pa.binary())], ["part", "sums"])
 
