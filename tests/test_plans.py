@@ -108,12 +108,12 @@ def test_fusion_is_a_leaky_pull(spark):
 def test_feature_matrix_and_nested_selection(spark, recordings):
     cfg = Config(preprocessing=Preprocessing(drift_removal_method="robust_mean", baseline_window_sec=5.0, context_baselines=(("robust_line", 5.0),), context_lags_sec=(0.5,), context_range_windows_sec=(15.0,), context_head_pose=False))
     events = recordings.select("subject").distinct().withColumn("s1_on", F.lit(None).cast("long"))
-    m = regression.feature_matrix(recordings, events, ["subject"], ["subject"], "i", ["h", "v"], 256.0, cfg, engineered=False).cache()
+    m = settled(regression.feature_matrix(recordings, events, ["subject"], ["subject"], "i", ["h", "v"], 256.0, cfg, engineered=False))
     names = regression.context_names(["h", "v"], cfg.preprocessing)
     assert m.columns == ["subject", "window_start", "y_h", "y_v", "is_fixation", *names] and len(names) == 2 + 2 + 2 * 2 * 3
     assert m.count() == recordings.select("subject").distinct().count() * len(range(0, recordings.filter("subject = 0").count() - 77 + 1, 38))
     constant = lambda c: lambda train, rows: rows.withColumns({"yhat_h": F.lit(c), "yhat_v": F.lit(c)})
-    out, chosen = regression.nested(m.select("subject", "y_h", "y_v", "is_fixation"), ["subject"], {"far": constant(90.0), "near": constant(0.0)}, 3, 2)
+    out, chosen = regression.nested(m.select("subject", "y_h", "y_v", "is_fixation"), ["subject"], {"far": constant(90.0), "near": constant(0.0)}, 2, 2)
     assert {r.candidate for r in chosen.collect()} == {"near"} and out.count() == m.count() and out.filter("yhat_h <> 0").count() == 0
     scores = regression.anchored_scores(m.select("subject", "window_start", "y_h", "y_v", "is_fixation").withColumns({"yhat_h": F.col("y_h") + 5, "yhat_v": F.col("y_v")}), ["subject"], ["subject"], 256.0, (10.0,)).collect()
     assert {(r.estimate, round(r.score_fixation, 6)) for r in scores} == {("anchored", 0.0), ("plain", 2.5)}

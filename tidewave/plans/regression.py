@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tidewave.config import Config, Preprocessing
 from tidewave.functions.columns import stride_samples, window_samples
+from tidewave.functions.tables import settled
 from tidewave.operators import drift, features, filters, folds, metrics, normalise, windows
 
 HEAD = ("yaw", "pitch", "roll")
@@ -72,11 +73,13 @@ def feature_matrix(df: DataFrame, events: DataFrame, by: list[str], subject: lis
     the channels, target_h, target_v and control, and yaw, pitch, roll where the configuration asks for head pose."""
     win, stride = window_samples(fs), stride_samples(fs)
     clean, stats = preprocessed(df, events, by, subject, order, channels, fs, cfg)
+    clean, stats = settled(clean), settled(stats)
     y = windows.regression_windows(df, by, order, {"y_h": "target_h", "y_v": "target_v"}, win, stride)
     settle = max(1, int(round(cfg.segmentation.fixation_settle_ms * fs / 1000.0)))
     y = y.join(windows.fixation_flags(df, by, order, "control", win, stride, settle), [*by, "window_start"], "left")
     if engineered:
         y = y.join(features.window_features(windows.window_arrays(clean, by, order, channels, win, stride), channels, fs), [*by, "window_start"])
+    y = settled(y)
     starts = y.select(*by, "window_start")
     if names := context_names(channels, cfg.preprocessing):
         y = y.join(context(df, clean, stats, starts, by, subject, order, channels, fs, cfg.preprocessing).select(*by, "window_start", *names), [*by, "window_start"])
@@ -99,7 +102,8 @@ def nested(matrix: DataFrame, subject: list[str], candidates: dict[str, Callable
 
     A candidate maps (training rows, rows) to rows with yhat_h and yhat_v. The loops are over folds and candidates only; what they fit and predict is distributed.
     """
-    deal = lambda x, k: folds.group_folds(x, subject, k)
+    deal = lambda x, k: settled(folds.group_folds(x, subject, k))
+    matrix = settled(matrix)
     outside = deal(matrix, outer).withColumnRenamed("fold", "outer")
     x = matrix.join(F.broadcast(outside), subject) if _few(outside) else matrix.join(outside, subject)
     scores, numbers = [], [r[0] for r in outside.select("outer").distinct().orderBy("outer").collect()]

@@ -327,9 +327,9 @@ _SHORT = "e.z < 1 OR e.z IS NULL THEN avg(s.h) OVER (PARTITION BY s.subject)"
 
 
 @query(f"""WITH {SAMPLES}, {_BLOCKS}, {_robust('p', 5, 0)}, {_robust('c', 3, 2)},
-  x AS (SELECT s.subject, s.idx, s.h, CASE WHEN {_SHORT} WHEN {_FIRST} ELSE p.base END AS past, CASE WHEN {_SHORT} ELSE a.base + (n.base - a.base) * (at - floor(at)) END AS centre
-    FROM (SELECT *, (idx - 1.5) / 4 AS at FROM samples) s LEFT JOIN e ON e.subject = s.subject LEFT JOIN p ON p.subject = s.subject AND p.block = least(greatest(s.idx // 4 - 1, 0), e.z)
-    LEFT JOIN c a ON a.subject = s.subject AND a.block = least(greatest(CAST(floor(at) AS BIGINT), 0), e.z) LEFT JOIN c n ON n.subject = s.subject AND n.block = least(greatest(CAST(floor(at) AS BIGINT) + 1, 0), e.z))
+  x AS (SELECT s.subject, s.idx, s.h, CASE WHEN {_SHORT} WHEN {_FIRST} ELSE p.base END AS past, CASE WHEN {_SHORT} ELSE a.base + (n.base - a.base) * (place - floor(place)) END AS centre
+    FROM (SELECT *, (idx - 1.5) / 4 AS place FROM samples) s LEFT JOIN e ON e.subject = s.subject LEFT JOIN p ON p.subject = s.subject AND p.block = least(greatest(s.idx // 4 - 1, 0), e.z)
+    LEFT JOIN c a ON a.subject = s.subject AND a.block = least(greatest(CAST(floor(place) AS BIGINT), 0), e.z) LEFT JOIN c n ON n.subject = s.subject AND n.block = least(greatest(CAST(floor(place) AS BIGINT) + 1, 0), e.z))
   SELECT subject, idx, {r('h - past', 'past')}, {r('h - centre', 'centred')} FROM x""")
 def robust_detrend(spark, d):
     s = samples(spark, d).select("subject", "idx", "h")
