@@ -76,3 +76,38 @@ OP10 = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x > 0) A
   p AS (SELECT q.vec_id AS query_id, v.vec_id, CAST(list_sum(list_transform(range(1, greatest(len(q.b), len(v.b)) + 1), lambda i: CAST(coalesce(q.b[i], false) <> coalesce(v.b[i], false) AS INTEGER))) AS INTEGER) AS distance
     FROM v q JOIN v ON q.vec_id <> v.vec_id AND (len(q.b) - 1) // 64 = (len(v.b) - 1) // 64 WHERE q.vec_id % 20 = 0),
   k AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS INTEGER) AS rank FROM p) SELECT query_id, rank, vec_id, distance FROM k WHERE rank <= 10"""
+
+_COLUMNS = ("CAST(doc_id AS VARCHAR)", "source", "lang", "CAST(n_chars AS VARCHAR)")
+_LEAF = lambda text: "sha256(concat(" + ", ".join(f"coalesce(strlen({c}) || ':' || {c}, '-')" for c in (*_COLUMNS, text)) + "))"
+#: CRC-32 bit by bit: a byte is taken in, then shifted out in eight steps.
+_CRC32 = "xor(4294967295::BIGINT, list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(range(1, length(id) + 1), lambda i: [ascii(id[i])::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))), lambda c, b: CASE WHEN b >= 0 THEN xor(c, b) WHEN c % 2 = 1 THEN xor(c // 2, 3988292384::BIGINT) ELSE c // 2 END))"
+OP11 = f"""WITH RECURSIVE d AS (SELECT *, CAST(doc_id AS VARCHAR) AS id, row_number() OVER () AS rid, {_LEAF("text")} AS leaf, {_LEAF("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS lower FROM documents),
+  x AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf, rid) - 1 AS pos, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree FROM d),
+  t AS (SELECT tree, 0 AS level, pos, leaf AS node FROM x UNION ALL SELECT tree, level + 1, pos // 16, sha256(string_agg(node, '' ORDER BY pos)) FROM (SELECT *, count(*) OVER (PARTITION BY tree, level) AS n FROM t) WHERE n > 1 GROUP BY tree, level, pos // 16),
+  s AS (SELECT tree, max(level) AS height, arg_max(node, level) AS subroot FROM t GROUP BY tree),
+  u AS (SELECT 0 AS level, tree AS pos, subroot AS node FROM s UNION ALL SELECT level + 1, pos // 16, sha256(string_agg(node, '' ORDER BY pos)) FROM (SELECT *, count(*) OVER (PARTITION BY level) AS n FROM u) WHERE n > 1 GROUP BY level, pos // 16),
+  e AS (SELECT tree, level, pos, node FROM t UNION ALL SELECT -1, level, pos, node FROM u),
+  g AS (SELECT a.tree, a.level, a.pos, coalesce(string_agg(b.node, '' ORDER BY b.pos) FILTER (b.pos < a.pos), '') AS l, coalesce(string_agg(b.node, '' ORDER BY b.pos) FILTER (b.pos > a.pos), '') AS r FROM e a JOIN e b ON b.tree = a.tree AND b.level = a.level AND b.pos // 16 = a.pos // 16 GROUP BY ALL),
+  w AS (SELECT rid, tree, 0 AS step, CASE WHEN {_CRC32} % 5 = 0 THEN lower ELSE leaf END AS node, '' AS proof, x.pos, height, (SELECT max(level) FROM u) AS top, tree AS own FROM x JOIN s USING (tree)
+    UNION ALL SELECT rid, w.tree, step + 1, sha256(l || w.node || r), proof || l || r, CASE WHEN step + 1 = height THEN own ELSE w.pos // 16 END, height, top, own FROM (SELECT *, CASE WHEN step = 0 AND height = 0 THEN own ELSE pos END AS here FROM w) w
+      JOIN g ON g.tree = CASE WHEN step < height THEN w.tree ELSE -1 END AND g.level = CASE WHEN step < height THEN step ELSE step - height END AND g.pos = here WHERE step < height + top)
+  SELECT doc_id, leaf, subroot, (SELECT arg_max(node, level) FROM u) AS root, sha256(proof) AS proof_sha256, w.node AS folded_root, w.node = (SELECT arg_max(node, level) FROM u) AS verified
+    FROM w JOIN x ON x.rid = w.rid JOIN s ON s.tree = w.tree WHERE step = w.height + top"""
+
+
+def _rounds(n: int) -> str:
+    """Centroids c0 .. cn, by round: all vectors against all centroids, and the floors of exact means."""
+    steps = []
+    for r in range(n + 1):
+        steps.append(f"d{r} AS (SELECT i, x, c, list_sum(list_transform(range(1, 65), lambda k: (x[k] - z[k]) * (x[k] - z[k]))) AS distance FROM v, c{r}), a{r} AS (SELECT * FROM d{r} QUALIFY row_number() OVER (PARTITION BY i ORDER BY distance, c) = 1)")
+        if r < n:
+            mean = f"SELECT c, k, CAST(sum(x[k]) AS BIGINT) AS s, count(*) AS m FROM a{r}, range(1, 65) AS q(k) GROUP BY c, k"
+            steps.append(f"m{r} AS (SELECT c, list((s - ((s % m) + m) % m) // m ORDER BY k) AS z FROM ({mean}) GROUP BY c), c{r + 1} AS (SELECT c, coalesce(m{r}.z, c{r}.z) AS z FROM c{r} LEFT JOIN m{r} USING (c))")
+    return ", ".join(steps)
+
+
+OP13 = f"""WITH v AS (SELECT row_number() OVER () AS i, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings WHERE len(embedding) = 64 AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))),
+  c0 AS (SELECT row_number() OVER (ORDER BY h, x) - 1 AS c, x AS z FROM (SELECT sha256('1:' || coalesce(CAST(vec_id AS VARCHAR), '')) AS h, x FROM v ORDER BY h, x LIMIT 16)), {_rounds(3)},
+  n AS (SELECT c, CAST(sum(distance) AS BIGINT) AS cluster_inertia FROM a3 GROUP BY c)
+  SELECT vec_id, CAST(a3.c AS INTEGER) AS cluster, CAST(distance AS BIGINT) AS distance, cluster_inertia, CAST((SELECT sum(cluster_inertia) FROM n) AS BIGINT) AS inertia, sha256(array_to_string(z, ',')) AS centroid_sha256
+    FROM a3 JOIN v ON v.i = a3.i JOIN n ON n.c = a3.c JOIN c3 ON c3.c = a3.c"""

@@ -56,6 +56,14 @@ def small_batches(spark: SparkSession, rows: int = 1_000) -> None:
         spark.conf.set(key, rows)
 
 
+def byte_batches(spark: SparkSession, size: int = 1 << 24) -> None:
+    """Rows of an operator's own tables may be large: no more than about so many bytes go to Python at once, in this session."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key, f"{size + 1}b").rstrip("bB")
+    if not now.isdigit() or int(now) > size:
+        spark.conf.set(key, size)
+
+
 def keyed_join(df: DataFrame, ids: DataFrame, on: list[str], how: str, rows: int | None = None) -> DataFrame:
     """df joined with a written table of ids (of so many rows, where they are known), which is broadcast only if counted to be small."""
     return df.join(F.broadcast(ids) if (ids.count() if rows is None else rows) <= BROADCAST_ROWS else ids, on, how)
