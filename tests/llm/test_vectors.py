@@ -62,13 +62,13 @@ def test_components(spark):
     assert got == {k: 1 for k in (1, 2, 3, 7, 8, 9)} | {20: 20, 21: 20} | {100 + k: 100 for k in range(41)} | {k: 500 for k in range(500, 520)}
 
 
-@pytest.mark.parametrize("bucket, block", [(32, 1 << 13), (0.01, 1 << 13), (0.01, 6)])
-def test_top_k_equals_brute_force(spark, monkeypatch, bucket, block):
-    """All codes at once; by keys of narrow segments; by keys of which some have many codes."""
+@pytest.mark.parametrize("bucket, low, part", [(32, 8, 1 << 13), (0.01, 8, 1 << 13), (0.01, 3, 6)])
+def test_top_k_equals_brute_force(spark, monkeypatch, bucket, low, part):
+    """Narrow segments, as shipped; wide ones; and cells of which some have many codes and queries."""
     monkeypatch.setattr(topk, "BUCKET", bucket)
-    monkeypatch.setattr(topk, "BLOCK", block)
-    monkeypatch.setattr(topk, "FIRST", 64)
-    monkeypatch.setattr(topk, "KEY", 0)
+    monkeypatch.setattr(topk, "LOW", low)
+    monkeypatch.setattr(topk, "PART", part)
+    monkeypatch.setattr(topk, "ASKED", max(2, part // 3))
     random = np.random.default_rng(3)
     codes = random.integers(-(1 << 63), 1 << 63, 400, dtype=np.int64)
     codes[50:80] = codes[40]
@@ -97,7 +97,6 @@ def test_sign_codes(spark):
 def test_top_k_of_long_codes(spark, monkeypatch):
     """Codes of three words, and some of one, which are compared with their like only."""
     monkeypatch.setattr(topk, "BUCKET", 0.05)
-    monkeypatch.setattr(topk, "KEY", 0)
     random = np.random.default_rng(5)
     base = random.integers(-(1 << 63), 1 << 63, (8, 3), dtype=np.int64)
     codes = base[random.integers(0, 8, 200)] ^ (np.int64(1) << random.integers(0, 60, (200, 3)))
@@ -112,6 +111,22 @@ def test_top_k_of_long_codes(spark, monkeypatch):
     assert {i for i, _ in got[1000]} == {1001, 1002, 1003, 1004}
 
 
+def test_all_queries_end_by_the_index(spark):
+    """As shipped, on the given vectors: each round looks into fewer cells than there are codes for each query, and the last one leaves none open."""
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select(F.col("vec_id").alias("id"), topk.sign_codes(F.col("embedding")).alias("code"))
+    trace, queries = [], rows.filter("id % 20 = 0")
+    found = topk.top_k(rows, queries, 10, trace)
+    n, all_ = queries.count(), {r.id: r.code[0] for r in rows.collect()}
+    assert found.count() == 10 * n and [r for r, *_ in trace] == list(range(len(trace))) and 1 <= len(trace) <= 4
+    assert all(left <= n and cells < left * len(all_) / 20 for _, left, cells in trace)
+    codes, ids = np.array(list(all_.values()), np.int64).view(np.uint64), np.array(list(all_))
+    want = {int(q): sorted((int(d), int(i)) for d, i in zip(np.bitwise_count(codes ^ np.uint64(all_[int(q)] % 2**64)), ids) if i != q)[:10] for q in ids if q % 20 == 0}
+    got = {}
+    for r in found.orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.distance, r.id))
+    assert got == want
+
+
 @pytest.mark.parametrize("dim, tables, blocks", [(16, 8, 3), (64, 8, 3), (384, 8, 3), (768, 8, 3), (64, 4, 2)])
 def test_recall_at_the_threshold(dim, tables, blocks):
     """Of pairs whose cosine is just 0.98 nearly all share a cell."""
