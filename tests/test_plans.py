@@ -84,7 +84,7 @@ def test_known_start_protocol(spark, recordings):
     events, windows = settled(known_start.movements(recordings, by, "i", fs)), settled(known_start.protocol(df, by, "i", fs))
     rotation = settled(protocol.head_rotation(recordings, events, by, "i", fs, cfg))
     assert rotation.agg(F.max(F.abs("rot_h"))).first()[0] < 1e-6
-    errors = settled(protocol.protocol_errors(df, events, windows, "subject", by, "i", fs, cfg, rotation))
+    errors = settled(protocol.protocol_errors(df, events, windows, "subject", by, "i", fs, cfg, rotation)[0])
     got = {(r.fit, r.length, r.estimator): r for r in protocol.protocol_table(errors, cfg).collect()}
     assert set(got) == {(f, n, e) for f in ("same_subject", "unseen_subject") for n, e in (("short", "saccades"), ("short", "level"), ("short", "saccades_vor"), ("long", "saccades"), ("long", "saccades_vor"))}
     assert all(got[f, n, "saccades"].excluded_mae_h_deg < (0.6 if n == "short" else 3.0) for f in ("same_subject", "unseen_subject") for n in ("short", "long"))
@@ -95,6 +95,72 @@ def test_known_start_protocol(spark, recordings):
     assert found.count() == windows.count() and found.filter("disagrees").count() < 0.1 * windows.count()
 
 
+def test_fused_segments_equal_plain_loops(spark, recordings):
+    """Planes by lstsq, the leaky pull sample by sample, time constants by trying each: for every fit within and across subjects."""
+    by, fs, taus = ["subject"], 256.0, (0.5, 5.0, float("inf"))
+    cfg = KnownStart(n_subsets=2, long_trials=2, long_segments=2, short_saccade_windows=3, short_blink_windows=1, taus_sec=taus)
+    df = settled(recordings.join(known_start.ground_truth(recordings, by, "i", fs), [*by, "i"]))
+    events, windows = settled(known_start.movements(recordings, by, "i", fs)), settled(known_start.protocol(df, by, "i", fs))
+    absolute = settled(df.select(*by, "i", F.when(F.col("i") % 3000 > 500, F.col("target_h") + F.sin("i") + F.col("subject")).alias("absolute_h"), (F.col("target_v") + 30).alias("absolute_v")))
+    errors, chosen = protocol.protocol_errors(df, events, windows, "subject", by, "i", fs, cfg, absolute=absolute)
+    got = sorted((r.fit, r.length, r.subject, r.kind, r.err_h, r.err_v) for r in errors.filter("estimator = 'fused'").collect())
+
+    dealt = settled(protocol.dealt_windows(windows, by, cfg))
+    scored = settled(protocol.scored_samples(df, dealt, by, "i"))
+    idx, segments = {}, {}
+    for r in scored.collect():
+        idx.setdefault((r.subject, r.window), []).append(r.i)
+    for w in sorted(dealt.collect(), key=lambda w: (w.subject, w.start)):
+        for length, kind, number in ([("short", w.kind, w.start)] if w.short else []) + ([("long", "segment", f"run {w.long}")] if w.long is not None else []):
+            seg = segments.setdefault((w.subject, length, w.part, number), {"kind": kind, "start": w.start, "gaze": np.array([w.gaze_h, w.gaze_v]), "idx": []})
+            seg["idx"] += sorted(idx.get((w.subject, w.start), []))
+    segments = {k: v for k, v in segments.items() if v["idx"]}
+    spans = spark.createDataFrame([(k[0], v["start"], max(v["idx"])) for k, v in segments.items()], "subject int, start long, last long").distinct()
+    moved = {(r.subject, r.start, r.i): np.array([r.disp_h, r.disp_v]) for r in known_start.displacement(df, events, spans.select("subject", "start", F.explode(F.sequence("start", "last")).alias("i")), by, "i", fs, cfg).collect()}
+    aim = {(r.subject, r.i): np.array([np.nan if r.absolute_h is None else r.absolute_h, r.absolute_v]) for r in absolute.collect()}
+    target = {(r.subject, r.i): np.array([r.target_h, r.target_v]) for r in df.select("subject", "i", "target_h", "target_v").collect()}
+    gains = {r.subject: np.array([r.gain_h, r.gain_v]) for r in known_start.label_free_gain(events, by).collect()}
+    pairs = {(r.subject, r.window): (np.array([r.x_h, r.x_v]), np.array([r.shift_h, r.shift_v])) for r in protocol.training_pairs(df, events, dealt, scored, by, "i", fs, cfg).filter("estimator = 'saccades'").collect()}
+    place = {(w.subject, w.start): w for w in dealt.collect()}
+    fit = lambda keys, gain: np.linalg.lstsq(np.array([pairs[k][0] / gain(k) for k in keys]), np.array([pairs[k][1] for k in keys]), rcond=None)[0].T
+
+    def error(key, a, gain):
+        """(time constants, axes) mean errors of a segment."""
+        s, seg = key[0], segments[key]
+        span = range(seg["start"], max(seg["idx"]) + 1)
+        base = np.array([seg["gaze"] + a @ (moved[s, seg["start"], i] / gain) for i in span])
+        off = np.nan_to_num(np.array([aim[s, i] for i in span]) - base)
+        out = []
+        for tau in taus:
+            y, share, drawn = np.zeros(2), 1 - np.exp(-1 / (tau * fs)), []
+            for x in off:
+                y = y + share * (x - y)
+                drawn.append(y)
+            out.append(np.mean([abs(base[i - seg["start"]] + drawn[i - seg["start"]] - target[s, i]) for i in seg["idx"]], axis=0))
+        return np.array(out)
+
+    want, constants = [], []
+    def score(name, length, fitted, tested, a, gain):
+        mean = np.mean([error(k, a, gain(k)) for k in fitted], axis=0) if fitted else None
+        best = mean.argmin(axis=0) if fitted else [len(taus) - 1] * 2
+        constants.extend((name, length, axis, taus[b]) for axis, b in zip("hv", best))
+        for k in tested:
+            e = error(k, a, gain(k))
+            want.append((name, length, k[0], segments[k]["kind"], e[best[0], 0], e[best[1], 1]))
+
+    of = lambda s, length, part: [k for k in segments if (s is None or k[0] == s) and k[1] == length and (part is None or k[2] == part)]
+    for s in range(3):
+        for length in ("short", "long"):
+            for part in range(2):
+                inside = [k for k in pairs if k[0] == s and place[k].part == part and (place[k].short if length == "short" else place[k].long is not None)]
+                score("same_subject", length, of(s, length, part), of(s, length, 1 - part), fit(inside, lambda k: 1.0), lambda k: 1.0)
+            others = [k for k in pairs if k[0] != s and place[k].short]
+            score("unseen_subject", length, [k for k in of(None, length, None) if k[0] != s], of(s, length, None), fit(others, lambda k: gains[k[0]]), lambda k: gains[k[0]])
+    assert len(want) == len(got) > 30 and all(g[:4] == w[:4] and np.allclose(g[4:], w[4:], atol=1e-6) for g, w in zip(got, sorted(want)))
+    assert sorted((r.fit, r.length, r.axis, r.tau) for r in chosen.collect()) == sorted(constants)
+    assert {(r.fit, r.length, r.axis) for r in protocol.tau_counts(chosen).collect()} == {(f, n, a) for f in ("same_subject", "unseen_subject") for n in ("short", "long") for a in "hv"}
+
+
 def test_fusion_is_a_leaky_pull(spark):
     n, fs = 300, 64.0
     rows = [(0, k, 0.0, 0.0, 4.0 if k >= 50 else None, -2.0) for k in range(n)]

@@ -15,6 +15,7 @@ from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import DataFrame, functions as F
 
+from tidewave.functions.tables import settled
 from tidewave.operators.metrics import class_weights
 
 
@@ -67,7 +68,7 @@ def train_rows(df: DataFrame, mode: str = "all", nonfixation: float = 0.2) -> Da
 
 def cross_validated(df: DataFrame, folds: DataFrame, subject: list[str], make: Callable[[], Pipeline], prepare: Callable[[DataFrame], DataFrame] = lambda x: x, keep: list[str] | None = None) -> DataFrame:
     """keep, fold, yhat: each row predicted by a model of the other folds. The loop is over folds only; fits and predictions are distributed."""
-    x = df.join(F.broadcast(folds), subject)  # a row for each subject
+    x = settled(df.join(folds, subject))  # each fit reads it many times
     out = None
     for (fold,) in folds.select("fold").distinct().orderBy("fold").collect():
         model = make().fit(prepare(x.filter(F.col("fold") != fold)))

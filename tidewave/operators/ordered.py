@@ -5,10 +5,15 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tidewave.functions.columns import by_order, centred, past
 
+#: Positions, or rows, of a recording that are numbered or rolled over together.
+CHUNK = 1 << 14
+
 
 def runs(df: DataFrame, by: list[str], order: str, value: Column) -> DataFrame:
     """Gaps and islands: by, run (0, 1, ..), value, start, end (exclusive), n, for each longest stretch of equal values."""
@@ -102,10 +107,40 @@ def count_between(left: DataFrame, right: DataFrame, by: list[str], order: str,
     return x.groupBy(*left.columns).agg((F.max("_n") - F.min("_n")).alias("n"))
 
 
+def placed(df: DataFrame, by: list[str], order: str, *columns: Column) -> DataFrame:
+    """key (the columns of by), at (the position), the columns, place (0, 1, .. by position within the recording) and n (rows of the recording). Rows are counted by chunks of CHUNK
+    positions and numbered within them, so that no window holds a recording."""
+    rows = df.select(F.struct(*by).alias("key"), F.col(order).alias("at"), *columns).withColumn("_chunk", F.floor(F.col("at") / CHUNK))
+    counts = rows.groupBy("key", "_chunk").agg(F.count(F.lit(1)).alias("_n"))
+    along = Window.partitionBy("key").orderBy("_chunk")
+    starts = counts.select("key", "_chunk", (F.sum("_n").over(along) - F.col("_n")).alias("_before"), F.sum("_n").over(Window.partitionBy("key")).alias("n"))
+    own = rows.withColumn("_place", F.row_number().over(Window.partitionBy("key", "_chunk").orderBy("at")) - 1)
+    return own.join(starts, ["key", "_chunk"]).withColumn("place", F.col("_place") + F.col("_before")).drop("_chunk", "_place", "_before")
+
+
 def rolling_quantiles(df: DataFrame, by: list[str], order: str, x: str, n: int, q: dict[str, float], least: int = 1, centre: bool = False) -> DataFrame:
-    """df with exact, linearly interpolated quantiles over n rows (past ones, or about the current one); null with fewer than least values."""
-    w = centred(by, order, n) if centre else past(by, order, n)
-    return df.withColumns({name: F.when(F.count(x).over(w) >= least, F.percentile(x, F.lit(p)).over(w)) for name, p in q.items()})
+    """df with exact, linearly interpolated quantiles over n rows (past ones, or about the current one: an even n has one more before than after); null with fewer than least
+    values. Null and not-a-number values do not count.
+
+    A recording is cut into runs of CHUNK rows, each with those that its windows reach, and along a run a skip list of the window's values gets one value and loses one
+    for each row: a row costs the logarithm of n.
+    """
+    back, ahead = (n // 2, (n - 1) // 2) if centre else (n - 1, 0)
+    run = lambda at: F.floor(at / CHUNK)
+    rows = placed(df, by, order, F.col(x).cast("double").alias("x"))
+    spread = rows.withColumn("run", F.explode(F.sequence(run(F.greatest(F.col("place") - ahead, F.lit(0))), run(F.least(F.col("place") + back, F.col("n") - 1))))).drop("n")
+    names = list(q)
+
+    def each(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("place")
+        window = rows["x"].rolling(n, min_periods=max(1, least), center=centre)
+        own = (rows["place"] // CHUNK == rows["run"]).to_numpy()
+        return pd.DataFrame({"at": rows["at"], "key": rows["key"]} | {f"q{i}": window.quantile(q[name]) for i, name in enumerate(names)})[own]
+
+    schema = StructType([spread.schema["at"], spread.schema["key"], *(StructField(f"q{i}", DoubleType()) for i in range(len(names)))])
+    found = spread.groupBy("key", "run").applyInPandas(each, schema)
+    out = df.withColumns({"_key": F.struct(*by), "_at": F.col(order)}).join(found.withColumnsRenamed({"key": "_key", "at": "_at"}), ["_key", "_at"])
+    return out.select(*(c for c in df.columns if c not in q), *(F.when(~F.isnan(f"q{i}"), F.col(f"q{i}")).alias(name) for i, name in enumerate(names)))
 
 
 def rolling_mean(df: DataFrame, by: list[str], order: str, x: str, n: int, name: str, centre: bool = False) -> DataFrame:

@@ -7,11 +7,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tidewave.config import Config, KnownStart, Preprocessing
 from tidewave.functions.columns import by_order, difference, gradient
 from tidewave.functions.tables import settled
+from tidewave.functions import signal
 from tidewave.operators import augment, blinks, drift, features, filters, folds, known_start, metrics, models, montage, normalise, ordered, statistics, windows
 from tidewave.plans import known_start as known_start_plan, regression
 from tidewave.sources.recordings import event_samples, line_samples
@@ -26,6 +28,7 @@ SAMPLES = """samples AS (SELECT user_id AS subject, row_number() OVER (PARTITION
 WINDOWS = f"""lengths AS (SELECT subject, max(idx) + 1 AS n FROM samples GROUP BY subject),
   starts AS (SELECT subject, unnest(range(0, n - {WIN} + 1, {STRIDE})) AS window_start FROM lengths WHERE n >= {WIN}),
   win AS (SELECT t.subject, t.window_start, s.* EXCLUDE (subject) FROM starts t JOIN samples s ON s.subject = t.subject AND s.idx >= t.window_start AND s.idx < t.window_start + {WIN})"""
+LINES = """samples AS (SELECT l_suppkey AS subject, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber) - 1 AS idx, CAST(l_quantity AS DOUBLE) AS h, CAST(l_extendedprice AS DOUBLE) AS v FROM lineitem)"""
 #: Predictions with an error that is a fixed function of the row.
 PREDICTIONS = f"""{SAMPLES}, {WINDOWS}, means AS (SELECT subject, window_start, avg(target_h) AS y_h, avg(target_v) AS y_v, min(control) IN (1, 2) AND min(control) = max(control) AS is_fixation FROM win GROUP BY ALL),
   preds AS (SELECT *, y_h * 0.9 + (window_start % 7) AS yhat_h, y_v * 0.8 - (window_start % 5) AS yhat_v, subject % 5 AS fold FROM means)"""
@@ -93,18 +96,16 @@ _BINS = range(17)
 _DFT = ", ".join(f"(pow(list_sum(list_transform(range(32), lambda i: z[i+1] * cos(2 * pi() * {k} * i / 32))), 2) + pow(list_sum(list_transform(range(32), lambda i: z[i+1] * sin(2 * pi() * {k} * i / 32))), 2)) * {1 if k in (0, 16) else 2} / (32 * 12.0)" for k in _BINS)
 
 
-@query(f"""WITH x AS (SELECT vec_id, list_transform(embedding[1:32], lambda q: CAST(q AS DOUBLE)) AS e FROM embeddings), c AS (SELECT vec_id, list_transform(range(32), lambda i: (e[i+1] - list_avg(e)) * (0.5 - 0.5 * cos(2 * pi() * i / 32))) AS z FROM x),
-  p AS (SELECT vec_id, [{_DFT}] AS p FROM c) SELECT vec_id, round((p[1] + p[2]) / 2 + (p[2] + p[3]) / 2 + (p[3] + p[4]) / 2 + (p[4] + p[5]) / 2, 6) + 0.0 AS "a_band_0_5Hz", CAST(list_position(p, list_max(p)) - 1 AS DOUBLE) AS a_dominant_freq,
-  round(-list_sum(list_transform(p, lambda q: q / (list_sum(p) + 1e-12) * log2(q / (list_sum(p) + 1e-12) + 1e-12))), 5) + 0.0 AS a_spectral_entropy FROM p""")
-def window_spectra(spark, d):
-    e = table(spark, d, "embeddings").select("vec_id", F.slice("embedding", 1, 32).cast("array<double>").alias("a"))
-    x = features.spectral_features(e, ["a"], 32.0)
-    return x.select("vec_id", (F.round("a_band_0_5Hz", 6) + 0.0).alias("a_band_0_5Hz"), "a_dominant_freq", (F.round("a_spectral_entropy", 5) + 0.0).alias("a_spectral_entropy"))
+_BAND = lambda low, high: " + ".join(f"(p[{k + 1}] + p[{k + 2}]) / 2" for k in range(low, high - 1))
+_OF_CHANNEL = ", ".join(r(f"max({x}) FILTER (channel = '{c}')", f'"{c}_{name}"') for c in "ab" for x, name in (("b0", "band_0_5Hz"), ("b1", "band_5_15Hz"), ("b2", "band_15_30Hz"), ("top", "dominant_freq"), ("entropy", "spectral_entropy")))
 
 
-@query()
+@query(f"""WITH x AS (SELECT vec_id, 'a' AS channel, list_transform(embedding[1:32], lambda q: CAST(q AS DOUBLE)) AS e FROM embeddings UNION ALL SELECT vec_id, 'b', list_transform(embedding[33:64], lambda q: CAST(q AS DOUBLE)) FROM embeddings),
+  c AS (SELECT vec_id, channel, list_transform(range(32), lambda i: (e[i+1] - list_avg(e)) * (0.5 - 0.5 * cos(2 * pi() * i / 32))) AS z FROM x), p AS (SELECT vec_id, channel, [{_DFT}] AS p FROM c),
+  s AS (SELECT vec_id, channel, {_BAND(0, 5)} AS b0, {_BAND(5, 15)} AS b1, {_BAND(15, 17)} AS b2, CAST(list_position(p, list_max(p)) - 1 AS DOUBLE) AS top, -list_sum(list_transform(p, lambda q: q / (list_sum(p) + 1e-12) * log2(q / (list_sum(p) + 1e-12) + 1e-12))) AS entropy FROM p)
+  SELECT vec_id, {_OF_CHANNEL} FROM s GROUP BY vec_id""")
 def window_spectra_channels(spark, d):
-    """All spectral columns of both channels; window_spectra has three columns of the first one, as its SQL says."""
+    """All spectral columns of both channels."""
     half = lambda k, name: F.slice("embedding", k, 32).cast("array<double>").alias(name)
     e = table(spark, d, "embeddings").select("vec_id", half(1, "a"), half(33, "b"))
     return rounded(features.spectral_features(e, ["a", "b"], 32.0).drop("a", "b"))
@@ -456,15 +457,10 @@ def confusion_matrix(spark, d):
     return metrics.confusion(x, "y", "p")
 
 
-@query("""WITH c AS (SELECT label, count(*) AS n FROM embeddings WHERE label < 6 GROUP BY label) SELECT CAST(k AS INTEGER) AS label, round(coalesce((SELECT sum(n) FROM c) / ((SELECT count(*) FROM c) * n), 0) + CAST(1.3e-7 AS DOUBLE), 6) + 0.0 AS weight FROM range(8) g(k) LEFT JOIN c ON c.label = k""")
-def class_weights(spark, d):
-    return rounded(metrics.class_weights(table(spark, d, "embeddings").filter("label < 6"), "label", 8), 6)
-
-
 @query("""WITH c AS (SELECT label, count(*) AS n FROM embeddings GROUP BY label) SELECT CAST(k AS INTEGER) AS label, CASE WHEN (SELECT count(*) FROM c) > 1 THEN round(coalesce((SELECT sum(n) FROM c) / ((SELECT count(*) FROM c) * n), 0) + CAST(1.3e-7 AS DOUBLE), 6) + 0.0 END AS weight
   FROM range((SELECT max(label) FROM embeddings) + 3) g(k) LEFT JOIN c ON c.label = k""")
 def class_weights_all(spark, d):
-    """Weights of all labels of the table, and of the two numbers after them, which are absent; class_weights counts labels below 6, as its SQL says."""
+    """Weights of all labels of the table, and of the two numbers after them, which are absent."""
     e = table(spark, d, "embeddings")
     return rounded(metrics.class_weights(e, "label", int(e.agg(F.max("label")).first()[0]) + 3), 6)
 
@@ -591,16 +587,79 @@ def protocol_windows(spark, d):
 # filters over long recordings, augmentation, models
 
 
-@query()
+def _recursion(b, a, source: str, name: str) -> str:
+    """CTEs of a filter along k of source (subject, channel, k, x), sample by sample in the transposed direct form, from the state that is steady at the first sample."""
+    n, zi = len(b) - 1, signal.steady_state(np.array(b), np.array(a)).tolist()
+    new = [f"{{z{i + 1}}} + {b[i + 1]!r} * x.x - {a[i + 1]!r} * y" if i < n - 1 else f"{b[n]!r} * x.x - {a[n]!r} * y" for i in range(n)]
+    step = lambda old, y: ", ".join(t.format(**{f"z{i}": old(i) for i in range(n)}).replace(" y", f" ({y})") for t in new)
+    first, then = (lambda i: f"{zi[i]!r} * x.x"), (lambda i: f"r.z{i}")
+    y0, y1 = f"{b[0]!r} * x.x + {first(0)}", f"{b[0]!r} * x.x + {then(0)}"
+    state = ", ".join(f"z{i}" for i in range(n))
+    return f"""{name}(subject, channel, k, y, {state}) AS (SELECT subject, channel, k, {y0}, {step(first, y0)} FROM {source} x WHERE k = 0
+    UNION ALL SELECT x.subject, x.channel, x.k, {y1}, {step(then, y1)} FROM {name} r JOIN {source} x ON x.subject = r.subject AND x.channel = r.channel AND x.k = r.k + 1)"""
+
+
+def _zero_phase_sql(b, a) -> str:
+    """Forward, then backward along samples that are extended at both ends; shorter recordings as they are."""
+    b, a = (list(map(float, x)) for x in signal.normal(b, a))
+    pad = 3 * len(a)
+    return f"""WITH RECURSIVE {LINES}, s AS (SELECT subject, 'h' AS channel, idx, h AS x FROM samples UNION ALL SELECT subject, 'v', idx, v FROM samples),
+  n AS (SELECT subject, count(*) AS n FROM samples GROUP BY subject), f AS (SELECT s.subject, channel, arg_min(x, idx) AS first, arg_max(x, idx) AS last, any_value(n) AS n FROM s JOIN n USING (subject) GROUP BY ALL),
+  w AS MATERIALIZED (SELECT subject, channel, idx + {pad} AS k, x FROM s JOIN n USING (subject) WHERE n > {pad} UNION ALL SELECT s.subject, channel, {pad} - idx, 2 * first - x FROM s JOIN f USING (subject, channel) WHERE n > {pad} AND idx BETWEEN 1 AND {pad}
+    UNION ALL SELECT s.subject, channel, {pad} + 2 * (n - 1) - idx, 2 * last - x FROM s JOIN f USING (subject, channel) WHERE n > {pad} AND idx BETWEEN n - 1 - {pad} AND n - 2),
+  {_recursion(b, a, "w", "there")}, e AS (SELECT subject, channel, max(k) AS top FROM w GROUP BY ALL), u AS MATERIALIZED (SELECT subject, channel, top - k AS k, y AS x FROM there JOIN e USING (subject, channel)),
+  {_recursion(b, a, "u", "back")}, o AS (SELECT subject, channel, top - k - {pad} AS idx, y FROM back JOIN e USING (subject, channel) UNION ALL SELECT subject, channel, idx, x FROM s JOIN n USING (subject) WHERE n <= {pad})
+  SELECT s.subject, s.idx, {r("max(y) FILTER (channel = 'h')", 'h', 3)}, {r("max(y) FILTER (channel = 'v')", 'v', 3)} FROM samples s JOIN o ON o.subject = s.subject AND o.idx = s.idx GROUP BY s.subject, s.idx"""
+
+
+@query(_zero_phase_sql(*signal.butterworth(4, 30.0, FS)))
 def zero_phase_low_pass(spark, d):
-    return rounded(filters.low_pass(line_samples(table(spark, d, "lineitem"), FS), BY, "idx", ["h", "v"], FS))
+    return rounded(filters.low_pass(line_samples(table(spark, d, "lineitem"), FS), BY, "idx", ["h", "v"], FS), 3)
 
 
-@query()
+def _welch_sql(size: int, hz: int) -> str:
+    """Densities of the bins about hz by their sums of sines and cosines, of segments that overlap by half; a shorter recording is one segment."""
+    return f"""WITH {LINES}, s AS (SELECT subject, 'h' AS channel, idx, h AS x FROM samples UNION ALL SELECT subject, 'v', idx, v FROM samples), n AS (SELECT subject, count(*) AS n, least(count(*), {size}) AS size FROM samples GROUP BY subject),
+  g AS (SELECT *, unnest(range(0, n - size + 1, {size - size // 2})) AS start FROM n), l AS (SELECT g.subject, channel, start, size, list(x ORDER BY idx) AS x FROM g JOIN s ON s.subject = g.subject AND idx >= start AND idx < start + size GROUP BY ALL),
+  z AS (SELECT * EXCLUDE (x), list_avg(x) AS m, x FROM l), w AS (SELECT * EXCLUDE (x, m), list_transform(range(size), lambda i: (x[i + 1] - m) * (0.5 - 0.5 * cos(2 * pi() * i / size))) AS z, list_sum(list_transform(range(size), lambda i: pow(0.5 - 0.5 * cos(2 * pi() * i / size), 2))) AS power FROM z),
+  q AS (SELECT subject, channel, start, size, z, power, unnest(range(0, size // 2 + 1)) AS k FROM w), p AS (SELECT subject, channel, start, k, abs(CAST(k AS DOUBLE) * CAST({FS} AS DOUBLE) / size - {hz}) AS away, (pow(list_sum(list_transform(range(size), lambda i: z[i + 1] * cos(2 * pi() * ((k * i) % size) / size))), 2) + pow(list_sum(list_transform(range(size), lambda i: z[i + 1] * sin(2 * pi() * ((k * i) % size) / size))), 2)) * CASE WHEN k = 0 OR 2 * k = size THEN 1 ELSE 2 END / (CAST({FS} AS DOUBLE) * power) AS d FROM q WHERE abs(CAST(k AS DOUBLE) * CAST({FS} AS DOUBLE) / size - {hz}) <= 10 + CAST({FS} AS DOUBLE) / size),
+  a AS (SELECT subject, channel, start, arg_min(d, away * 100000 + k) AS hit, avg(d) FILTER (away > 2 AND away <= 10) AS around FROM p GROUP BY ALL), m AS (SELECT subject, channel, avg(hit) AS hit, avg(around) AS around FROM a GROUP BY ALL)
+  SELECT subject, channel, {r('10 * log10(hit / around)', 'db')}, 10 * log10(hit / around) > 10 AS spike FROM m"""
+
+
+@query(_welch_sql(1024, 50))
 def mains_spikes(spark, d):
     return rounded(filters.mains_spike(line_samples(table(spark, d, "lineitem"), FS), BY, "idx", ["h", "v"], FS))
 
 
+@query(f"""WITH {SAMPLES}, {WINDOWS}, w AS (SELECT subject, window_start + {WIN} AS ends, avg(h) AS a_h, avg(v) AS a_v FROM win GROUP BY subject, window_start)
+  SELECT s.subject, s.idx, {r('a_h', 'absolute_h')}, {r('a_v', 'absolute_v')} FROM samples s ASOF LEFT JOIN w ON w.subject = s.subject AND s.idx >= w.ends""")
+def absolute_series(spark, d):
+    """Predictions of windows as a series: each held from the end of its window on."""
+    s, means = _absolute(spark, d)
+    return rounded(known_start_plan.absolute_series(s, means, BY, "idx", WIN))
+
+
+def _absolute(spark, d):
+    s = samples(spark, d)
+    means = ordered.window_means(s, BY, "idx", ["h", "v"], windows.window_starts(s, BY, "idx", WIN, STRIDE), WIN)
+    return s, means.select("subject", "window_start", F.col("h").alias("yhat_h"), F.col("v").alias("yhat_v"))
+
+
+@query(f"""WITH RECURSIVE {SAMPLES}, {WINDOWS}, w AS (SELECT subject, window_start + {WIN} AS ends, avg(h) AS a_h, avg(v) AS a_v FROM win GROUP BY subject, window_start),
+  z AS (SELECT subject, arg_min(h, idx) AS h0, arg_min(v, idx) AS v0 FROM samples GROUP BY subject), b AS (SELECT s.subject, s.idx, h0, v0, coalesce(a_h - h0, 0) AS dh, coalesce(a_v - v0, 0) AS dv FROM samples s JOIN z ON z.subject = s.subject ASOF LEFT JOIN w ON w.subject = s.subject AND s.idx >= w.ends),
+  t AS (SELECT unnest([0.01, 0.05]::DOUBLE[]) AS tau), c AS (SELECT tau, 1 - exp(-1 / (tau * {FS})) AS share FROM t),
+  y AS (SELECT subject, idx, tau, share, share * dh AS yh, share * dv AS yv FROM b, c WHERE idx = 0 UNION ALL SELECT b.subject, b.idx, tau, share, yh + share * (dh - yh), yv + share * (dv - yv) FROM y JOIN b ON b.subject = y.subject AND b.idx = y.idx + 1)
+  SELECT y.subject, y.idx, tau, {r('h0 + yh', 'yhat_h')}, {r('v0 + yv', 'yhat_v')} FROM y JOIN b ON b.subject = y.subject AND b.idx = y.idx
+  UNION ALL SELECT subject, idx, CAST('inf' AS DOUBLE), {r('h0', 'yhat_h')}, {r('v0', 'yhat_v')} FROM b""")
+def fused_estimates(spark, d):
+    """A still estimate from the first sample on, drawn to an absolute one with two time constants and with none."""
+    s, means = _absolute(spark, d)
+    still = s.groupBy("subject").agg(F.min_by("h", "idx").alias("base_h"), F.min_by("v", "idx").alias("base_v"))
+    x = known_start_plan.absolute_series(s, means, BY, "idx", WIN).join(still, "subject")
+    return rounded(known_start_plan.fused(x, BY, "idx", FS, (0.01, 0.05, float("inf"))))
+
+
 @query()
 def augmented_windows(spark, d):
     e = table(spark, d, "embeddings").select("vec_id", F.slice("embedding", 1, 32).cast("array<double>").alias("a"), F.slice("embedding", 33, 32).cast("array<double>").alias("b"))
@@ -608,21 +667,10 @@ def augmented_windows(spark, d):
     return rounded(x.select("vec_id", F.array_max("a").alias("a_max"), F.array_min("b").alias("b_min")))
 
 
-@query()
-def boosted_regression(spark, d):
-    w = windows.window_arrays(samples(spark, d), BY, "idx", ["h", "v"], WIN, STRIDE)
-    columns = ["v_mean", "v_std", "v_slope"]
-    x = features.window_features(w, ["h", "v"], FS, spectral=False).select("subject", "window_start", *columns)
-    y = windows.regression_windows(samples(spark, d), BY, "idx", {"y": "target_h"}, WIN, STRIDE)
-    data = x.join(y, ["subject", "window_start"]).withColumn("fold", F.col("subject") % 2)
-    model = models.boosted_regressor(columns, "y", rounds=5).fit(data.filter("fold = 0"))
-    return rounded(model.transform(data.filter("fold = 1")).select("subject", "window_start", "y", F.col("prediction").alias("yhat")), 3)
-
-
 @query()
 def boosted_regression_folds(spark, d):
     """Every window predicted by a model of the other folds: all subjects, all features of both channels. Twenty rounds, as a fit of the tables' noise gains
-    nothing by more; boosted_regression is one fit of half the subjects."""
+    nothing by more."""
     w = windows.window_arrays(samples(spark, d), BY, "idx", ["h", "v"], WIN, STRIDE)
     x = features.window_features(w, ["h", "v"], FS, spectral=False)
     y = windows.regression_windows(samples(spark, d), BY, "idx", {"y": "target_h"}, WIN, STRIDE)
@@ -632,14 +680,44 @@ def boosted_regression_folds(spark, d):
     return rounded(found, 3)
 
 
+def guided_samples(spark, d, fs: float = 64.0):
+    """subject, idx, control, target_h, target_v, h, v: the protocol as recordings would show it, from order lines. A second of each control in turn; targets are told by the first line of
+    a cue's second, eyes follow 12 samples later by a gain of the supplier's and blink in every third second, and the lines' own values are noise."""
+    s = line_samples(table(spark, d, "lineitem"), fs).withColumn("second", F.floor(F.col("idx") / int(fs)))
+    s = s.withColumns({"control": (F.col("second") % 3 + 1).cast("int"), "cue": F.col("second") - F.when(F.col("second") % 3 == 2, 1).otherwise(0)})
+    w, told = by_order(BY, "idx"), Window.partitionBy("subject", "cue").orderBy("idx")
+    s = s.withColumns({"target_h": F.first("h").over(told) % 7 * 5 - 15, "target_v": F.floor(F.first("v").over(told)) % 5 * 4.0 - 8})
+    gaze = lambda c: F.coalesce(F.lag(c, 12).over(w), F.first(c).over(w))
+    blink = F.when((F.col("control") == 3) & (F.col("idx") % int(fs)).between(20, 27), 60.0).otherwise(0.0)
+    gain = 1 + F.col("subject") % 3 * 0.2
+    return s.select("subject", "idx", "control", "target_h", "target_v", (gain * gaze("target_h") + F.col("h") * 0.004).alias("h"), (gain * gaze("target_v") + F.col("v") % 100 * 0.002 + blink).alias("v"))
+
+
+def _protocol(spark, d, fused: bool):
+    """Errors and time constants of the protocol, in parts of a few trials."""
+    fs, cfg = 64.0, KnownStart(n_subsets=2, long_trials=1, long_segments=2, taus_sec=(0.5, 2.0, 10.0, float("inf")))
+    s = settled(guided_samples(spark, d, fs))
+    x = settled(s.join(known_start.ground_truth(s, BY, "idx", fs, cfg), ["subject", "idx"]))
+    events, w = settled(known_start.movements(s, BY, "idx", fs, cfg)), settled(known_start.protocol(x, BY, "idx", fs, cfg))
+    absolute = None
+    if fused:
+        starts = windows.window_starts(s, BY, "idx", 16, 8)
+        means = ordered.window_means(s, BY, "idx", ["target_h", "target_v"], starts, 16).select("subject", "window_start", (F.col("target_h") + 2).alias("yhat_h"), (F.col("target_v") * 0.8).alias("yhat_v"))
+        absolute = known_start_plan.absolute_series(s, means, BY, "idx", 16)
+    return known_start_plan.protocol_errors(x, events, w, "subject", BY, "idx", fs, cfg, absolute=absolute), cfg
+
+
 @query()
 def known_start_protocol(spark, d):
-    """The error table of the protocol on recordings of noise: thresholds low enough that it has movements, and short parts."""
-    cfg = KnownStart(speed_onset_sd=2.0, speed_offset_sd=1.0, merge_ms=8.0, n_subsets=2, long_trials=2, long_segments=2, response_min_ms=4.0, premature_ms=4.0, min_scored_ms=4.0, blink_margin_ms=8.0)
-    s = samples(spark, d)
-    x = settled(s.join(known_start.ground_truth(s, BY, "idx", FS, cfg), ["subject", "idx"]))
-    events, w = known_start.movements(s, BY, "idx", FS, cfg), settled(known_start.protocol(x, BY, "idx", FS, cfg))
-    return rounded(known_start_plan.protocol_table(known_start_plan.protocol_errors(x, events, w, "subject", BY, "idx", FS, cfg), cfg), 3)
+    (errors, _), cfg = _protocol(spark, d, False)
+    return rounded(known_start_plan.protocol_table(errors, cfg), 3)
+
+
+@query()
+def known_start_fused(spark, d):
+    """The table with the fused estimator, from windows' predictions that are off by a shift and a scale."""
+    (errors, _), cfg = _protocol(spark, d, True)
+    return rounded(known_start_plan.protocol_table(errors, cfg), 3)
 
 
 @query(f"""WITH {SAMPLES}, q AS (SELECT subject, stddev_pop(v) AS sd FROM samples GROUP BY subject), m AS (SELECT s.subject, s.idx, abs(v) > 2.0 * sd AS high FROM samples s JOIN q ON q.subject = s.subject WHERE sd > 0),
