@@ -68,7 +68,7 @@ def test_lines_of_small_hosts_as_in_sql(spark):
     data = DATA.replace("sf0.001", "sf0.01")
     c = duckdb.connect()
     c.execute(f"CREATE VIEW pages AS SELECT * FROM '{data}/pages.parquet'")
-    df = QUERIES["op1_line_dedup_small_hosts"](spark, data)
+    df = QUERIES["op1_line_dedup"](spark, data)
     rows = sorted((tuple(r) for r in df.collect()), key=repr)
-    assert rows == sorted(c.execute(f"SELECT {', '.join(df.columns)} FROM ({SQL['op1_line_dedup_small_hosts']})").fetchall(), key=repr)
+    assert rows == sorted(c.execute(f"SELECT {', '.join(df.columns)} FROM ({SQL['op1_line_dedup']})").fetchall(), key=repr)
     assert sum(r[df.columns.index("n_dropped")] for r in rows) > 0

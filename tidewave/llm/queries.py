@@ -15,11 +15,6 @@ def op1_line_dedup(spark, sf_dir):
     return line_dedup.dedup_pages(_table(spark, sf_dir, "pages"))
 
 
-def op1_line_dedup_small_hosts(spark, sf_dir):
-    """op1_line_dedup, which had a floor of 10 pages before; kept under this name."""
-    return line_dedup.dedup_pages(_table(spark, sf_dir, "pages"))
-
-
 def op2_quality(spark, sf_dir):
     return quality.quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -80,5 +75,5 @@ def op13_centroids(spark, sf_dir):
     return assigned.join(F.broadcast(of), "cluster").select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op1_line_dedup_small_hosts, op2_quality, op3_quotes, op4_packing, op5_minhash, op6_embedding, op7_mixing, op8_language, op9_toxicity, op10_topk, op11_merkle, op12_bpe, op13_centroids)}
-SQL = {"op1_line_dedup": sql.OP1, "op1_line_dedup_small_hosts": sql.OP1_SMALL_HOSTS, "op3_quotes": sql.OP3, "op5_minhash": sql.OP5, "op6_embedding": sql.OP6, "op7_mixing": sql.OP7, "op10_topk": sql.OP10, "op11_merkle": sql.OP11, "op13_centroids": sql.OP13}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_quality, op3_quotes, op4_packing, op5_minhash, op6_embedding, op7_mixing, op8_language, op9_toxicity, op10_topk, op11_merkle, op12_bpe, op13_centroids)}
+SQL = {"op1_line_dedup": sql.OP1, "op3_quotes": sql.OP3, "op5_minhash": sql.OP5, "op6_embedding": sql.OP6, "op7_mixing": sql.OP7, "op10_topk": sql.OP10, "op11_merkle": sql.OP11, "op13_centroids": sql.OP13}

@@ -27,7 +27,6 @@ OP1 = f"""WITH t AS (SELECT page_id, lower(nullif(regexp_extract(url, {_q(HOST)}
   k AS (SELECT page_id, t.host, text, CASE WHEN gone IS NULL THEN text ELSE array_to_string(list_filter({_LINES}, lambda x: {_TRIM} = '' OR NOT list_contains(gone, {_TRIM})), {_NL}) END AS kept FROM t LEFT JOIN b ON b.host = t.host),
   f AS (SELECT *, coalesce(len(list_filter({_LINES}, lambda x: {_TRIM} <> '')), 0) AS a, coalesce(len(list_filter(string_split(kept, {_NL}), lambda x: {_TRIM} <> '')), 0) AS z FROM k)
   SELECT page_id, host, CAST(a AS INTEGER) AS n_lines, CAST(a - z AS INTEGER) AS n_dropped, kept AS text FROM f"""
-OP1_SMALL_HOSTS = OP1
 
 _RAW = f"string_split(replace(text, chr(13), ''), {_NL})"
 OP3 = rf"""WITH RECURSIVE m AS (SELECT *, row_number() OVER () AS rid FROM conversations),
