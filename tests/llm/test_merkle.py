@@ -57,11 +57,10 @@ def plain(rows):
     return out
 
 
-@pytest.mark.parametrize("levels", [3, 1])
-def test_manifest(spark, monkeypatch, levels):
-    """Hot, small, null and odd sources, repeated and null ids, equal rows, clashing names; blocks of three levels, and of one, whose upper levels are tiers of their own."""
-    monkeypatch.setattr(merkle, "LEVELS", levels)
-    rows = [("hot", i, H("hot", str(i))) for i in range(700)] + [(None, i, H("none", str(i))) for i in range(20)] + [("", 1, H("empty")), ("é", 5, H("e")), ("Z", 5, H("z"))]
+@pytest.mark.parametrize("hot", [700, 4400])
+def test_manifest(spark, hot):
+    """Hot, small, null and odd sources, repeated and null ids, equal rows, clashing names; a source of one block, and one of two, which a tier of its own joins."""
+    rows = [("hot", i, H("hot", str(i))) for i in range(hot)] + [(None, i, H("none", str(i))) for i in range(20)] + [("", 1, H("empty")), ("é", 5, H("e")), ("Z", 5, H("z"))]
     rows += [(f"s{k}", k, H("s", str(k))) for k in range(300)] + [("same", 3, H("same"))] * 40 + [("same", None, H("null")), ("same", 3, H("other"))]
     df = spark.createDataFrame(rows, "source string, doc_id long, leaf string").withColumns({"path": F.lit("clash"), "root": F.lit(0), "index": F.lit(7), "n": F.lit(8), "key": F.lit("own")}).repartition(5)
     found = merkle.manifest(df, "leaf", "source", "doc_id").collect()

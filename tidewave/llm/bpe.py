@@ -73,8 +73,11 @@ class Merges:
         self.lengths = [len(x) for x in spelled]
         self.longest = max(self.lengths)
         self.find = ahocorasick.Automaton()
+        comes = [True] * base
+        for a, b in self.parts[base:]:  # a token never comes out of merging if a part doesn't, or if another merge takes from them first
+            comes.append(comes[a] and comes[b] and self._apart(a, b, len(comes)))
         for i, x in enumerate(spelled):
-            if i < base or self._apart(*self.parts[i], i):  # others never come out of merging
+            if comes[i]:
                 self.find.add_word(x, i)
         self.find.make_automaton()
 
