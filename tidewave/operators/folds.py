@@ -4,27 +4,56 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from tidewave.functions.tables import settled
+
+
+def _turns(load: list[int], size: int, count: int) -> tuple[list[tuple[int, list[int]]], list[int]]:
+    """How count subjects of a size are dealt to the lightest folds (ties: the first one): (from, folds) stretches in which they take turns, and the loads after it.
+
+    A fold gets a subject at each level from load // size on, and those of one level come in order of what is left over, so the turns are the same until the next fold is
+    reached."""
+    level, order = [x // size for x in load], sorted(range(len(load)), key=lambda f: (load[f] % size, f))
+    at, turns, load = 0, [], list(load)
+    steps = sorted(set(level))
+    for now, then in zip(steps, [*steps[1:], None]):
+        folds = [f for f in order if level[f] <= now]
+        if at >= count:
+            break
+        turns.append((at, folds))
+        dealt = count - at if then is None else min(count - at, (then - now) * len(folds))
+        for i, f in enumerate(folds):
+            load[f] += size * (dealt // len(folds) + (i < dealt % len(folds)))
+        at += dealt
+    return turns, load
+
 
 def group_folds(df: DataFrame, subject: list[str], k: int = 5, strategy: str = "group") -> DataFrame:
     """subject, fold: each subject is in one fold. Largest first into the lightest fold (ties: by subject, then the first fold); as many folds as
     subjects (leave one out) where there are fewer than k, or if asked for.
 
-    The greedy deal runs on the table of subjects, one row each, in one array fold; rows of df are only counted.
+    The greedy deal runs over the different sizes, subjects of equal size in bulk, so what comes to the driver is no more than the square root of twice the rows. Subjects are
+    numbered within their size by one sort by ranges.
     """
     if strategy not in ("group", "leave_one_out"):
         raise ValueError(f"unknown strategy {strategy}")
     counts = df.groupBy(*subject).agg(F.count(F.lit(1)).alias("n"))
-    ordered = counts.agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("less"), F.struct(*subject).alias("s")))).alias("all"))
-    alone = F.lit(strategy == "leave_one_out") | (F.size("all") < k)
-    start = F.struct(F.array_repeat(F.lit(0).cast("long"), k).alias("load"), F.array().cast("array<int>").alias("fold"))
-
-    def deal(state, x):
-        lightest = (F.array_position(state["load"], F.array_min(state["load"])) - 1).cast("int")
-        load = F.transform(state["load"], lambda v, i: F.when(i == lightest, v - x["less"]).otherwise(v))
-        return F.struct(load.alias("load"), F.concat(state["fold"], F.array(lightest)).alias("fold"))
-
-    dealt = ordered.withColumn("fold", F.when(alone, F.sequence(F.lit(0), F.size("all") - 1)).otherwise(F.aggregate("all", start, deal, lambda s: s["fold"])))
-    return dealt.select(F.explode(F.arrays_zip("all", "fold")).alias("z")).select(*(F.col(f"z.all.s.{c}").alias(c) for c in subject), F.col("z.fold").alias("fold"))
+    order = [F.col("n").desc(), *subject]
+    x = settled(counts.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()).withColumn("_range", F.shiftright("_at", 33)))
+    ranges = x.groupBy("n", "_range").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_k"))
+    along = Window.partitionBy("n").orderBy("_range")
+    ranges = ranges.select("n", "_range", (F.sum("_k").over(along) - F.col("_k") - F.col("_first")).alias("_shift"))
+    before, load, rows, sizes = 0, [0] * k, [], x.groupBy("n").count().orderBy(F.col("n").desc()).collect()
+    alone = strategy == "leave_one_out" or sum(r["count"] for r in sizes) < k
+    for r in sizes:
+        turns, load = ([], load) if alone else _turns(load, r.n, r["count"])
+        rows.append((r.n, before, turns))
+        before += r["count"]
+    dealt = df.sparkSession.createDataFrame(rows, "n long, _before long, _turns array<struct<since:long,folds:array<int>>>")
+    x = x.join(ranges, ["n", "_range"]).join(dealt, "n").withColumn("_place", F.col("_at") + F.col("_shift"))
+    turn = F.element_at(F.filter("_turns", lambda t: t["since"] <= F.col("_place")), -1)
+    x = x.withColumn("_turn", turn) if not alone else x
+    fold = (F.col("_before") + F.col("_place")).cast("int") if alone else F.col("_turn.folds")[((F.col("_place") - F.col("_turn.since")) % F.size("_turn.folds")).cast("int")]
+    return x.select(*subject, fold.alias("fold"))
 
 
 def leakage(df: DataFrame, folds: DataFrame, subject: list[str]) -> DataFrame:
