@@ -1,6 +1,6 @@
 """Estimators over feature tables by MLlib, and cross-validated predictions.
 
-Support vector machines with a radial kernel are approximated by random Fourier features under a linear model; boosted trees are MLlib's.
+Support vector machines with a radial kernel are random Fourier maps under the machines of kernel.py; boosted trees are MLlib's.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import DataFrame, functions as F
 
 from tidewave.functions.tables import settled
+from tidewave.operators.kernel import FourierMap, KernelMachine
 from tidewave.operators.metrics import class_weights
 
 
@@ -38,11 +39,21 @@ def forest_classifier(columns: list[str], label: str, trees: int = 200, seed: in
 
 
 def svm_classifier(columns: list[str], label: str, weight: str | None = None) -> Pipeline:
-    """One linear machine against the rest for each class; give it Fourier features for a radial kernel."""
+    """One linear machine against the rest for each class."""
     more = {"weightCol": weight} if weight else {}
     return Pipeline(stages=[*assembled(columns), OneVsRest(classifier=LinearSVC(maxIter=50), labelCol=label, featuresCol="features", **more)])
 
 
+def kernel_classifier(columns: list[str], label: str, classes: int, c: float = 1.0, n: int = 128, gamma: float = 0.0, seed: int = 42) -> Pipeline:
+    """Support vector classes with a radial kernel on standardised columns, classes weighing the same; the fitted pipeline is saved and loaded whole."""
+    return Pipeline(stages=[*assembled(columns), FourierMap(n=n, gamma=gamma, seed=seed), KernelMachine(labelCol=label, c=c, classes=classes)])
+
+
+def kernel_regressor(columns: list[str], label: str, c: float = 1.0, epsilon: float = 0.1, n: int = 128, gamma: float = 0.0, seed: int = 42) -> Pipeline:
+    """Support vector regression with a radial kernel on standardised columns."""
+    return Pipeline(stages=[*assembled(columns), FourierMap(n=n, gamma=gamma, seed=seed), KernelMachine(labelCol=label, c=c, epsilon=epsilon)])
+
+
 def boosted_regressor(columns: list[str], label: str, rounds: int = 200, seed: int = 42, weight: str | None = None) -> Pipeline:
     more = {"weightCol": weight} if weight else {}
     return Pipeline(stages=[*assembled(columns), GBTRegressor(labelCol=label, featuresCol="features", maxIter=rounds, maxDepth=6, stepSize=0.05, subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=seed, **more)])

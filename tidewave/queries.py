@@ -14,7 +14,7 @@ from tidewave.config import Config, KnownStart, Preprocessing
 from tidewave.functions.columns import by_order, difference, gradient
 from tidewave.functions import signal
 from tidewave.functions.tables import settled
-from tidewave.operators import augment, blinks, drift, features, filters, folds, known_start, metrics, models, montage, normalise, ordered, statistics, windows
+from tidewave.operators import augment, blinks, drift, features, filters, folds, kernel, known_start, metrics, models, montage, normalise, ordered, statistics, windows
 from tidewave.plans import known_start as known_start_plan, regression
 from tidewave.sources.recordings import event_samples, line_samples
 
@@ -680,6 +680,30 @@ def boosted_regression_folds(spark, d):
     return rounded(found, 3)
 
 
+def _window_table(spark, d, targets: DataFrame):
+    """targets (subject, window_start, ..) with the time features of both channels' windows, and the features' names."""
+    x = features.window_features(windows.window_arrays(samples(spark, d), BY, "idx", ["h", "v"], WIN, STRIDE), ["h", "v"], FS, spectral=False)
+    return x.join(targets, ["subject", "window_start"]), [c for c in x.columns if c not in ("subject", "window_start")]
+
+
+@query()
+def kernel_regression_cv(spark, d):
+    """Errors by fold and of all folds of support vector regressions, each fold's machine chosen by inner folds of subjects."""
+    data, columns = _window_table(spark, d, windows.regression_windows(samples(spark, d), BY, "idx", {"y_h": "target_h", "y_v": "target_v"}, WIN, STRIDE))
+    grid = [(c, e) for c in (0.1, 1.0, 10.0) for e in (0.01, 0.1)]
+    found = kernel.regression_cv(data, folds.group_folds(data, BY, 3), BY, ["subject", "window_start"], columns, ["y_h", "y_v"], grid, n=32)
+    return rounded(metrics.regression(found.withColumnsRenamed({"yhat_y_h": "yhat_h", "yhat_y_v": "yhat_v"}), ["fold"], pooled=True), 3)
+
+
+@query()
+def kernel_classification_cv(spark, d):
+    """Confusion by fold and of all folds (fold null) of support vector classes of windows, each fold's machine chosen by inner folds of subjects."""
+    labels = windows.classification_windows(samples(spark, d), BY, "idx", windows.event_class(F.col("control")), WIN, STRIDE)
+    data, columns = _window_table(spark, d, labels)
+    found = kernel.classification_cv(data, folds.group_folds(data, BY, 3), BY, ["subject", "window_start"], columns, "label", 4, [0.1, 1.0], n=32)
+    return found.groupingSets([[F.col("fold"), F.col("y"), F.col("yhat")], [F.col("y"), F.col("yhat")]], "fold", "y", "yhat").agg(F.count(F.lit(1)).alias("n"))
+
+
 def guided_samples(spark, d, fs: float = 64.0):
     """subject, idx, control, target_h, target_v, h, v: the protocol as recordings would show it, from order lines. A second of each control in turn; targets are told by the first line of
     a cue's second, eyes follow 12 samples later by a gain of the supplier's and blink in every third second, and the lines' own values are noise."""
