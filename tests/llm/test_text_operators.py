@@ -170,6 +170,32 @@ def test_near_duplicates_in_large_nodes(spark, monkeypatch, members, seed):
     assert rows == brute_components(range(len(texts)), texts, 4, 80)
 
 
+@pytest.mark.parametrize("multiply", [0, 10**9])
+def test_pairs_confirmed_at_once_equal_sets(monkeypatch, multiply):
+    """By lookups and by matrices alike, in slices of both."""
+    for name, value in (("LOOKUP", multiply), ("LOOKUPS", 100), ("WIDTH", 7)):
+        monkeypatch.setattr(near_dup, name, value)
+    random = np.random.default_rng(2)
+    full = [np.unique(random.integers(0, 40, int(random.integers(1, 60)))).astype(np.uint64) for _ in range(60)]
+    cuts = np.array([0, 1, 25, 60])
+    pairs = np.array([(i, j) for low, high in zip(cuts, cuts[1:]) for i in range(low, high) for j in range(i + 1, high)])
+    random.shuffle(pairs)
+    a, b = pairs.T
+    expected = [100 * len(set(full[i]) & set(full[j])) >= 50 * len(set(full[i]) | set(full[j])) for i, j in pairs]
+    assert 0 < sum(expected) < len(expected)
+    assert near_dup.alike_by_group(full, a, b, cuts, 50).tolist() == expected
+    assert near_dup.alike_by_group(full, a[:0], b[:0], cuts, 50).tolist() == []
+
+
+def test_near_duplicates_of_a_template(spark):
+    """Pages made from one template, all below the threshold, with some copies among them."""
+    random = np.random.default_rng(6)
+    texts = [" ".join([f"p{k}" for k in range(100)] + [f"q{j}b{k}" for k in range(14)]) for j in range(300)]
+    texts += [texts[j] + " end" for j in random.choice(300, 20, replace=False)]
+    rows = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dup.near_duplicates(documents(spark, texts), 4).collect()}
+    assert rows == brute_components(range(len(texts)), texts, 4, 80)
+
+
 def test_near_duplicates_of_long_sets(spark, monkeypatch):
     monkeypatch.setattr(near_dup, "SHINGLES", 300)
     texts = mutated(12, 2, 30, 60)

@@ -30,6 +30,10 @@ MEMBERS, SHINGLES, FEW = 2_048, 1 << 22, 16
 PIVOTS = 8
 #: Tokens that agree may be so many standard deviations fewer than the threshold says, before a pair is passed over.
 DEVIATIONS = 5.5
+#: After so many turns of likeliest pairs, those left are confirmed all at once.
+TURNS = 4
+#: Shingles looked up at once; columns of a matrix at once; how many multiplications cost as much as a lookup; rows of a group that a matrix may have.
+LOOKUPS, WIDTH, LOOKUP, SQUARE = 1 << 21, 2_048, 500, 4_096
 
 _ODD, _PLACE = randoms(2, 12) | np.uint64(1), randoms(64, 13) | np.uint64(1)
 _MUL, _ADD = (randoms(COORDINATES, 11) >> np.uint64(32)).astype(np.uint32) | np.uint32(1), (randoms(COORDINATES, 14) >> np.uint64(32)).astype(np.uint32)
@@ -213,11 +217,15 @@ def links(rows: DataFrame, found: Callable[[DataFrame, int], DataFrame], thresho
                 np.minimum.at(first, label.ravel(), np.arange(len(table)))
                 label = first[label.ravel()]
                 order = np.argsort(-pairs[2], kind="stable")
-                a, b = pairs[0][order], pairs[1][order]
+                a, b, turn, own = pairs[0][order], pairs[1][order], 0
                 while len(a):
+                    if turn == TURNS:  # what is left is mostly not alike: all of it at once
+                        true = alike_by_group(full, a, b, cuts, percent)
+                        a, b = a[true], b[true]
                     # the likeliest pair that each row has left
                     pick = np.unique(np.concatenate([np.unique(a, return_index=True)[1], np.unique(b, return_index=True)[1]]))
-                    linked = np.array([_alike(full[i], full[j], percent) for i, j in zip(a[pick], b[pick])], bool)
+                    linked = np.array([turn >= TURNS or _alike(full[i], full[j], percent) for i, j in zip(a[pick], b[pick])], bool)
+                    turn += 1
                     x, y = a[pick][linked], b[pick][linked]
                     out_a.append(v[x])
                     out_b.append(v[y])
@@ -246,6 +254,50 @@ def _alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(x) + len(y) - both)
 
 
+def alike_by_group(full: list[np.ndarray], a: np.ndarray, b: np.ndarray, cuts: np.ndarray, percent: int) -> np.ndarray:
+    """_alike of many pairs of rows, each within a group; those of a group are counted by a product of matrices, if that is less work than lookups."""
+    group, out = np.searchsorted(cuts, a, side="right") - 1, np.zeros(len(a), bool)
+    order = np.argsort(group, kind="stable")
+    for at in np.split(order, np.flatnonzero(np.diff(group[order])) + 1) if len(a) else []:
+        low, high = cuts[group[at[0]]], cuts[group[at[0]] + 1]
+        x, y, sets = a[at] - low, b[at] - low, full[low:high]
+        size = np.array([len(s) for s in sets])
+        _, shingle, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        square = high - low <= SQUARE and (high - low) ** 2 * np.count_nonzero(times > 1) <= LOOKUP * np.minimum(size[x], size[y]).sum()
+        both = (_by_product if square else _by_lookup)(shingle, times, size, x, y)
+        out[at] = 100 * both >= percent * (size[x] + size[y] - both)
+    return out
+
+
+def _by_lookup(shingle: np.ndarray, times: np.ndarray, size: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Numbered shingles that rows x and y have in common: the smaller set's are looked up in the larger one, some LOOKUPS at once."""
+    keys = np.repeat(np.arange(len(size)), size) * len(times) + shingle  # ascending, as rows and sets are
+    start, swap, out = np.cumsum(size) - size, size[x] > size[y], []
+    small, large = np.where(swap, y, x), np.where(swap, x, y)
+    slices = np.flatnonzero(np.diff(np.cumsum(size[small]) // LOOKUPS)) + 1
+    for few, many in zip(np.split(small, slices), np.split(large, slices)):
+        n = size[few]
+        pair = np.repeat(np.arange(len(few)), n)
+        want = many[pair] * len(times) + shingle[np.arange(len(pair)) + np.repeat(start[few] - np.cumsum(n) + n, n)]
+        found = np.searchsorted(keys, want)
+        found[found == len(keys)] = 0
+        out.append(np.bincount(pair[keys[found] == want], minlength=len(few)))
+    return np.concatenate(out)
+
+
+def _by_product(shingle: np.ndarray, times: np.ndarray, size: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The same from a product of 0-1 matrices, WIDTH shingles at once; a shingle of one row is in no intersection. Counts stay below 2^24, so they are exact."""
+    use = times[shingle] > 1
+    row, column, width = np.repeat(np.arange(len(size)), size)[use], (np.cumsum(times > 1) - 1)[shingle[use]], int(np.count_nonzero(times > 1))
+    both = np.zeros((len(size), len(size)), np.float32)
+    for first in range(0, width, WIDTH):
+        some = (column >= first) & (column < first + WIDTH)
+        has = np.zeros((len(size), min(WIDTH, width - first)), np.float32)
+        has[row[some], column[some] - first] = 1
+        both += has @ has.T
+    return both[x, y].astype(np.int64)
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, recall: float = 0.9999999) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (the smallest doc_id that links lead to, itself included), kept (doc_id =
     component_id).
