@@ -217,7 +217,7 @@ def links(rows: DataFrame, found: Callable[[DataFrame, int], DataFrame], thresho
                 np.minimum.at(first, label.ravel(), np.arange(len(table)))
                 label = first[label.ravel()]
                 order = np.argsort(-pairs[2], kind="stable")
-                a, b, turn, own = pairs[0][order], pairs[1][order], 0
+                a, b, turn = pairs[0][order], pairs[1][order], 0
                 while len(a):
                     if turn == TURNS:  # what is left is mostly not alike: all of it at once
                         true = alike_by_group(full, a, b, cuts, percent)
