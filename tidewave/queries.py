@@ -700,7 +700,7 @@ def kernel_classification_cv(spark, d):
     """Confusion by fold and of all folds (fold null) of support vector classes of windows, each fold's machine chosen by inner folds of subjects."""
     labels = windows.classification_windows(samples(spark, d), BY, "idx", windows.event_class(F.col("control")), WIN, STRIDE)
     data, columns = _window_table(spark, d, labels)
-    found = kernel.classification_cv(data, folds.group_folds(data, BY, 3), BY, ["subject", "window_start"], columns, "label", 4, [0.1, 1.0], n=32)
+    found = kernel.classification_cv(data, folds.group_folds(data, BY, 3), BY, ["subject", "window_start"], columns, "y_class", 4, [0.1, 1.0], n=32)
     return found.groupingSets([[F.col("fold"), F.col("y"), F.col("yhat")], [F.col("y"), F.col("yhat")]], "fold", "y", "yhat").agg(F.count(F.lit(1)).alias("n"))
 
 
