@@ -2,7 +2,7 @@
 
 A machine minimises |w|^2 / 2 + c * the sum of weighted losses: the hinge of its class against the rest, or what an error exceeds epsilon by, both rounded off over SMOOTH.
 A pass adds up every machine's loss, gradient and curvature over the rows that it learns from; the driver takes one Newton step for each, halved until the loss falls. All
-folds, candidates and outputs of a grid search advance together, so a search reads the rows about twenty times, whatever its size. What a task sends
+folds, candidates and outputs of a grid search advance together, so a search reads the rows ROUNDS times at most for each lot of machines, however many rows there are. What a task sends
 is 8 * (components + 1)^2 bytes a machine, and SENT at most at once.
 """
 
