@@ -193,3 +193,31 @@ def test_scenarios(spark):
     assert len(kept("random", n=2)) == 2 and kept("random", n=2) == kept("random", n=2) and block == list(range(block[0], block[0] + 3))
     with pytest.raises(ValueError):
         kept("nope")
+
+
+def test_others_errors_equal_each_segment_under_each_plane(spark):
+    """The sums of coefficients and the samples of open sign, against every segment under every plane: near planes, far ones, one that is null, terms that are null or not finite."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for s in range(9):
+        for start in range(3):
+            for i in range(6):
+                for tau in (0.5, float("inf")):
+                    x = rng.normal(size=12).tolist()
+                    x[0] = None if (s, start, i) == (2, 1, 3) else float("nan") if (s, start) == (4, 2) and tau == 0.5 else x[0]
+                    rows.append((s, "long" if start == 2 else "short", 0, start, "saccade", i, *x, tau))
+    names = ["gaze_h", "gaze_v", "target_h", "target_v", "vor_h", "vor_v", "pull_h", "pull_v", "disp_h", "disp_v", "_1", "_2"]
+    terms = spark.createDataFrame(rows, "subject int, length string, part int, start int, kind string, i int, " + ", ".join(f"{n} double" for n in names) + ", tau double")
+    terms = settled(terms.drop("_1", "_2").withColumns({f"lag_{a}{b}": F.sin(F.col("i") + k) for k, (a, b) in enumerate(("hh", "hv", "vh", "vv"))}))
+    segment, at = ["subject", "length", "part", "start", "kind"], ["fit_subject", "length", "tau"]
+    for spread in (0.001, 2.0):
+        planes = [(s, *(None if s == 7 else float(x) for x in 1 + spread * rng.normal(size=4))) for s in range(10)]  # subject 9 has no segments
+        planes = settled(spark.createDataFrame(planes, "fit_subject int, a_hh double, a_hv double, a_vh double, a_vv double"))
+        own = settled(protocol._fused_errors(terms.join(planes.withColumnRenamed("fit_subject", "subject"), "subject"), segment))
+        got = {r[:3]: r[3:] for r in protocol.others_errors(terms, own, planes, "subject", segment).select(*at, "err_h", "err_v").collect()}
+        every = protocol._fused_errors(terms.crossJoin(planes), [*segment, "fit_subject"]).filter("fit_subject <> subject")
+        want = {r[:3]: r[3:] for r in every.groupBy(*at).agg(F.avg("err_h"), F.avg("err_v")).collect()}
+        assert got.keys() == want.keys() and len(want) == 40
+        for k in want:
+            assert [x is None for x in got[k]] == [x is None for x in want[k]]
+            np.testing.assert_allclose([x for x in got[k] if x is not None], [x for x in want[k] if x is not None], atol=1e-9)
