@@ -156,3 +156,17 @@ def test_classifiers_of_repeated_and_conflicting_rows(spark):
     for run in (lambda d, x: toxicity.toxic(d, x), lambda d, x: quality.quality(d, x), lambda d, x: language.identify(d)):
         one, other = (rounded(run(d, x)) for d, x in ((docs, labels), (docs.orderBy(F.rand(1)).repartition(3), labels.orderBy(F.rand(2)))))
         assert one == other and len(one) == len(rows)
+
+
+def test_a_shard_reads_codes_in_place():
+    """A shard of Arrow's memory, several chunks of it, gives what its pandas copy gives, and copies no codes."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(2)
+    part = lambda ids: pa.table({"doc_id": ids, "order": pa.array(rng.integers(0, 99, len(ids))), "label": pa.array(rng.integers(0, 2, len(ids)), pa.int32()), "codes": pa.array([np.unique(rng.integers(0, 60, 25)).astype(np.int32).tobytes() for _ in ids], pa.binary())})
+    table = pa.concat_tables([part([str(i) for i in range(30)]), part(["3", "x", "y"])])
+    rows = toxicity._in_place(table)
+    assert rows["codes"][0].address == table.column("codes").chunk(0).buffers()[2].address
+    for only in (None, np.arange(0, 60, 3)):
+        got, want = toxicity._shard(rows, only, 0.1), toxicity._shard(table.to_pandas(), only, 0.1)
+        assert len(got) and got.equals(want)

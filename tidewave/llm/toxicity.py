@@ -52,6 +52,11 @@ def _weights(z: np.ndarray, n: np.ndarray, l1: float) -> np.ndarray:
     return np.where(np.abs(z) <= l1, 0.0, -(z - np.sign(z) * l1) / ((BETA + np.sqrt(n)) / ALPHA + L2))
 
 
+def _in_place(table: pa.Table) -> pd.DataFrame:
+    """A shard's rows, whose codes are buffers that lie in Arrow's memory: no copy."""
+    return table.select(["doc_id", "order", "label"]).to_pandas().assign(codes=[x.as_buffer() for x in table.column("codes")])
+
+
 def _shard(rows: pd.DataFrame, only: np.ndarray | None, l1: float) -> pd.DataFrame:
     """FTRL's state (z, n) after PASSES over a shard, where its weight isn't zero. The last coordinate is the bias."""
     rows = rows.sort_values(["doc_id", "order"]).drop_duplicates("doc_id")  # of an id's several texts one
@@ -65,7 +70,7 @@ def _shard(rows: pd.DataFrame, only: np.ndarray | None, l1: float) -> pd.DataFra
     else:
         included = np.sort(only[only < 1 << BITS])
     # coordinates that are learned from, numbered; the last one is the bias
-    docs = [np.append(_places(included, x), len(included)) for x in docs]
+    docs = [np.append(_places(included, x), len(included)).astype(np.int32) for x in docs]
     z, n = np.zeros(len(included) + 1), np.zeros(len(included) + 1)
     labels = rows["label"].to_numpy(float)
     for k in range(PASSES):
@@ -114,7 +119,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int =
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "order", "label")), codes], ["doc_id", "order", "label", "codes"])
 
         sharded = rows.mapInArrow(run, "doc_id string, order long, label int, codes binary").withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)))
-        return sharded.groupBy("shard").applyInPandas(lambda x: _shard(x, only, l1), "at long, z double, n double")
+        return sharded.groupBy("shard").applyInArrow(lambda x: pa.Table.from_pandas(_shard(_in_place(x), only, l1), preserve_index=False), "at long, z double, n double")
 
     selected = trained(None, L1).select("at").distinct().toPandas()["at"].to_numpy(np.int64)
     merged = trained(selected, 0.0).groupBy("at").agg((F.sum("z") / shards).alias("z"), (F.sum("n") / shards).alias("n")).toPandas().sort_values("at")
