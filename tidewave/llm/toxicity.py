@@ -54,7 +54,12 @@ def _weights(z: np.ndarray, n: np.ndarray, l1: float) -> np.ndarray:
 
 def _in_place(table: pa.Table) -> pd.DataFrame:
     """A shard's rows, whose codes are buffers that lie in Arrow's memory: no copy."""
-    return table.select(["doc_id", "order", "label"]).to_pandas().assign(codes=[x.as_buffer() for x in table.column("codes")])
+    codes = []
+    for chunk in table.column("codes").cast(pa.large_binary()).chunks:
+        ends = np.frombuffer(chunk.buffers()[1], np.int64)[chunk.offset : chunk.offset + len(chunk) + 1]
+        data = chunk.buffers()[2] or pa.py_buffer(b"")  # none where all are empty
+        codes += [data.slice(int(a), int(b - a)) for a, b in zip(ends[:-1], ends[1:])]
+    return table.select(["doc_id", "order", "label"]).to_pandas().assign(codes=codes)
 
 
 def _shard(rows: pd.DataFrame, only: np.ndarray | None, l1: float) -> pd.DataFrame:
