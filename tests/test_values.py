@@ -70,3 +70,18 @@ def test_unreadable_lines_are_counted(spark, tmp_path):
     (tmp_path / "S1" / "x.csv").write_text("a,b\n1,2\nx,4\n5,6\ny,z\n")
     df = recordings.read_csv(spark, str(tmp_path), "a double, b double, _corrupt_record string").cache()
     assert [tuple(r) for r in recordings.unreadable(df, ["subject_id"]).collect()] == [("S1", "lines not readable", 2)] and df.count() == 4
+
+
+def exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_samples_are_dealt_once(spark):
+    """What is grouped by recording finds the samples where their positions were counted."""
+    from pyspark.sql import functions as F
+
+    from tidewave.sources.recordings import event_samples, line_samples
+
+    where = "/root/testdata/sf0.001"
+    for x in (line_samples(spark.read.parquet(f"{where}/lineitem.parquet")), event_samples(spark.read.parquet(f"{where}/events.parquet"))):
+        assert exchanges(x.groupBy("subject", F.floor(F.col("idx") / 8)).agg(F.avg("h"))) == 1
