@@ -85,3 +85,19 @@ def test_samples_are_dealt_once(spark):
     where = "/root/testdata/sf0.001"
     for x in (line_samples(spark.read.parquet(f"{where}/lineitem.parquet")), event_samples(spark.read.parquet(f"{where}/events.parquet"))):
         assert exchanges(x.groupBy("subject", F.floor(F.col("idx") / 8)).agg(F.avg("h"))) == 1
+
+
+def test_baselines_leave_samples_where_they_are(spark):
+    """Joins by recording and block deal no side by both; queries of other kinds get Spark's default back."""
+    import __spark_entry__ as entry
+
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = entry.queries()["robust_detrend"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange hashpartitioning(subject" in plan and "block#" not in "".join(x for x in plan.splitlines() if "Exchange" in x)
+        entry.queries()["asof_backward"](spark, "/root/testdata/sf0.001")
+        assert spark.conf.get(entry.ANEW) == "true"
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+        spark.conf.unset(entry.ANEW)
