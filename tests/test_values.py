@@ -101,3 +101,32 @@ def test_baselines_leave_samples_where_they_are(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
         spark.conf.unset(entry.ANEW)
+
+
+def test_rounding_is_that_of_the_sql(spark):
+    """Values next to a half in the last place, which scaling makes a half or not."""
+    import math
+
+    import duckdb
+
+    from tidewave import queries
+
+    near = [v + 1.3e-6 * k for v in (27.0762137, 20.0929837, 36.0060337, 48.7913537, 52.8136737, 40.9838937) for k in (0, 1, -1)]
+    values = [x for v in near for x in (math.nextafter(v, 0), v, math.nextafter(v, 100), -v)]
+    found = queries.rounded(spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double")).orderBy("i").collect()
+    c = duckdb.connect()
+    assert [r.v for r in found] == [c.execute(f"SELECT {queries.r('CAST(? AS DOUBLE)', 'v')}", [v]).fetchone()[0] for v in values]
+
+
+def test_fusion_steps_as_it_is_defined():
+    """To the last bit, from any state, whatever the blocks."""
+    import numpy as np
+
+    from tidewave.functions.signal import driven
+
+    x, share, y = np.random.default_rng(1).normal(scale=40, size=(2, 700)), 0.0751, np.array([0.0, 3.0])
+    found, state = driven(np.array([share]), np.array([1.0, share - 1]), x, y[:, None] * (1 - share))
+    for k in range(700):
+        y = y + share * (x[:, k] - y)
+        assert (found[:, k] == y).all()
+    assert np.allclose(state[:, 0], y * (1 - share), rtol=1e-15)
