@@ -110,3 +110,32 @@ def test_gaps_weights_and_empty_tables(spark):
     assert fit(gaps.limit(0)).collect() == [] and fit(gaps.limit(0), grid=[(1.0, 0.1), (2.0, 0.1)]).collect() == []
     one = kernel.classification_cv(df.withColumn("label", F.lit(1)), outer, ["s"], ["k"], ["a", "b"], "label", 3, n=16)
     assert {r.yhat for r in one.collect()} == {1}
+
+
+@pytest.mark.parametrize("epsilon", [None, 0.1])
+def test_many_rows_are_read_few_times(spark, monkeypatch, epsilon):
+    """Machines of many rows end as well as those that start from zero, after few passes over all rows."""
+    monkeypatch.setattr(kernel, "FEW", 400)
+    x = np.random.default_rng(5).normal(size=(7000, 3))
+    y = x @ [1.0, -2.0, 0.5] + np.random.default_rng(6).normal(scale=0.8, size=7000)
+    y = (y > 0).astype(float) if epsilon is None else y
+    rows = spark.createDataFrame([(a.tolist(), [float(b)], 1.0, 0, 0) for a, b in zip(x, y)], "x array<double>, y array<double>, weight double, fold int, inner int").repartition(3).cache()
+    views, machines = [kernel.View(-1, -1, np.zeros(3), np.ones(3), np.ones(2))], [kernel.Machine(0, int(epsilon is None), c, epsilon) for c in (0.1, 10.0)]
+    passes, added = [], kernel._added
+    monkeypatch.setattr(kernel, "_added", lambda rows, sums: passes.append(rows.count()) or added(rows, sums))
+    found = kernel.fitted(rows, views, machines)
+    full = passes.count(7000)
+    plain = kernel._fitted(rows, views, machines, np.zeros((2, 4)), 0, 0.0, 42)
+    z, target = np.append(x, np.ones((7000, 1)), axis=1), np.where(y == 1, 1.0, -1.0) if epsilon is None else y
+    for m, a, b in zip(machines, found, plain):
+        assert abs(objective(z, target, a, m.c, epsilon) / objective(z, target, b, m.c, epsilon) - 1) < 1e-3
+    assert min(passes) < 1000 and full < passes.count(7000) - full
+
+
+def test_rows_are_dealt_to_all_cores(spark, monkeypatch):
+    """Of a table that arrives in one partition too."""
+    seen, added = [], kernel._added
+    monkeypatch.setattr(kernel, "_added", lambda rows, sums: seen.append(rows.rdd.getNumPartitions()) or added(rows, sums))
+    df = ring(spark, 80).coalesce(1)
+    kernel.regression_cv(df, folds.group_folds(df, ["s"], 2), ["s"], ["k"], ["a", "b"], ["r"], n=8).count()
+    assert min(seen) >= spark.sparkContext.defaultParallelism
