@@ -341,3 +341,26 @@ def test_quotes(spark):
     assert place(2, 1) == (None, 1, 0, 1, 0) and out[2, 0].text is None and place(3, 2) == (1, 1, 1, 1, 1)
     assert out[1, 0].text == rows[0][3] and out[None, 0].n_quoted == 1 and len(out) == len(rows)
     assert quotes.link_quotes(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+
+
+def test_groups_are_gathered_in_little_memory():
+    """Whole groups, all of them, with no more than a few tables' bytes held at once."""
+    from tidewave.llm.blocks import whole_groups
+
+    random, before, most = np.random.default_rng(4), pa.total_allocated_bytes(), [0]
+
+    def batches():
+        for k in range(100):
+            row = np.arange(64) + 64 * k
+            yield pa.RecordBatch.from_arrays([pa.array(row // 7), pa.array(row % 7 // 4), pa.array([random.bytes(1 << 14) for _ in row], pa.binary())], ["node", "block", "found"])
+            most[0] = max(most[0], pa.total_allocated_bytes() - before)
+
+    seen = []
+    for table, cuts in whole_groups(batches(), ["node", "block"]):
+        keys = list(zip(table.column("node").to_pylist(), table.column("block").to_pylist()))
+        assert [len(set(keys[a:b])) for a, b in zip(cuts[:-1], cuts[1:])] == [1] * (len(cuts) - 1)
+        assert cuts[0] == 0 and cuts[-1] == len(keys)
+        seen += [keys[a] for a in cuts[:-1]]
+        del table
+    assert seen == sorted({(r // 7, r % 7 // 4) for r in range(6400)})
+    assert most[0] < 64e6

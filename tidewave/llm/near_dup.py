@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tidewave.llm.blocks import whole_groups
 from tidewave.llm.graph import components
-from tidewave.llm.store import counted, discard, keyed_join, small_batches, written
+from tidewave.llm.store import byte_batches, counted, discard, keyed_join, small_batches, written
 from tidewave.llm.words import hashed, mix, randoms
 
 #: Minwise tokens of a set. Each tree chooses its paths by LEVELS of its own; nodes below choose among all.
@@ -32,8 +32,10 @@ PIVOTS = 8
 DEVIATIONS = 5.5
 #: After so many turns of likeliest pairs, those left are confirmed all at once.
 TURNS = 4
+#: Pairs whose tokens are compared at once.
+TOKENS = 1 << 14
 #: Shingles looked up at once; columns of a matrix at once; how many multiplications cost as much as a lookup; rows of a group that a matrix may have.
-LOOKUPS, WIDTH, LOOKUP, SQUARE = 1 << 21, 2_048, 500, 4_096
+LOOKUPS, WIDTH, LOOKUP, SQUARE = 1 << 19, 2_048, 500, 4_096
 
 _ODD, _PLACE = randoms(2, 12) | np.uint64(1), randoms(64, 13) | np.uint64(1)
 _MUL, _ADD = (randoms(COORDINATES, 11) >> np.uint64(32)).astype(np.uint32) | np.uint32(1), (randoms(COORDINATES, 14) >> np.uint64(32)).astype(np.uint32)
@@ -160,7 +162,7 @@ def _groups(table: pa.Table, cuts: np.ndarray, floor: float, threshold: float) -
         d += 1
         at = at[at + d <= last[at]]
         apart = at[(label[at] != label[at + d]) & (np.minimum(n[at], n[at + d]) >= threshold * np.maximum(n[at], n[at + d]) * (1 - 1e-9))]
-        for a in np.array_split(apart, len(apart) // 65536 + 1):
+        for a in np.array_split(apart, len(apart) // TOKENS + 1):
             same = sig[a] == sig[a + d]
             agree = np.count_nonzero(same, axis=1)
             keep = np.flatnonzero(agree >= floor)
@@ -204,36 +206,43 @@ def links(rows: DataFrame, found: Callable[[DataFrame, int], DataFrame], thresho
             some = np.zeros(len(table), bool)
             for a, b, _ in _groups(table, cuts, floor, threshold):
                 some[a] = some[b] = True
-            yield from table.filter(pa.array(some)).combine_chunks().to_batches()
+            table = table.filter(pa.array(some)).combine_chunks()
+            yield from table.to_batches()
+            del table
+
+    def linked(table: pa.Table, cuts: np.ndarray) -> list[pa.Array]:
+        v, full = np.asarray(table.column("v")), [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("found").chunk(0)] if len(table) else []
+        pairs = [np.concatenate(x) for x in zip(*_groups(table, cuts, floor, threshold))]
+        out_a, out_b = [], []
+        if pairs:
+            _, label = np.unique(np.stack([np.repeat(np.arange(len(cuts) - 1), np.diff(cuts)), np.asarray(table.column("label"))]), axis=1, return_inverse=True)
+            first = np.full(label.max() + 1, len(table))
+            np.minimum.at(first, label.ravel(), np.arange(len(table)))
+            label = first[label.ravel()]
+            order = np.argsort(-pairs[2], kind="stable")
+            a, b, turn = pairs[0][order], pairs[1][order], 0
+            while len(a):
+                if turn == TURNS:  # what is left is mostly not alike: all of it at once
+                    true = alike_by_group(full, a, b, cuts, percent)
+                    a, b = a[true], b[true]
+                # the likeliest pair that each row has left
+                pick = np.unique(np.concatenate([np.unique(a, return_index=True)[1], np.unique(b, return_index=True)[1]]))
+                true = np.array([turn >= TURNS or _alike(full[i], full[j], percent) for i, j in zip(a[pick], b[pick])], bool)
+                turn += 1
+                x, y = a[pick][true], b[pick][true]
+                out_a.append(v[x])
+                out_b.append(v[y])
+                label = _joined(label, x, y)
+                left = label[a] != label[b]
+                left[pick] = False
+                a, b = a[left], b[left]
+        return [pa.array(np.concatenate(x) if x else [], pa.int64()) for x in (out_a, out_b)]
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, cuts in whole_groups(batches, ["node", "block"]):
-            v, full = np.asarray(table.column("v")), [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("found").chunk(0)] if len(table) else []
-            pairs = [np.concatenate(x) for x in zip(*_groups(table, cuts, floor, threshold))]
-            out_a, out_b = [], []
-            if pairs:
-                _, label = np.unique(np.stack([np.repeat(np.arange(len(cuts) - 1), np.diff(cuts)), np.asarray(table.column("label"))]), axis=1, return_inverse=True)
-                first = np.full(label.max() + 1, len(table))
-                np.minimum.at(first, label.ravel(), np.arange(len(table)))
-                label = first[label.ravel()]
-                order = np.argsort(-pairs[2], kind="stable")
-                a, b, turn = pairs[0][order], pairs[1][order], 0
-                while len(a):
-                    if turn == TURNS:  # what is left is mostly not alike: all of it at once
-                        true = alike_by_group(full, a, b, cuts, percent)
-                        a, b = a[true], b[true]
-                    # the likeliest pair that each row has left
-                    pick = np.unique(np.concatenate([np.unique(a, return_index=True)[1], np.unique(b, return_index=True)[1]]))
-                    linked = np.array([turn >= TURNS or _alike(full[i], full[j], percent) for i, j in zip(a[pick], b[pick])], bool)
-                    turn += 1
-                    x, y = a[pick][linked], b[pick][linked]
-                    out_a.append(v[x])
-                    out_b.append(v[y])
-                    label = _joined(label, x, y)
-                    left = label[a] != label[b]
-                    left[pick] = False
-                    a, b = a[left], b[left]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else [], pa.int64()) for x in (out_a, out_b)], ["a", "b"])
+            ends = linked(table, cuts)
+            del table  # before the next one is gathered
+            yield pa.RecordBatch.from_arrays(ends, ["a", "b"])
 
     kind = rows.select("node", "block", "tree", "v", "n", "sig", "label", "met").schema
     placed = rows.select(*kind.names).repartition("node", "block").sortWithinPartitions("node", "block", "v")
@@ -259,11 +268,12 @@ def alike_by_group(full: list[np.ndarray], a: np.ndarray, b: np.ndarray, cuts: n
     group, out = np.searchsorted(cuts, a, side="right") - 1, np.zeros(len(a), bool)
     order = np.argsort(group, kind="stable")
     for at in np.split(order, np.flatnonzero(np.diff(group[order])) + 1) if len(a) else []:
-        low, high = cuts[group[at[0]]], cuts[group[at[0]] + 1]
-        x, y, sets = a[at] - low, b[at] - low, full[low:high]
+        rows, place = np.unique(np.concatenate([a[at], b[at]]), return_inverse=True)
+        x, y, sets = *np.split(place.ravel(), 2), [full[i] for i in rows]
         size = np.array([len(s) for s in sets])
         _, shingle, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-        square = high - low <= SQUARE and (high - low) ** 2 * np.count_nonzero(times > 1) <= LOOKUP * np.minimum(size[x], size[y]).sum()
+        shingle = shingle.astype(np.int32)
+        square = len(rows) <= SQUARE and len(rows) ** 2 * np.count_nonzero(times > 1) <= LOOKUP * np.minimum(size[x], size[y]).sum()
         both = (_by_product if square else _by_lookup)(shingle, times, size, x, y)
         out[at] = 100 * both >= percent * (size[x] + size[y] - both)
     return out
@@ -271,7 +281,7 @@ def alike_by_group(full: list[np.ndarray], a: np.ndarray, b: np.ndarray, cuts: n
 
 def _by_lookup(shingle: np.ndarray, times: np.ndarray, size: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Numbered shingles that rows x and y have in common: the smaller set's are looked up in the larger one, some LOOKUPS at once."""
-    keys = np.repeat(np.arange(len(size)), size) * len(times) + shingle  # ascending, as rows and sets are
+    keys = np.repeat(np.arange(len(size)) * len(times), size) + shingle  # ascending, as rows and sets are
     start, swap, out = np.cumsum(size) - size, size[x] > size[y], []
     small, large = np.where(swap, y, x), np.where(swap, x, y)
     slices = np.flatnonzero(np.diff(np.cumsum(size[small]) // LOOKUPS)) + 1
@@ -288,7 +298,7 @@ def _by_lookup(shingle: np.ndarray, times: np.ndarray, size: np.ndarray, x: np.n
 def _by_product(shingle: np.ndarray, times: np.ndarray, size: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """The same from a product of 0-1 matrices, WIDTH shingles at once; a shingle of one row is in no intersection. Counts stay below 2^24, so they are exact."""
     use = times[shingle] > 1
-    row, column, width = np.repeat(np.arange(len(size)), size)[use], (np.cumsum(times > 1) - 1)[shingle[use]], int(np.count_nonzero(times > 1))
+    row, column, width = np.repeat(np.arange(len(size), dtype=np.int32), size)[use], (np.cumsum(times > 1, dtype=np.int32) - 1)[shingle[use]], int(np.count_nonzero(times > 1))
     both = np.zeros((len(size), len(size)), np.float32)
     for first in range(0, width, WIDTH):
         some = (column >= first) & (column < first + WIDTH)
@@ -309,6 +319,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, rec
     have fewer; a pair far above it, or with other ways between its ends, is missed less.
     """
     small_batches(docs.sparkSession)
+    byte_batches(docs.sparkSession)
     base = written(signatures(docs, words))
     same = base.filter("n > 0").groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig")).filter("doc_id is not null")
     classes = written(same.withColumn("v", F.monotonically_increasing_id()))
