@@ -51,6 +51,26 @@ def test_token_ids_equal_the_tokenizer(spark):
             assert ids.tolist() == plain.encode(t or "", add_special_tokens=False).ids, t
 
 
+def test_an_encoder_holds_one_library_and_goes_with_its_task(spark):
+    """Texts that begin and end in any way need one library; odd ones load the other. No worker keeps an encoder when its task is over."""
+    path = packing.default_tokenizer()
+    plain, code = Tokenizer.from_file(path), Encoder(path)
+    texts = ["", "a", " a", "a ", "  ", "it's", "\n\n x\t", "é ß", "12345 67", "\U0001f600!", "don't stop\n", "x" * 300, None]
+    texts += [a + b + c for a in ("", " ", "\n ", "'ll") for b in ("word", "W0rd's", "\u4f60\u597d", "...") for c in ("", " ", " \t", "\n\n")]
+    same = lambda texts: [x.tolist() for x in code.encode(pa.array(texts))] == [plain.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert same(texts) and "tokenizer" not in vars(code)
+    assert same(["a\xa0b", "x <|endoftext|> y", *texts]) and "tokenizer" in vars(code)
+
+    def kept(batches):
+        from tidewave.llm import tokens
+
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([tokens.encoder.cache_info().currsize] * len(batch))], ["n"])
+
+    assert packing.pack(documents(spark, texts)).count() >= len(texts)
+    assert {r.n for r in spark.range(0, 64, 1, 16).mapInArrow(kept, "n long").collect()} == {0}
+
+
 def test_packing_round_trip(spark):
     texts = ["", None, "hello world", "word " * 5000, "hello world"]
     docs = documents(spark, texts).withColumn("start", F.lit("clash")).union(documents(spark, ["hello world"]).withColumn("start", F.lit("clash")))

@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from tidewave.llm.store import small_batches
-from tidewave.llm.tokens import encoder
+from tidewave.llm.tokens import Encoder, drop_encoders, encoder
 
 #: A sequence's number is that of its task, times this, and its place there.
 PLACES = 1 << 40
@@ -46,8 +46,15 @@ def pack(docs: DataFrame, tokenizer: str | None = None, longest: int = 2048, end
         raise ValueError("longest must be a power of two")
     path = tokenizer or default_tokenizer()
     small_batches(docs.sparkSession)
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code, number = encoder(path), TaskContext.get().partitionId() * PLACES
+        try:
+            yield from cut_by(encoder(path), batches)
+        finally:
+            drop_encoders()
+
+    def cut_by(code: Encoder, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() * PLACES
         for batch in batches:
             of, n_tokens, starts, sizes, sums, ids = [], [], [], [], [], []
             for k, tokens in enumerate(code.encode(batch.column("text"))):

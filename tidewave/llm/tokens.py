@@ -7,8 +7,9 @@ outside ASCII or with strings of special tokens go to the tokenizer whole.
 
 from __future__ import annotations
 
+import json
 import re
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,25 +24,33 @@ _HINT[[0x3C, 0xC2, 0xE1, 0xE2, 0xE3]] = True
 
 
 class Encoder:
-    """Ids of texts. New pieces are merged by the file's own vocabulary, whose ids are its merge ranks, in the faster of two libraries.
-    The memory holds SLOTS pieces (direct-mapped) and POOL ids at most."""
+    """Ids of texts. New pieces are merged by the file's own vocabulary, whose ids are its merge ranks, in the faster of two libraries; the other
+    one is loaded only where a text goes to it whole. The memory holds SLOTS pieces (direct-mapped) and POOL ids at most."""
 
     def __init__(self, path: str):
         import tiktoken
         from public_tokenizers import PATTERN
-        from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        vocab = self.tokenizer.get_vocab()
+        self.path = path
+        with open(path, encoding="utf-8") as file:
+            read = json.load(file)
+        special = {x["content"]: x["id"] for x in read["added_tokens"]}
+        vocab = read["model"]["vocab"] | special
+        del read
         self.lengths = np.zeros(max(vocab.values()) + 1, np.int64)  # in bytes: a byte-level vocabulary has one character for each
         self.lengths[list(vocab.values())] = [len(k) for k in vocab]
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that a byte-level vocabulary shows as themselves
         byte = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in shown)}
-        special = {x.content for x in self.tokenizer.get_added_tokens_decoder().values()}
         ranks = {bytes(byte[c] for c in k): i for k, i in vocab.items() if k not in special}
         self.fast = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.clear()
 
+    @cached_property
+    def tokenizer(self):
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def clear(self, pool: int = POOL) -> None:
         self.keys = np.zeros(SLOTS, np.uint64)
         self.at, self.n = np.zeros(SLOTS, np.int32), np.zeros(SLOTS, np.int32)
@@ -59,7 +68,7 @@ class Encoder:
             raise ValueError("a token crosses from one piece into the next: this vocabulary does not split at white space")
         n = np.zeros(len(pieces), np.int32)
         n[~lone] = np.diff(ends, prepend=0)
-        alone = [e.ids for e in self.tokenizer.encode_batch([p.decode() for p, x in zip(pieces, lone) if x], add_special_tokens=False)]
+        alone = [self.fast.encode_ordinary(p.decode()) for p, x in zip(pieces, lone) if x]
         n[lone] = np.fromiter(map(len, alone), np.int32, len(alone))
         at = np.zeros(len(pieces), np.int32)
         at[~lone] = self.used + np.cumsum(n[~lone]) - n[~lone]
@@ -120,5 +129,11 @@ class Encoder:
 
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
-    """One per Python worker."""
+    """One per Python worker, until it is dropped."""
     return Encoder(path)
+
+
+def drop_encoders() -> None:
+    """A worker outlives its task: what its encoders hold would lie idle in the stages that follow."""
+    encoder.cache_clear()
+    pa.default_memory_pool().release_unused()

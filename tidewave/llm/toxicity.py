@@ -138,6 +138,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], threshold: floa
 
     @F.arrow_udf("double")
     def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        pa.default_memory_pool().release_unused()  # this worker may have held a shard
         where, weights = sent.value
         dense = np.zeros((1 << BITS) + 1, np.float32)
         dense[where] = weights
