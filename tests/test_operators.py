@@ -202,6 +202,15 @@ def test_estimators(spark):
     assert models.fourier(df, ["a", "b"], 8).columns[-1] == "rff_7"
 
 
+def test_models_are_sent_in_a_session_that_has_counted(spark):
+    from tidewave.llm.store import counted
+
+    table, n = counted(spark.range(10))
+    assert n == table.count() == 10 and counted(spark.range(10), F.col("id") < 4)[1] == 4 and counted(spark.range(0))[1] == 0
+    df = spark.createDataFrame([(float(k % 7), float(k % 5), int(k % 7 > 3)) for k in range(70)], "a double, b double, c int")
+    assert models.forest_classifier(["a", "b"], "c", trees=2).fit(df).transform(df).filter("prediction = c").count() > 60
+
+
 def test_settings():
     assert load('{"known_start": {"merge_ms": 10}}').known_start == KnownStart(merge_ms=10)
     for bad, error in (({"nope": {}}, KeyError), ({"cv": {"nope": 1}}, KeyError), ({"cv": 3}, TypeError)):
