@@ -246,3 +246,17 @@ def test_values_on_the_threshold_are_decided_as_the_sql_does(spark, tmp_path):
     expected = sorted(c.execute(registered.ORACLE["detected_blinks"]).fetchall())
     found = registered.QUERIES["detected_blinks"](spark, str(tmp_path)).select("subject", "start", "end")
     assert sorted(map(tuple, found.collect())) == expected and len(expected) > 0
+
+
+def test_fusion_passes_over_nulls_as_the_sql_does(spark, tmp_path):
+    """Samples without a value, at starts and within windows too, and a recording of nothing else."""
+    import duckdb
+    import tidewave.queries as registered
+
+    c = duckdb.connect()
+    c.execute(f"COPY (SELECT * REPLACE (CASE WHEN event_id % 7 > 0 AND user_id % 5 > 0 THEN value END AS value) FROM '/root/testdata/sf0.001/events.parquet') TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    c.execute(f"CREATE VIEW events AS FROM '{tmp_path}/events.parquet'")
+    key = lambda r: tuple((x is not None, x) for x in r)
+    for name, columns in (("fused_estimates", ["subject", "idx", "tau", "yhat_h", "yhat_v"]), ("absolute_series", ["subject", "idx", "absolute_h", "absolute_v"])):
+        expected = sorted(c.execute(f"SELECT {', '.join(columns)} FROM ({registered.ORACLE[name]})").fetchall(), key=key)
+        assert sorted((tuple(r) for r in registered.QUERIES[name](spark, str(tmp_path)).select(*columns).collect()), key=key) == expected
