@@ -132,6 +132,21 @@ def test_many_rows_are_read_few_times(spark, monkeypatch, epsilon):
     assert min(passes) < 1000 and full < passes.count(7000) - full
 
 
+def test_a_share_of_many_rows_has_a_share_of_its_own(spark, monkeypatch):
+    """Each share is smaller than what it is drawn from, so that drawing ends; rows that are all alike, which are drawn together or not at all, end too."""
+    monkeypatch.setattr(kernel, "FEW", 10)
+    x = np.random.default_rng(8).normal(size=(3000, 2))
+    views, machines = [kernel.View(-1, -1, np.zeros(2), np.ones(2), np.ones(1))], [kernel.Machine(0, 0, 1.0, 0.1)]
+    table = lambda rows: spark.createDataFrame(rows, "x array<double>, y array<double>, weight double, fold int, inner int").repartition(2).cache()
+    rows = table([(a.tolist(), [float(a[0] - 2 * a[1])], 1.0, 0, 0) for a in x])
+    counts, fitted = [], kernel._fitted
+    monkeypatch.setattr(kernel, "_fitted", lambda rows, *more: counts.append(rows.count()) or fitted(rows, *more))
+    w = kernel.fitted(rows, views, machines)
+    assert len(counts) == 3 and counts == sorted(counts) and counts[0] < counts[1] / 4 and counts[2] == 3000
+    assert np.abs(w[0] - [1, -2, 0]).max() < 0.1
+    assert abs(kernel.fitted(table([([1.0, 2.0], [3.0], 1.0, 0, 0)] * 200), views, machines)[0] @ [1, 2, 1] - 3) < 0.2
+
+
 def test_rows_are_dealt_to_all_cores(spark, monkeypatch):
     """Of a table that arrives in one partition too."""
     seen, added = [], kernel._added

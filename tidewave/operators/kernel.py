@@ -114,16 +114,19 @@ def _added(rows: DataFrame, sums: Callable[[Iterator[pa.RecordBatch]], np.ndarra
     return sum(np.frombuffer(r.sums) for r in parts)
 
 
-def fitted(rows: DataFrame, views: list[View], machines: list[Machine], n: int = 0, gamma: float = 0.0, seed: int = 42, gain: float = GAIN) -> np.ndarray:
-    """Coefficients (machines by components and constant) over rows (x array, y array, weight, fold, inner), whose next step would gain no more than a share gain of their loss. The constant is not held down. A machine without rows is 0."""
+def fitted(rows: DataFrame, views: list[View], machines: list[Machine], n: int = 0, gamma: float = 0.0, seed: int = 42, gain: float = GAIN, depth: int = 0) -> np.ndarray:
+    """Coefficients (machines by components and constant) over rows (x array, y array, weight, fold, inner), whose next step would gain no more than a share gain of their loss. The constant is not held down. A machine without rows is 0.
+    depth: how many times rows are a share of a share already; each share is drawn by a hash of its own."""
     if not machines:
         return np.zeros((0, 0))
     byte_batches(rows.sparkSession)
     width = (n or len(views[0].mean)) + 1
     start = np.zeros((len(machines), width))
-    if rows.count() >= SHARE * FEW:
-        part = rows.filter(F.pmod(F.xxhash64("x", "y", F.lit(seed)), F.lit(SHARE)) == 0).withColumn("weight", F.col("weight") * SHARE)
-        start = fitted(settled(part), views, machines, n, gamma, seed, GAIN * SHARE)
+    every = rows.count()
+    if every >= SHARE * FEW:
+        part = settled(rows.filter(F.pmod(F.xxhash64("x", "y", F.lit(seed + depth)), F.lit(SHARE)) == 0).withColumn("weight", F.col("weight") * SHARE))
+        if 2 * part.count() <= every:  # rows that are alike are drawn together
+            start = fitted(part, views, machines, n, gamma, seed, GAIN * SHARE, depth + 1)
     most = max(1, SENT // (8 * width * (width + 1)))
     return np.concatenate([_fitted(rows, views, machines[i : i + most], start[i : i + most], n, gamma, seed, gain) for i in range(0, len(machines), most)])
 
