@@ -42,3 +42,15 @@ def test_folds_equal_single_deals(spark, k):
     alone = {r.s: r.fold for r in folds.group_folds(df, ["s"], k, "leave_one_out").collect()}
     assert [s for s, _ in sorted(alone.items(), key=lambda x: x[1])] == sorted(sizes, key=lambda s: (-sizes[s], s)) and set(alone.values()) == set(range(150))
     assert folds.group_folds(df.limit(0), ["s"], k).count() == 0
+
+
+def test_boosted_models_learn_from_everything(spark, monkeypatch):
+    """All rows and columns for each tree, and as many rounds as the operator has, in the query too."""
+    import tidewave.queries as registered
+
+    made = []
+    monkeypatch.setattr(registered.models, "cross_validated", lambda data, folds, by, make, keep: made.append(make()) or data.select(*keep))
+    registered.QUERIES["boosted_regression_folds"](spark, "/root/testdata/sf0.001")
+    for model in (made[0], registered.models.boosted_regressor(["a"], "y")):
+        trees = model.getStages()[-1]
+        assert (trees.getSubsamplingRate(), trees.getFeatureSubsetStrategy(), trees.getMaxIter(), trees.getMaxDepth()) == (1.0, "all", 200, 6)
