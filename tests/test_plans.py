@@ -260,3 +260,29 @@ def test_fusion_passes_over_nulls_as_the_sql_does(spark, tmp_path):
     for name, columns in (("fused_estimates", ["subject", "idx", "tau", "yhat_h", "yhat_v"]), ("absolute_series", ["subject", "idx", "absolute_h", "absolute_v"])):
         expected = sorted(c.execute(f"SELECT {', '.join(columns)} FROM ({registered.ORACLE[name]})").fetchall(), key=key)
         assert sorted((tuple(r) for r in registered.QUERIES[name](spark, str(tmp_path)).select(*columns).collect()), key=key) == expected
+
+
+def test_a_baseline_is_found_once_and_in_batches(spark, monkeypatch):
+    """A feature table asks for each baseline of each channel once; runs that lie in several batches, of several recordings, equal plain loops."""
+    from tidewave.config import Config
+    from tidewave.plans import regression
+
+    random, asked, remove = np.random.default_rng(3), [], drift.remove_baseline
+    monkeypatch.setattr(regression.drift, "remove_baseline", lambda *a, **k: asked.append(1) or remove(*a, **k))
+    df = spark.createDataFrame([(r, i, i // 60 % 3 + 1, *map(float, random.normal(size=4))) for r in ("a", "b") for i in range(700)], "r string, i long, control int, h double, v double, target_h double, target_v double")
+    pp = Preprocessing(drift_removal_method="robust_line", baseline_causal=True, baseline_window_sec=1.0, context_baselines=(("robust_mean", 0.5),))
+    events = df.select("r").distinct().withColumn("s1_on", F.lit(None).cast("long"))
+    assert regression.feature_matrix(df, events, ["r"], ["r"], "i", ["h", "v"], 128.0, Config(preprocessing=pp), engineered=False).count() > 0 and len(asked) == 4
+    monkeypatch.setattr(drift, "CHUNK", 10)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        base = drift.robust_baseline(df, ["r"], "i", "h", 4, 6)
+        assert "InPandas" not in base._jdf.queryExecution().toString()
+        found = {(r.r, r.block): r.base for r in base.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(found) == 350
+    for name in ("a", "b"):
+        x = [r.h for r in df.filter(F.col("r") == name).orderBy("i").collect()]
+        m = np.array(x).reshape(-1, 4).mean(axis=1)
+        assert [found[name, k] for k in range(175)] == pytest.approx(drift._baselines(np.append(np.full(5, m[0]), m), 6, 1.0, False).tolist())
